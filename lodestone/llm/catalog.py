@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, language, line_dedup, near_dedup, packing, quality, sharding
+from . import decontaminate, html_text, language, line_dedup, near_dedup, packing, quality, sharding, token_rollup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.corpus_rollup(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
+def op2_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.archive_round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,17 +50,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_feistel_shards, op4_language_id, op5_decontamination, op6_near_duplicates, op7_line_dedup, op8_quality_rules, op10_packing]
+    own = [op1_token_rollup, op2_warc_merge, op3_feistel_shards, op4_language_id, op5_decontamination]
+    own += [op6_near_duplicates, op7_line_dedup, op8_quality_rules, op9_html_text, op10_packing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     own = {
+        "op2_warc_merge": warc.oracle(),
         "op3_feistel_shards": sharding.oracle(),
         "op5_decontamination": decontaminate.oracle(),
         "op6_near_duplicates": near_dedup.oracle(85, 100),
