@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows in one Arrow batch: a batch of long texts must fit a Python worker.
-BATCH_ROWS = 256
+BATCH_ROWS = 64
 BATCH_BYTES = 16 << 20
 
 
