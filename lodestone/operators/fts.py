@@ -142,8 +142,13 @@ class Query:
         return of(self.tree) if self.tree else F.lit(False)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, even where ``use`` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def starts(toks: Column, leaf: Leaf) -> Column:
-    """1-based places at which the leaf's words stand."""
+    """1-based places at which the leaf's words stand; ``toks`` must be a lambda's variable or a stored column."""
     n = len(leaf.words)
     if n == 0:
         return F.array().cast("array<int>")
@@ -164,11 +169,22 @@ def occurrences(toks: Column, leaf: Leaf) -> Column:
     if not leaf.near and len(leaf.words) == 1:
         w = leaf.words[0]
         return F.size(F.filter(toks, lambda x: x.startswith(w) if leaf.prefix else x == w))
-    places = starts(toks, leaf)
-    for other in leaf.near:
-        theirs, mine, n = starts(toks, other), len(leaf.words), len(other.words)
-        places = F.filter(places, lambda p, t=theirs, m=mine, n=n: F.exists(t, lambda q: F.when(q > p, q - p - m).otherwise(p - q - n) <= leaf.distance))
-    return F.size(places)
+    if not leaf.near:
+        return F.size(starts(toks, leaf))
+    mine = len(leaf.words)
+
+    def close(all_: Column, i: int, other: Leaf):
+        n = len(other.words)
+        return lambda p: F.exists(all_[f"p{i}"], lambda q: F.when(q > p, q - p - mine).otherwise(p - q - n) <= leaf.distance)
+
+    def count(all_: Column) -> Column:
+        places = all_["own"]
+        for i, other in enumerate(leaf.near):
+            places = F.filter(places, close(all_, i, other))
+        return F.size(places)
+
+    every = F.struct(starts(toks, leaf).alias("own"), *[starts(toks, o).alias(f"p{i}") for i, o in enumerate(leaf.near)])
+    return let(every, count)
 
 
 def bm25(
@@ -192,15 +208,13 @@ def bm25(
     except QuerySyntaxError:
         q = Query("")
     project = F.col(project_col) if project_col else F.lit("all")
-    slim = docs.select(F.col(id_col).alias("id"), project.alias("project"), (where if where is not None else F.lit(True)).alias("wanted"), tokens(F.col(text_col)).alias("t"))
-    counted = slim.select(
-        "id",
-        "project",
-        "wanted",
-        F.size("t").alias("dl"),
-        *[occurrences(F.col("t"), leaf).alias(f"f{i}") for i, leaf in enumerate(q.leaves)],
-        *[(F.size(starts(F.col("t"), leaf)) > 0).alias(f"any{i}") for i, leaf in enumerate(q.leaves) if leaf.near],
-    )
+    def count(t: Column) -> Column:
+        found = [occurrences(t, leaf).alias(f"f{i}") for i, leaf in enumerate(q.leaves)]
+        found += [(F.size(starts(t, leaf)) > 0).alias(f"any{i}") for i, leaf in enumerate(q.leaves) if leaf.near]
+        return F.struct(F.size(t).alias("dl"), *found)
+
+    wanted = where if where is not None else F.lit(True)
+    counted = docs.select(F.col(id_col).alias("id"), project.alias("project"), wanted.alias("wanted"), let(tokens(F.col(text_col)), count).alias("c")).select("id", "project", "wanted", "c.*")
     has = lambda i, leaf: F.col(f"any{i}") if leaf.near else F.col(f"f{i}") > 0
     stats = counted.groupBy("project").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count_if(has(i, leaf)).alias(f"n{i}") for i, leaf in enumerate(q.leaves)])
     score = F.lit(0.0)

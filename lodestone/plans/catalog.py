@@ -1,11 +1,20 @@
-"""Registered queries of the retrieval engine."""
+"""All registered queries of the retrieval engine and their oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import retrieval
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid_search(spark, sf_dir)
