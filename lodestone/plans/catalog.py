@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import relational, retrieval  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES
 
 
