@@ -64,8 +64,11 @@ def personalized_pagerank(edges: DataFrame, seeds: list[int], rounds: int = ROUN
 
 
 def ranked_chunks(scores: DataFrame, symbol_chunks: DataFrame, limit: int) -> DataFrame:
-    """Chunks by the largest score of their symbols, scaled to a maximum of 1: id, score, rank."""
-    best = scores.join(symbol_chunks.withColumnRenamed("symbol_id", "id"), "id").groupBy("chunk_id").agg(F.max("score").alias("raw"))
+    """Chunks by the largest score of their symbols, scaled to a maximum of 1: id, score, rank.
+
+    Scores equal to 12 digits tie, whatever the order in which parts were added up.
+    """
+    best = scores.join(symbol_chunks.withColumnRenamed("symbol_id", "id"), "id").groupBy("chunk_id").agg(F.round(F.max("score"), 12).alias("raw"))
     top = best.orderBy(F.desc("raw"), "chunk_id").limit(limit)
     w = Window.orderBy(F.desc("raw"), "chunk_id")
     return top.select(F.col("chunk_id").alias("id"), (F.col("raw") / F.max("raw").over(Window.partitionBy())).alias("score"), F.row_number().over(w).alias("rank"))

@@ -254,7 +254,7 @@ def pagerank_personalized(spark, d):
     return _ppr(spark, d).select("id", F.round("score", 7).alias("score"))
 
 
-@query(_ppr_sql(5) + ", b AS (SELECT c_nationkey AS id, max(score) AS raw FROM p5 JOIN customer ON c_custkey = id WHERE score > 1e-10 GROUP BY 1) SELECT id, round(raw / max(raw) OVER (), 6) AS score, CAST(row_number() OVER (ORDER BY raw DESC, id) AS INTEGER) AS rank FROM b ORDER BY raw DESC, id LIMIT 10")
+@query(_ppr_sql(5) + ", b AS (SELECT c_nationkey AS id, round(max(score), 12) AS raw FROM p5 JOIN customer ON c_custkey = id WHERE score > 1e-10 GROUP BY 1) SELECT id, round(raw / max(raw) OVER (), 6) AS score, CAST(row_number() OVER (ORDER BY raw DESC, id) AS INTEGER) AS rank FROM b ORDER BY raw DESC, id LIMIT 10")
 def ppr_ranked_chunks(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("chunk_id"))
     return graph.ranked_chunks(_ppr(spark, d), c, 10).withColumn("score", F.round("score", 6))

@@ -180,7 +180,7 @@ def hybrid_search(spark, d):
 
 @query(bm25_sql([(["gnu"],), (["version"],)], "f0 > 0 AND f1 > 0", limit=30) + """, n AS (SELECT id, score, -score / (1 - score) AS s, row_number() OVER (ORDER BY score, id) AS r FROM hit),
 f AS (SELECT max(s) FILTER (r = 1) AS a, coalesce(max(s) FILTER (r = 2), -1) AS b FROM n)
-SELECT a >= 0.85 AND (b < 0 OR a - b >= 0.15) AS strong, round(a, 6) AS first FROM f""")
+SELECT coalesce(a >= 0.85 AND (b < 0 OR a - b >= 0.15), false) AS strong, round(a, 6) AS first FROM f""")
 def hybrid_short_circuit(spark, d):
     hits = fts.keyword_search(_docs(spark, d), "gnu version", 30)
     best = hits.agg(F.round(F.max(tx.normalize_bm25(F.col("score"))), 6).alias("first")).withColumn("one", F.lit(1))
