@@ -151,6 +151,7 @@ def hybrid_search(
     advanced: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    vector_id_col: str = "vec_id",
 ) -> DataFrame:
     """id, score, rank and rank sources of the fused search, one lazy plan.
 
@@ -172,7 +173,7 @@ def hybrid_search(
         return df if flag is None else df.withColumn("__one", F.lit(1)).join(flag.withColumn("__one", F.lit(1)), "__one").filter("not strong").drop("__one", "strong")
 
     if {"vec", "hyde"} & set(kinds) and query_vector is not None:
-        lists.append(unless_strong(ranked(knn(vectors, query_vector, pool), "semantic")))
+        lists.append(unless_strong(ranked(knn(vectors, query_vector, pool, vector_id_col), "semantic")))
         labels.append("semantic")
     if graph is not None:
         lists.append(unless_strong(graph.select("id", F.lit("graph").alias("list"), "rank")))

@@ -38,16 +38,18 @@ def glob_regex(pattern: str) -> str:
 
 def ignored(path: Column, user: list[str] | None = None) -> Column:
     """Whether a path is left out: secrets always, then the last rule that matches; ``!`` takes a path back in."""
-    out = F.lit(False)
+    groups: list[tuple[bool, list[str]]] = []  # runs of rules of one sign, each one expression
     for rule in [*IGNORED, *(user or [])]:
         if not rule.strip() or rule.startswith("#"):
             continue
         keep = rule.startswith("!")
-        out = F.when(path.rlike(glob_regex(rule.removeprefix("!"))), F.lit(not keep)).otherwise(out)
-    secret = F.lit(False)
-    for rule in SECRET:
-        secret = secret | path.rlike("(?i)" + glob_regex(rule))
-    return secret | out
+        if not groups or groups[-1][0] != keep:
+            groups.append((keep, []))
+        groups[-1][1].append(glob_regex(rule.removeprefix("!")))
+    out = F.lit(False)
+    for keep, rules in groups:
+        out = F.when(path.rlike("|".join(rules)), F.lit(not keep)).otherwise(out)
+    return path.rlike("(?i)" + "|".join(glob_regex(r) for r in SECRET)) | out
 
 
 def _by_extension(ext: Column, table: dict[str, list[str]]) -> Column:
