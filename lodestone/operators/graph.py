@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import common_segments, last_segment
+from lodestone.functions.text import last_segment
 
 MAX_DEPTH = 10
 ALPHA, ROUNDS, KEEP_ABOVE = 0.15, 50, 1e-10
@@ -143,6 +143,28 @@ def impact(symbols: DataFrame, refs: DataFrame, contains: DataFrame, name: str,
 KIND_ORDER = ["function", "class", "method"]
 
 
+def _folders(path: Column) -> Column:
+    """All leading folder paths of a path, from none to all, file name left out."""
+    parts = F.split(F.coalesce(path, F.lit("")), "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def _nearest(refs: DataFrame, defs: DataFrame, tier: str) -> DataFrame:
+    """ref_id, symbol_id, tier by key: the only best definition, or the only nearest of several.
+
+    References meet counts of definitions by key and leading folders, never the definitions
+    themselves, so a name with very many definitions and uses costs no product of the two.
+    """
+    top = defs.groupBy("key").agg(F.min("p").alias("top"))
+    best = defs.join(top, "key").filter("p = top")
+    held = best.select("key", "symbol_id", F.posexplode(_folders(F.col("path"))).alias("level", "folder"))
+    table = held.groupBy("key", "level", "folder").agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id"))
+    asked = refs.select("ref_id", "key", F.posexplode(_folders(F.col("path"))).alias("level", "folder"))
+    met = asked.join(table, ["key", "level", "folder"])
+    near = met.groupBy("ref_id").agg(F.max_by(F.struct("n", "symbol_id"), "level").alias("x"), F.max(F.when(F.col("level") == 0, F.col("n"))).alias("all"))
+    return near.filter("x.n = 1").select("ref_id", "x.symbol_id", F.when(F.col("all") == 1, tier).otherwise("proximity").alias("tier"))
+
+
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Link unresolved references to definitions: ref_id, symbol_id, tier.
 
@@ -153,19 +175,11 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     if it shares strictly more than the next (``proximity``).
     """
     priority = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KIND_ORDER)], F.lit(len(KIND_ORDER)))
-    defs = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("def_name"), F.col("path").alias("def_path"), priority.alias("p"))
-    exact = refs.join(defs, refs.name == defs.def_name)
-    loose = refs.join(defs.select("def_name").distinct(), refs.name == F.col("def_name"), "left_anti").withColumn("tail", last_segment(F.col("name")))
-    tails = defs.withColumn("tail", last_segment(F.col("def_name"))).filter("tail <> ''")
-    suffix = loose.join(tails, "tail")
-    cols = ["ref_id", "symbol_id", "p", common_segments(F.col("path"), F.col("def_path")).alias("near")]
-    found = exact.select(*cols, F.lit("strict").alias("tier")).unionByName(suffix.select(*cols, F.lit("suffix").alias("tier")))
-    group = Window.partitionBy("ref_id")
-    best = found.withColumn("top", F.min("p").over(group)).filter("p = top")
-    order = group.orderBy(F.desc("near"), "symbol_id")
-    seen = best.select("*", F.count("*").over(group).alias("n"), F.row_number().over(order).alias("r"), F.lead("near").over(order).alias("next"))
-    taken = seen.filter("r = 1 and (n = 1 or near > next)")
-    return taken.select("ref_id", "symbol_id", F.when(F.col("n") == 1, F.col("tier")).otherwise("proximity").alias("tier"))
+    defs = symbols.select(F.col("id").alias("symbol_id"), "name", "path", priority.alias("p"))
+    exact = _nearest(refs.withColumn("key", F.col("name")), defs.withColumn("key", F.col("name")), "strict")
+    loose = refs.join(defs.select("name").distinct(), "name", "left_anti")
+    tails = defs.withColumn("key", last_segment(F.col("name"))).filter("key <> ''")
+    return exact.unionByName(_nearest(loose.withColumn("key", last_segment(F.col("name"))), tails, "suffix"))
 
 
 def build_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -176,6 +190,3 @@ def build_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     inner = s.filter("scope <> ''").select("file", F.col("scope").alias("src"), F.col("name").alias("dst"), F.lit("contains").alias("type"))
     return calls.unionByName(inner).dropDuplicates(["file", "src", "dst", "type"])
 
-
-def proximity(a: Column, b: Column) -> Column:
-    return common_segments(a, b)
