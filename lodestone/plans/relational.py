@@ -141,7 +141,7 @@ def project_map(spark, d):
 
 
 RESOLVE = """WITH s AS (SELECT p_partkey AS id, p_name AS name, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 ELSE 3 END AS p, p_brand || '/' || p_size || '/x' AS path FROM part),
-r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, p_name AS name, p_brand || '/' || CAST(l_linenumber AS VARCHAR) || '/y' AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, p_name AS name, p_brand || '/' || CAST(l_linenumber AS VARCHAR) || '/y' AS path FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_quantity = 50 GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey),
 q AS (SELECT ref_id, CASE WHEN ref_id % 3 = 0 THEN 'pkg.mod.' || name WHEN ref_id % 7 = 0 THEN 'none' ELSE name END AS name, path FROM r),
 c AS (SELECT ref_id, s.id AS symbol_id, p, q.path AS a, s.path AS b, 'strict' AS tier FROM q JOIN s ON s.name = q.name
   UNION ALL SELECT ref_id, s.id, p, q.path, s.path, 'suffix' FROM q JOIN s ON s.name = regexp_extract(q.name, '([^.]*)$', 1) WHERE q.name NOT IN (SELECT name FROM s)),
@@ -154,7 +154,8 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     kind = F.when(F.col("p_type") == "ECONOMY", "function").when(F.col("p_type") == "STANDARD", "class").when(F.col("p_type") == "PROMO", "method").otherwise("variable")
     symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("kind"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), F.lit("x")).alias("path"))
-    li = table(spark, d, "lineitem").filter("l_quantity = 50").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    li = table(spark, d, "lineitem").filter("l_quantity = 50").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "l_linenumber", "l_partkey")
+    li = li.groupBy("ref_id", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"))
     name = F.when(F.col("ref_id") % 3 == 0, F.concat(F.lit("pkg.mod."), "p_name")).when(F.col("ref_id") % 7 == 0, "none").otherwise(F.col("p_name"))
     refs = li.join(p.select("p_partkey", "p_name", "p_brand"), "p_partkey").select("ref_id", name.alias("name"), F.concat_ws("/", "p_brand", F.col("l_linenumber").cast("string"), F.lit("y")).alias("path"))
     return graph.resolve(refs, symbols)
