@@ -176,6 +176,21 @@ def test_token_counts_and_rollup(spark, tmp_path):
     assert tr.corpus_rollup(df.limit(0), str(vocabulary)).count() == 0
 
 
+def test_long_runs_of_blanks(monkeypatch):
+    import base64
+    import re
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tr.VOCABULARY, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=tr.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert tr.count_of(encoding, "a" + " " * 1_000_000 + "b") > 1000
+    texts = [f(t) for t in (x for x in ["a" + " " * 40 + "b", "a" + "\n" * 33 + "b", " " * 50, "x" + "\t" * 30 + "y  z" + "\u3000" * 25 + "\n7"]) for f in (str, lambda t: t + "  ")]
+    plain = [len(encoding.encode_ordinary(t)) for t in texts]
+    monkeypatch.setattr(tr, "LONG_RUN", re.compile(tr.LONG_RUN.pattern.replace("4096", "20")))
+    assert [tr.count_of(encoding, t) for t in texts] == plain
+
+
 def test_commits_are_idempotent_and_additive(spark, tmp_path):
     counts = spark.createDataFrame([(i, "s", "en", "v1", 10 * i) for i in range(5)] + [(4, "s", "en", "v1", None)], "doc_id long, source string, lang string, tokenizer string, n_tokens long")
     rollup = tr.Rollup(spark, f"file://{tmp_path}/r")
