@@ -88,7 +88,12 @@ class Rollup:
 
     A batch is summed by key, written under its id by Spark's commit protocol and counts
     only once ``_SUCCESS`` stands; committing an id again is a no-op, and what a failed
-    attempt left is overwritten. Totals are the sums over committed batches.
+    attempt left is overwritten. Totals are the sums over committed batches. One writer
+    works at a time.
+
+    A compacted batch has a list of the ids it stands for, written before it. They stop
+    counting when it is committed, whether or not their folders are gone yet, and stay
+    known, so none can come in again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -100,44 +105,82 @@ class Rollup:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
+    def _list_of(self, batch: str):
+        return self._path(f"{self.root}/_replaced/{batch}")
+
+    def _finished(self) -> list[str]:
         fs = self._fs()
         if not fs.exists(self._path(self.root)):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(self._path(self.root))]
-        return sorted(n for n in names if fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
+        return sorted(n for n in names if not n.startswith("_") and fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
+
+    def _replaced(self, finished: list[str]) -> set[str]:
+        fs, found = self._fs(), set()
+        for n in finished:
+            if fs.exists(self._list_of(n)):
+                stream = fs.open(self._list_of(n))
+                try:
+                    found.update(bytes(stream.readAllBytes()).decode().split())
+                finally:
+                    stream.close()
+        return found
+
+    def committed(self) -> list[str]:
+        """The batches whose sums make up the totals."""
+        finished = self._finished()
+        replaced = self._replaced(finished)
+        return [n for n in finished if n not in replaced]
+
+    def known(self) -> set[str]:
+        """The batches that can't be committed again: those that count, and those compacted."""
+        finished = self._finished()
+        return set(finished) | self._replaced(finished)
+
+    def _check(self, batch: str) -> None:
+        if batch.startswith("_") or not batch.replace("-", "").replace("_", "").isalnum():
+            raise ValueError(f"not a batch id: {batch!r}")
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of (source, lang, tokenizer, docs, tokens); False if it is already in."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
-            raise ValueError(f"not a batch id: {batch!r}")
-        if batch in self.committed():
+        self._check(batch)
+        if batch in self.known():
             return False
-        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
-        sums.filter("docs <> 0 or tokens <> 0").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{batch}")
+        self._fs().delete(self._list_of(batch), False)  # of a compaction that failed
+        self._sums(deltas).write.mode("overwrite").parquet(f"{self.root}/{batch}")
         return True
 
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+        return sums.filter("docs <> 0 or tokens <> 0")
+
     def totals(self) -> DataFrame:
         """docs and tokens by source, lang and tokenizer; keys that came to nothing are left out."""
         names = self.committed()
         if not names:
             return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.root}/{n}" for n in names])
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
-        return sums.filter("docs <> 0 or tokens <> 0")
+        return self._sums(self.spark.read.schema(DELTA).parquet(*[f"{self.root}/{n}" for n in names]))
 
-    def compact(self, batch: str) -> None:
-        """Write the totals as one batch and remove those it stands for (one writer at a time).
+    def compact(self, batch: str) -> bool:
+        """Write the totals as one batch and remove those it stands for; False if the id is already in.
 
-        Removed ids no longer guard against a second commit: compact only batches that
-        can't come again.
+        Totals stay right if this fails at any point, and a second call finishes the work.
         """
-        names = self.committed()
-        self.spark.createDataFrame(self.totals().collect(), DELTA).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_new")
+        self._check(batch)
         fs = self._fs()
-        for n in names:
+        new = batch not in self.known()
+        if new:
+            out = fs.create(self._list_of(batch), True)
+            try:
+                out.write(bytearray("\n".join(sorted(self.known())).encode()))
+            finally:
+                out.close()
+            self.totals().write.mode("overwrite").parquet(f"{self.root}/{batch}")
+        finished = self._finished()
+        for n in self._replaced(finished).intersection(finished):
             fs.delete(self._path(f"{self.root}/{n}"), True)
-        fs.rename(self._path(f"{self.root}/_new"), self._path(f"{self.root}/{batch}"))
+        return new
 
 
 def corpus_rollup(docs: DataFrame, vocabulary: str = VOCABULARY, version: str = "byte_bpe_50k") -> DataFrame:

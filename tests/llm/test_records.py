@@ -203,8 +203,31 @@ def test_commits_are_idempotent_and_additive(spark, tmp_path):
     (tmp_path / "r" / "c").mkdir()  # a batch that never finished doesn't count
     rollup.compact("base")
     assert {(r.tokenizer, r.docs, r.tokens) for r in rollup.totals().collect()} == want and rollup.committed() == ["base"]
-    with pytest.raises(ValueError):
-        rollup.commit("../x", tr.inserts(counts))
+    assert not rollup.commit("a", tr.inserts(counts)) and not rollup.compact("base")  # compacted ids stay known
+    for bad in ("../x", "_x", ""):
+        with pytest.raises(ValueError):
+            rollup.commit(bad, tr.inserts(counts))
+
+
+def test_compaction_that_breaks_off(spark, tmp_path):
+    import shutil
+
+    counts = spark.createDataFrame([("s", "en", "v1", 5), ("s", None, "v1", None)], "source string, lang string, tokenizer string, n_tokens long")
+    rollup, root = tr.Rollup(spark, f"file://{tmp_path}/r"), tmp_path / "r"
+    total = lambda: sorted((r.docs, r.tokens) for r in rollup.totals().collect())
+    rollup.commit("a", tr.inserts(counts))
+    rollup.commit("b", tr.inserts(counts))
+    shutil.copytree(root / "a", tmp_path / "a")
+    rollup.compact("base")
+    shutil.copytree(tmp_path / "a", root / "a")  # as if it ended before removing this one
+    assert total() == [(2, 0), (2, 10)] and not rollup.commit("a", tr.inserts(counts))
+    assert not rollup.compact("base") and not (root / "a").exists() and total() == [(2, 0), (2, 10)]
+    (root / "base2").mkdir()  # as if it ended while writing the totals
+    (root / "_replaced" / "base2").write_text("base")
+    assert total() == [(2, 0), (2, 10)]
+    assert rollup.commit("base2", tr.deletes(counts)) and total() == [(1, 0), (1, 5)]
+    assert rollup.compact("base3") and total() == [(1, 0), (1, 5)] and rollup.committed() == ["base3"]
+    assert not any(rollup.commit(b, tr.inserts(counts)) for b in ("a", "b", "base", "base2"))
 
 
 def test_rollup_of_the_tables(spark, sf_dir):
