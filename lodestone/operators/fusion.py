@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as tx
-from lodestone.functions.vectors import cosine_to, dot, literal, unit_norm
+from lodestone.functions.vectors import cosine_to
 from lodestone.operators import fts
 
 RRF_K = 60
 WEIGHTS = {"keyword": 1.0, "semantic": 1.2, "graph": 0.8}
 STRONG, GAP = 0.85, 0.15
 OVERFETCH = 3
+#: Query vectors that a task holds at once.
+QUERY_BLOCK = 512
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -33,20 +38,53 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_i
     return scored.orderBy(*order).limit(OVERFETCH * k).filter(where).select("id", "score").orderBy(*order).limit(k)
 
 
-def knn_many(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, id, score and rank for a stated set of query vectors, in one scan.
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score and rank of the k nearest rows of every query (query_id, q).
 
-    The queries travel as literals; the group limit of the window keeps k rows of each
-    query in a task before anything is shuffled.
+    Queries go to the tasks in blocks of about ``block`` vectors, one scan of the vectors a
+    block. A task multiplies each Arrow batch with the block and keeps k rows a query, so
+    only those are shuffled. Scores are exact cosines to 12 digits, equal ones by id. Rows
+    of norm 0 score 0; null vectors, and queries that are null or of norm 0, find nothing.
     """
     import numpy as np
 
-    unit = [(i, np.asarray(v, np.float64) / (np.linalg.norm(v) or 1.0)) for i, v in queries]
-    qs = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), literal(v).alias("q")) for i, v in unit])
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), unit_norm(F.col(vec_col)).alias("n"), F.explode(qs).alias("x"))
-    scored = pairs.select("x.query_id", "id", (dot(F.col("v"), F.col("x.q")) / F.col("n")).alias("score"))
+    fields = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter("v is not null")
+
+    def nearest(names: list, unit: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple]] = [[] for _ in names]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, m = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.float64)
+                m /= np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+                scores = np.round(unit @ m.T, 12)
+                at = max(0, len(ids) - k)
+                least = np.partition(scores, at, axis=1)[:, at]
+                found: dict[int, list[tuple]] = {}
+                for q, i in zip(*map(np.ndarray.tolist, np.nonzero(scores >= least[:, None])), strict=True):
+                    found.setdefault(q, []).append((-float(scores[q, i]), ids[i]))
+                for q, more in found.items():
+                    best[q] = sorted(best[q] + more)[:k]
+            flat = [(q, i, -s) for q, hits in zip(names, best, strict=True) for s, i in hits]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], t) for c, t in enumerate(types)], names=fields.names)
+
+        return run
+
+    types = [f.type for f in to_arrow_schema(fields)]
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = queries.filter(F.col("q").isNotNull() & (F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == b)).select("query_id", "q").collect()  # about `block` rows
+        held = [(r.query_id, v / n) for r in part if (n := np.linalg.norm(v := np.asarray(r.q, np.float64))) > 0]
+        if held:
+            hits = rows.mapInArrow(nearest([q for q, _ in held], np.array([v for _, v in held])), fields)
+            out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], fields)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def ranked(hits: DataFrame, label: str, ascending: bool = False) -> DataFrame:

@@ -118,6 +118,11 @@ def _vector(spark, d, i: int) -> list[float]:
     return list(table(spark, d, "embeddings").filter(F.col("vec_id") == i).first().embedding)
 
 
+def _query_vectors(spark, d) -> DataFrame:
+    """The stated query set of the vector searches: every row whose id is divisible by 20."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
@@ -126,10 +131,9 @@ def knn_cosine(spark, d):
     return _done(fusion.knn(table(spark, d, "embeddings"), _vector(spark, d, 0), 10))
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 8 QUALIFY rank <= 5")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, round({COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5")
 def knn_multi(spark, d):
-    qs = [(r.vec_id, list(r.embedding)) for r in table(spark, d, "embeddings").filter("vec_id < 8").collect()]
-    return fusion.knn_many(table(spark, d, "embeddings"), qs, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return fusion.knn_many(table(spark, d, "embeddings"), _query_vectors(spark, d), 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT id, round(s, 6) AS score FROM (SELECT e.vec_id AS id, e.label, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 3 ORDER BY s DESC, id LIMIT 30) WHERE label <= 4 ORDER BY s DESC, id LIMIT 10")
@@ -257,16 +261,15 @@ def html_text_regex(spark, d):
 
 
 @query("""WITH a AS (SELECT e.vec_id AS query_id, f.vec_id AS id, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, f.vec_id) AS rank, e.label = f.label AS good
-  FROM embeddings e, embeddings f WHERE e.vec_id < 20 QUALIFY rank <= 10),
-r AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings x ON x.label = q.label WHERE q.vec_id < 20 GROUP BY 1),
+  FROM embeddings e, embeddings f WHERE e.vec_id % 20 = 0 QUALIFY rank <= 10),
+r AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings x ON x.label = q.label WHERE q.vec_id % 20 = 0 GROUP BY 1),
 p AS (SELECT query_id, min(rank) FILTER (good) AS f, coalesce(sum(1 / log2(rank + 1)) FILTER (good), 0) AS dcg FROM a GROUP BY 1)
 SELECT query_id, round(coalesce(1 / f, 0), 6) AS rr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
  CAST(coalesce(f <= 1, false) AS INTEGER) AS top1, CAST(coalesce(f <= 3, false) AS INTEGER) AS top3, CAST(coalesce(f <= 5, false) AS INTEGER) AS top5, CAST(coalesce(f <= 10, false) AS INTEGER) AS topk FROM p JOIN r USING (query_id)""")
 def metrics_mrr_ndcg(spark, d):
     e = table(spark, d, "embeddings")
-    qs = [(r.vec_id, list(r.embedding)) for r in e.filter("vec_id < 20").collect()]
-    relevant = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
-    m = relations.retrieval_metrics(fusion.knn_many(e, qs, 10), relevant)
+    relevant = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
+    m = relations.retrieval_metrics(fusion.knn_many(e, _query_vectors(spark, d), 10), relevant)
     return m.withColumn("rr", F.round("rr", 6)).withColumn("ndcg", F.round("ndcg", 6))
 
 
@@ -290,13 +293,16 @@ def drift_column_means(spark, d):
     return relations.column_means(table(spark, d, "embeddings"), "embedding").withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH a AS (SELECT vec_id AS id, vec_id + 1 AS rank FROM embeddings WHERE vec_id < 12), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id BETWEEN 8 AND 20),
-u AS (SELECT id, 'first' AS origin, rank - 1 + (rank - 1) // 2 AS place FROM a UNION ALL SELECT id, 'second', rank * 3 - 1 FROM b)
+def _list_sql(query: int) -> str:
+    return f"(SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT e.vec_id AS id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = {query} ORDER BY s DESC, id LIMIT 15))"
+
+
+@query(f"""WITH u AS (SELECT id, 'first' AS origin, rank - 1 + (rank - 1) // 2 AS place FROM {_list_sql(0)} UNION ALL SELECT id, 'second', rank * 3 - 1 FROM {_list_sql(3)})
 SELECT id, arg_min(origin, place) AS origin, CAST(min(place) AS BIGINT) AS place FROM u GROUP BY id ORDER BY place, id LIMIT 15""")
 def interleave(spark, d):
-    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    a = ids.filter("id < 12").withColumn("rank", F.col("id") + 1)
-    return fusion.interleave(a, ids.filter("id between 8 and 20").withColumn("rank", F.col("id") - 7), 2, 15)
+    e = table(spark, d, "embeddings")
+    a, b = (fusion.ranked(fusion.knn(e, _vector(spark, d, i), 15), str(i)) for i in (0, 3))
+    return fusion.interleave(a, b, 2, 15)
 
 
 @query("SELECT doc_id, source, round FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS round FROM documents) ORDER BY round, source LIMIT 50")

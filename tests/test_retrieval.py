@@ -83,3 +83,22 @@ def test_drift_rotation_recovers_a_rotation(spark):
     q, _ = np.linalg.qr(rng.normal(size=(4, 4)))
     pairs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(old, old @ q.T, strict=True)], "old array<double>, new array<double>")
     assert np.allclose(relations.drift_rotation(pairs, "old", "new", 4), q, atol=1e-6)
+
+
+def test_knn_many_against_numpy_in_any_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(200)]  # many ties, some zeros
+    v = spark.createDataFrame([*rows, (200, None)], "vec_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([*rows[:30], (30, None), (31, [0.0] * 4)], "query_id long, q array<double>")
+    unit = {i: np.array(x) / (np.linalg.norm(x) or 1) for i, x in rows}
+    want = set()
+    for q, x in rows[:30]:
+        if any(x):
+            best = sorted(unit, key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:7]
+            want |= {(q, i, r + 1) for r, i in enumerate(best)}
+    for block in (1024, 7):
+        got = fusion.knn_many(v, queries, 7, block=block)
+        assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
+    assert fusion.knn_many(v, queries.limit(0), 7).count() == 0 and fusion.knn_many(v.limit(0), queries, 7).count() == 0
