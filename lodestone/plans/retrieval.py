@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import unit_norm
-from lodestone.operators import fts, fusion, relations, snippets
+from lodestone.operators import fanout, fts, fusion, relations, snippets
 
 from .registry import query, table
 
@@ -305,6 +305,21 @@ def interleave(spark, d):
     return fusion.interleave(a, b, 2, 15)
 
 
+FAN_PATH = "CASE WHEN doc_id % 5 = 0 THEN coalesce(source, '') || '/README.md' ELSE coalesce(source, '') || '/' || CAST(doc_id AS VARCHAR) END"
+
+
+@query(f"""WITH u AS (SELECT id, 'code' AS origin, (rank - 1) * 3 AS place FROM {_list_sql(0)} UNION ALL SELECT id, 'general', (rank - 1) // 2 * 3 + 1 + (rank - 1) % 2 FROM {_list_sql(3)}),
+d AS (SELECT u.*, text, {FAN_PATH} AS path FROM u JOIN documents ON doc_id = id),
+m AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY path, left(coalesce(text, ''), 100) ORDER BY place) = 1 ORDER BY place LIMIT 30),
+r AS (SELECT *, row_number() OVER (ORDER BY path LIKE '%/README.md', place) AS rank FROM m)
+SELECT id, origin, rank, len(list_filter(['the', 'eron', 'que'], lambda w: list_contains({TOKENS}, w))) / 3.0 AS rerank_score FROM r WHERE rank <= 20 ORDER BY rerank_score DESC, rank LIMIT 10""")
+def fan_out(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.expr(FAN_PATH.replace("VARCHAR", "STRING")).alias("path"), F.col("text").alias("content"))
+    code, general = (fusion.ranked(fusion.knn(table(spark, d, "embeddings"), _vector(spark, d, i), 15), str(i)).join(docs, "id") for i in (0, 3))
+    out = fanout.fan_out(code, general, "que the eron", weight=2, demote=True)
+    return out.select("id", "origin", F.col("rank").cast("long").alias("rank"), "rerank_score")
+
+
 @query("SELECT doc_id, source, round FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS round FROM documents) ORDER BY round, source LIMIT 50")
 def stratified_sample(spark, d):
     s = relations.stratified(_docs(spark, d).select("doc_id", "source"), "source", F.md5(F.col("doc_id").cast("string")), 50)

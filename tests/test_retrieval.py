@@ -102,3 +102,17 @@ def test_knn_many_against_numpy_in_any_blocks(spark):
         got = fusion.knn_many(v, queries, 7, block=block)
         assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
     assert fusion.knn_many(v, queries.limit(0), 7).count() == 0 and fusion.knn_many(v.limit(0), queries, 7).count() == 0
+
+
+def test_fan_out_takes_turns_and_demotes(spark):
+    from lodestone.operators import fanout
+
+    schema = "rank int, id long, path string, content string"
+    code = spark.createDataFrame([(1, 1, "a.py", "x load"), (2, 2, "README.md", "y"), (3, 3, None, None)], schema)
+    general = spark.createDataFrame([(1, 4, "d.md", "load user"), (2, 1, "a.py", "x load"), (3, 5, "e.md", "z")], schema)
+    ids = lambda df: [r.id for r in df.orderBy("rank").collect()]
+    assert ids(fanout.fan_out(code, general, "q", rerank=False)) == [1, 4, 2, 3, 5]
+    assert ids(fanout.fan_out(code, general, "q", weight=2, demote=True, rerank=False)) == [1, 4, 5, 3, 2]
+    assert [(r.id, r.rerank_score) for r in fanout.fan_out(code, general, "load user", top_k=2).collect()] == [(4, 1.0), (1, 0.5)]
+    assert fanout.fan_out(code.limit(0), general.limit(0), "q").count() == 0
+    assert fanout.route("doc").source_types == ("markdown", "json") and fanout.route("none").rerank
