@@ -42,7 +42,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated_chunks(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return line_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

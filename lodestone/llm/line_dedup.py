@@ -1,8 +1,9 @@
-"""Removal of multi-line chunks that repeat across documents, with content-defined boundaries."""
+"""Removal of passages of several lines, or of content-defined chunks, that repeat across documents."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -106,10 +107,93 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     named = docs.withColumns({"__i": key[0], "__r": key[1]})
     marked = named.join(gone, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rk")), "left").drop("__i", "__r", "__id", "__rk")
-    return _rebuilt(marked, text_col, docs.columns)
+    return _rebuilt(marked, text_col, docs.columns, _without_chunks)
 
 
-def _rebuilt(marked: DataFrame, text_col: str, order: list[str]) -> DataFrame:
+def pairs_of(text: bytes | None) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, bytes) of each line that isn't blank with the next one, and blank lines between."""
+    lines = text.split(b"\n") if text else []
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return [(i, j, b"\n".join(lines[i : j + 1])) for i, j in zip(full, full[1:])]
+
+
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove from each text all passages of two or more lines that stand earlier in the corpus.
+
+    A passage is a run of lines, two of them not blank, equal in all bytes to another run. It is
+    a chain of neighbouring lines each pair of which stands earlier, so pairs are compared and
+    every line of a pair goes that isn't the pair's first one: whole passages go, whatever
+    surrounds them. First is the document with the smallest id, null ids last, and there the
+    smallest line. Pairs are equal if their SHA-256 digests are. Every distinct line stays
+    where it first stands, and a line repeated alone stays; of a line repeated in a row two stay.
+
+    Columns, null and empty texts, repeated rows and empty tables are as in
+    ``remove_repeated_chunks``; a text all of whose lines go becomes empty.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    text = F.col(f"`{text_col}`")
+    key = [F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__rk")]
+    slim = docs.select(*key, text.cast("binary").alias("t"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [xxhash.xxh64_intdigest(body) - (1 << 63) for t in batch.column(0).to_pylist() for _, _, body in pairs_of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+
+    def places(only: frozenset[int] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, numbers, found, digests = [], [], [], []
+                for i, t in enumerate(batch.column(2).to_pylist()):
+                    for number, (_, _, body) in enumerate(pairs_of(t)):
+                        h = xxhash.xxh64_intdigest(body) - (1 << 63)
+                        if only is None or h in only:
+                            rows.append(i)
+                            numbers.append(number)
+                            found.append(h)
+                            digests.append(hashlib.sha256(body).digest())
+                take = pa.array(rows, pa.int64())
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(found, pa.int64()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__rk", "pair", "h", "digest"])
+
+        return slim.mapInArrow(run, f"__id {id_type}, __rk bigint, pair int, h bigint, digest binary")
+
+    again = written(slim.select("t").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "line-again")
+    if again.count() <= HELD_HASHES:
+        pairs = places(frozenset(r.h for r in again.collect()))
+    else:
+        pairs = places(None).join(again, "h", "left_semi")
+    pairs = written(pairs.drop("h").withColumn("at", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__rk", "pair")), "line-pairs")
+    firsts = pairs.groupBy(F.col("digest").alias("d")).agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    firsts = written(firsts, "line-firsts")  # a stage of its own, so that the join can split a very common pair
+    # In a run of one line, the pair next to the first shares a line with it and is no second passage.
+    beside = (F.col("no_id") == F.col("first.no_id")) & F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__rk") == F.col("first.__rk")) & F.col("pair").between(F.col("first.pair"), F.col("first.pair") + 1)
+    same = pairs.join(firsts, F.col("digest") == F.col("d")).withColumn("no_id", F.col("at.no_id")).filter(~beside)
+    gone = same.select("__id", "__rk", "pair").distinct().groupBy("__id", "__rk").agg(F.collect_list("pair").alias("__gone"))
+
+    named = docs.withColumns({"__i": key[0], "__r": key[1]})
+    marked = named.join(gone, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rk")), "left").drop("__i", "__r", "__id", "__rk")
+    return _rebuilt(marked, text_col, docs.columns, _without_pairs)
+
+
+def _without_chunks(t: bytes, gone: set[int]) -> tuple[bytes, int]:
+    parts, drop = [], 0
+    for number, (_, size, body) in enumerate(chunks_of(t)):
+        if number in gone:
+            drop += size
+        else:
+            parts.append(body)
+    return b"\n".join(parts), drop
+
+
+def _without_pairs(t: bytes, gone: set[int]) -> tuple[bytes, int]:
+    out = {i for number, (a, b, _) in enumerate(pairs_of(t)) if number in gone for i in range(a, b + 1)}
+    return b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in out), len(out)
+
+
+def _rebuilt(marked: DataFrame, text_col: str, order: list[str], without: Callable[[bytes, set[int]], tuple[bytes, int]]) -> DataFrame:
     from pyspark.sql import types as T
 
     def make():
@@ -119,13 +203,7 @@ def _rebuilt(marked: DataFrame, text_col: str, order: list[str]) -> DataFrame:
                 n = t.count(b"\n") + 1 if t else 0
                 drop = 0
                 if g:
-                    parts, out_of = [], set(g)
-                    for number, (_, size, body) in enumerate(chunks_of(t)):
-                        if number in out_of:
-                            drop += size
-                        else:
-                            parts.append(body)
-                    t = b"\n".join(parts)
+                    t, drop = without(t, set(g))
                 out.append(t.decode() if t is not None else None)
                 lines.append(n)
                 removed.append(drop)

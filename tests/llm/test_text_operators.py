@@ -112,6 +112,41 @@ def test_boundaries_resist_shifts():
     assert len(a & b) >= len(a) // 2
 
 
+def brute_passages(rows):
+    """Lines left by (id, text), and lines removed, if all pairs of neighbouring full lines are compared by their bytes."""
+    first, spans = {}, []
+    for key in sorted({(i is None, i or 0, t) for i, t in rows if t}):
+        lines = key[2].split("\n")
+        full = [n for n, x in enumerate(lines) if x.strip()]
+        for number, (a, b) in enumerate(zip(full, full[1:])):
+            f = first.setdefault("\n".join(lines[a : b + 1]), (key, number))
+            if f[0] != key or number - f[1] > 1:
+                spans.append((key, a, b))
+    out = {}
+    for i, t in rows:
+        gone = {n for key, a, b in spans if key == (i is None, i or 0, t) for n in range(a, b + 1)}
+        out[i, t] = (t and "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_whole_passages_go(spark, monkeypatch, held):
+    monkeypatch.setattr(ld, "HELD_HASHES", held)
+    rng = random.Random(9)
+    shared = [[f"shared {k} {i}" for i in range(2 + k)] for k in range(6)]
+    rows = [(k, "\n".join(x)) for k, x in enumerate(shared)]
+    for i in range(40):
+        k = rng.randrange(6)
+        rows.append((100 + i, "\n".join([*[f"own {i} {j}" for j in range(rng.randrange(1, 5))], *shared[k], *[f"tail {i} {j}" for j in range(rng.randrange(1, 4))], "common", f"end {i}"])))
+    rows += [(70, "y\n" * 5), (71, None), (72, ""), (73, "\n\n"), (74, "a\n\nb\nown"), (75, "q\na\n\nb\n"), (None, rows[1][1]), (100, rows[6][1])]
+    got = ld.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_passages(rows)
+    assert sorted(((r.doc_id, r.text, r.n_removed_lines) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
+    texts = {r.doc_id: r.text for r in got}
+    assert not any("shared" in texts[100 + i] for i in range(40)) and all("common" in texts[100 + i] for i in range(40))
+    assert texts[70] == "y\ny\n" and texts[75] == "q\n" and texts[None] == ""
+
+
 def brute_base(t):
     t = t or ""
     words = re.findall("[^\x20\x09-\x0d]+", t)
