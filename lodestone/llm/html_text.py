@@ -29,7 +29,9 @@ FLUSH_KEYS = 100_000
 
 # Element names and the words of class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|canvas|object|select"
+RAW = "script|style|noscript|template|textarea|title"
+#: Left out once their end tag is met; without one (or with '/>') they are empty and what follows is text.
+EMBEDDED = set("iframe svg math canvas object select".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = set("head nav header footer aside form button dialog menu fieldset datalist audio video map".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -98,6 +100,7 @@ def tree_of(html: str) -> Node:
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
+                    stack[i].drop = stack[i].drop or name in EMBEDDED
                     del stack[i:]
                     break
                 if name in INLINE and stack[i].tag not in INLINE:
@@ -110,7 +113,7 @@ def tree_of(html: str) -> Node:
                     break
                 if stack[i].tag in HOLDS - {"td", "th"}:
                     break
-        elif name not in INLINE and name not in VOID:  # a block ends an open paragraph
+        elif name not in INLINE and name not in VOID and name not in EMBEDDED:  # a block ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     del stack[i:]
@@ -118,7 +121,7 @@ def tree_of(html: str) -> Node:
                 if stack[i].tag in HOLDS:
                     break
         drop, region = marked(name, m["attrs"])
-        node = Node(name, drop or name in DROPPED, region or name in REGION)
+        node = Node(name, name not in EMBEDDED and (drop or name in DROPPED), region or name in REGION)
         stack[-1].kids.append(node)
         if name not in VOID and not (m["self"] and name not in HOLDS and name != "p"):
             stack.append(node)

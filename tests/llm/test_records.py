@@ -137,6 +137,15 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "select", "iframe"])
+def test_embedded_elements_swallow_no_text(tag):
+    one = lambda x: html_text.main_text(f"<article><p>one</p>{x}<p>two</p></article><p>out</p>")
+    assert one(f'<{tag} viewBox="0 0 1 1"/>') == one(f"<{tag}>") == one(f"<{tag}><{tag} aria-hidden='true'>") == "one two"
+    assert one(f"<{tag}><b>in</b><path d='1'/>in</{tag}>") == one(f"<{tag}/>a<{tag}>in</{tag}>").replace(" a ", " ") == "one two"
+    assert html_text.main_text(f"<p>one <{tag} x='/'>in</{tag}> two") == html_text.main_text(f"<p>one <{tag}/> two") == "one two"
+    assert html_text.main_text(f"<div><{tag}>" * 3000 + "deep") == "deep"
+
+
 @pytest.mark.parametrize("hosts", [10_000, 0])
 def test_site_template_goes(spark, monkeypatch, hosts):
     monkeypatch.setattr(html_text, "BROADCAST_HOSTS", hosts)
