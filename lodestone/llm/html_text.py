@@ -19,13 +19,17 @@ from pyspark.sql import types as T
 
 from .shared import add_columns, prepare, written
 
-#: A subtree on at least so many pages, and this share of its host's pages, is template.
+#: A subtree on at least so many pages, and this share of its host's pages, is template; pages of equal text count once.
 #: So a host has at most 1 / TEMPLATE_SHARE times as many templates as a page has elements.
 TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.2
 #: Hosts with templates that are broadcast; beyond it the join shuffles.
 BROADCAST_HOSTS = 10_000
 FLUSH_KEYS = 100_000
+#: Neighbouring recurring subtrees with this share of a page's text are its main text, copied on other pages ...
+HELD_SHARE = 0.5
+#: ... and so is all of it where the templates would leave less than this share.
+LEFT_SHARE = 0.25
 
 # Element names and the words of class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -55,12 +59,12 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("drop", "hash", "kids", "link", "region", "size", "tag")
+    __slots__ = ("drop", "hash", "kept", "kids", "link", "region", "size", "tag")
 
     def __init__(self, tag: str, drop: bool = False, region: bool = False):
         self.tag, self.drop, self.region = tag, drop, region
         self.kids: list[Node | str] = []
-        self.hash = self.size = self.link = 0
+        self.hash = self.size = self.kept = self.link = 0
 
 
 def marked(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -131,7 +135,7 @@ def tree_of(html: str) -> Node:
 
 
 def hashed(node: Node, linked: bool = False) -> None:
-    """Set each subtree's hash (of its tag and content), text size and size of its link text."""
+    """Set each subtree's hash (of its tag and content), text size, size of what isn't dropped and of its link text."""
     stack: list[tuple[Node, bool, bool]] = [(node, linked, False)]
     while stack:
         n, inside, done = stack.pop()
@@ -145,10 +149,12 @@ def hashed(node: Node, linked: bool = False) -> None:
             if isinstance(k, str):
                 text = " ".join(unescape(k).split())
                 n.size += len(text)
+                n.kept += len(text)
                 n.link += len(text) if inside else 0
                 parts.append(text)
             else:
                 n.size += k.size
+                n.kept += 0 if k.drop else k.kept
                 n.link += k.link
                 parts.append(str(k.hash))
         n.hash = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
@@ -173,12 +179,18 @@ def main_text(html: str | None, templates: set[int] | frozenset[int] = frozenset
         return ""
     root = tree_of(html)
     hashed(root)
-    regions = [r for name in ("article", "main", "") if (r := _regions(root, name))]
-    for parts in [*regions, [root]]:
-        text = " ".join(t for p in parts if (t := _text(p, templates, p is not root)))
+    return _main(root, templates)
+
+
+def _main(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> str:
+    for parts in (r for name in ("article", "main", "") if (r := _regions(root, name))):
+        text = " ".join(t for p in parts if (t := _text(p, templates, True)))
         if text:
             return text
-    return ""
+    text = _text(root, templates, False)
+    if templates and len(text) < LEFT_SHARE * len(_text(root, frozenset(), False)):
+        return _text(root, templates, False, True)
+    return text
 
 
 def _regions(root: Node, tag: str) -> list[Node]:
@@ -193,11 +205,12 @@ def _regions(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _text(top: Node, templates: set[int] | frozenset[int], declared: bool) -> str:
+def _text(top: Node, templates: set[int] | frozenset[int], declared: bool, whole: bool = False) -> str:
+    """Text of a region, or of a page; of a region, or with ``whole``, only link-heavy templates go."""
     parts: list[str] = []
-    stack: list[tuple[Node | str, bool]] = [(top, False)]
+    stack: list[tuple[Node | str, bool, bool]] = [(top, False, declared or whole)]
     while stack:
-        n, title_only = stack.pop()
+        n, title_only, inside = stack.pop()
         if isinstance(n, str):
             if not title_only:
                 parts.append(unescape(n))
@@ -209,44 +222,69 @@ def _text(top: Node, templates: set[int] | frozenset[int], declared: bool) -> st
                 continue
             if n.tag in HEADINGS:
                 title_only = False
-            if n.hash in templates and n.size and (not declared or 2 * n.link >= n.size):
+            if n.hash in templates and n.size and (not inside or 2 * n.link >= n.size):
                 continue
         if n.tag not in INLINE:
             parts.append(" ")
-            stack.append((" ", False))
-        stack.extend((k, title_only) for k in reversed(n.kids))
+            stack.append((" ", False, inside))
+        held = set() if inside or not templates else _held(n, templates, top.kept)
+        stack.extend((k, title_only, inside or i in held) for i, k in reversed(list(enumerate(n.kids))))
     return " ".join("".join(parts).split())
 
 
+def _held(n: Node, templates: set[int] | frozenset[int], total: int) -> set[int]:
+    """Places of the children in runs of recurring, not link-heavy ones that hold much of a page's text."""
+    held: set[int] = set()
+    run, size = [], 0
+    for i, k in enumerate([*n.kids, "end"]):
+        if isinstance(k, str):
+            if not k.strip():
+                continue
+        elif k.drop or not k.size:
+            continue
+        elif k.hash in templates and 2 * k.link < k.size:
+            run.append(i)
+            size += k.kept
+            continue
+        if size and size >= HELD_SHARE * total:
+            held.update(run)
+        run, size = [], 0
+    return held
+
+
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host and the hashes of the subtrees that recur across its pages; input host and html."""
+    """host and the hashes of the subtrees that recur across its pages; input host and html.
+
+    Pages of a host with equal text outside boilerplate are copies and count as one page.
+    """
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], int] = {}
+        met: dict[tuple[str, int, int | None], None] = {}
 
         def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            rows = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(rows, names=["host", "h", "n"])
+            rows = [pa.array([k[i] for k in met], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            met.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["host", "content", "h"])
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = tree_of(html or "")
                 hashed(root)
-                for h in candidates(root):
-                    counts[host, h] = counts.get((host, h), 0) + 1
-            if len(counts) > FLUSH_KEYS:
-                yield flush()
+                content = xxhash.xxh64_intdigest(_main(root)) - (1 << 63)
+                met[host, content, None] = None  # the page itself
+                met.update(((host, content, h), None) for h in candidates(root))
+                if len(met) > FLUSH_KEYS:
+                    yield flush()
         yield flush()
 
-    met = pages.select("host", "html").mapInArrow(run, "host string, h bigint, n bigint").groupBy("host", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    often = met.join(sizes, "host").filter(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
+    met = pages.select("host", "html").mapInArrow(run, "host string, content bigint, h bigint").distinct()
+    counts = written(met.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("h").isNull() | (F.col("n") >= TEMPLATE_PAGES)), "html-counts")
+    sizes = counts.filter("h is null").select("host", F.col("n").alias("pages"))
+    often = counts.filter("h is not null").join(sizes, "host").filter(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
     return often.groupBy("host").agg(F.collect_list("h").alias("templates"))  # bounded by TEMPLATE_SHARE
 
 
@@ -256,9 +294,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     The article is the text of article elements, else of main elements or elements declared
     as such by role or itemprop, else of the whole body; never of menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag,
-    role, class or id. Recurring subtrees of the host go too; inside a declared region only
-    if they are mostly links, since copies of an article also recur. References are decoded,
-    white space is one space, blocks are joined by one space. Of a header inside an article
+    role, class or id. Recurring subtrees of the host go too, but since copies of an article
+    also recur, only those mostly of links inside a declared region, inside neighbouring
+    recurring subtrees with half of a page's text, and where less than a quarter of a page's
+    text would be left. Pages of equal text count once. References are decoded, white space is one space, blocks are joined by one space. Of a header inside an article
     the headings stay.
 
     Null and empty html give an empty text; a null url, or one without host, counts under

@@ -157,6 +157,23 @@ def test_site_template_goes(spark, monkeypatch, hosts):
     assert got[100][0] == "Welcome to the site Story 100 text Terms apply" and got[205][0] == "Same article"
 
 
+def test_copied_articles_without_article_tags_stay(spark):
+    article = "<div><h1>Long title</h1><p>A first paragraph of the copied article.</p><p>And a second one.</p></div>"
+    bare = article.removeprefix("<div>").removesuffix("</div>")
+    own = "".join(f"<p>Text of its own, number {{0}}, in {w} words.</p>" for w in ("some", "more"))
+    pages = [("copy", f"<body>{article}</body>")] * 8 + [("foot", f"<body>{article}<footer>Day {i}</footer></body>") for i in range(8)]
+    pages += [("rest", f"<body>{article}<div>Day {i}</div></body>") for i in range(8)] + [("bare", f"<body>{bare}<p>Day {i}</p></body>") for i in range(8)]
+    pages += [(None, f"<p>{i}</p>{article}") for i in range(8)]
+    pages += [("rest", f"<body><div>Welcome to us</div>{own.format(i)}<div>Terms apply</div></body>") for i in range(12)]
+    rows = [(i, host and f"http://{host}.com/{i}", html) for i, (host, html) in enumerate(pages)]
+    text = "Long title A first paragraph of the copied article. And a second one."
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        if r.page_id < 40:
+            assert text in r.text, rows[r.page_id]
+        else:
+            assert r.text.startswith("Text of its own") and r.text.endswith("in more words.")
+
+
 def test_template_counts_equal_brute_force(spark):
     rng = random.Random(8)
     rows = [(f"h{rng.randrange(3)}", "".join(f"<div>{rng.choice('abcdef')}</div>" for _ in range(4))) for _ in range(60)]
