@@ -18,8 +18,11 @@ MIN_NODES, MIN_DENSITY, MIN_CONNECTED = 100, 0.75, 0.5
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; without one the plan just grows."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Cut the lineage in the shared checkpoint folder; without one on the only machine, or else the plan just grows."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    return df.localCheckpoint() if context.master.startswith("local[") or context.master == "local" else df
 
 
 def load(edges: DataFrame, nodes: DataFrame) -> DataFrame:

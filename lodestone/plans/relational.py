@@ -150,11 +150,11 @@ k AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, row_number() OVER (PAR
 done AS (SELECT ref_id, symbol_id, CASE WHEN n = 1 THEN tier ELSE 'proximity' END AS tier FROM k WHERE r = 1 AND (n = 1 OR near > nx)) """
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
+def _resolved(spark: SparkSession, d: str, rows: str = "l_quantity = 50") -> DataFrame:
     p = table(spark, d, "part")
     kind = F.when(F.col("p_type") == "ECONOMY", "function").when(F.col("p_type") == "STANDARD", "class").when(F.col("p_type") == "PROMO", "method").otherwise("variable")
     symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("kind"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), F.lit("x")).alias("path"))
-    li = table(spark, d, "lineitem").filter("l_quantity = 50").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "l_linenumber", "l_partkey")
+    li = table(spark, d, "lineitem").filter(rows).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "l_linenumber", "l_partkey")
     li = li.groupBy("ref_id", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"))
     name = F.when(F.col("ref_id") % 3 == 0, F.concat(F.lit("pkg.mod."), "p_name")).when(F.col("ref_id") % 7 == 0, "none").otherwise(F.col("p_name"))
     refs = li.join(p.select("p_partkey", "p_name", "p_brand"), "p_partkey").select("ref_id", name.alias("name"), F.concat_ws("/", "p_brand", F.col("l_linenumber").cast("string"), F.lit("y")).alias("path"))
@@ -171,6 +171,20 @@ def resolution_stats(spark, d):
     return _resolved(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("symbol_id").alias("targets"))
 
 
+# The two above read few rows so that their SQL is cheap; these read all of lineitem.
+RESOLVE_WHOLE = RESOLVE.replace(" WHERE l_quantity = 50", "")
+
+
+@query(RESOLVE_WHOLE + "SELECT * FROM done")
+def name_resolution_whole(spark, d):
+    return _resolved(spark, d, "true")
+
+
+@query(RESOLVE_WHOLE + "SELECT tier, count(*) AS n, count(DISTINCT symbol_id) AS targets FROM done GROUP BY tier")
+def resolution_stats_whole(spark, d):
+    return _resolved(spark, d, "true").groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("symbol_id").alias("targets"))
+
+
 CONTAINS = "(SELECT 30000000 + n_regionkey AS src, 20000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 20000000 + c_nationkey, c_custkey FROM customer UNION ALL SELECT 20000000 + s_nationkey, 10000000 + s_suppkey FROM supplier)"
 
 
@@ -214,8 +228,8 @@ SMALL = "(SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM line
 REACH = f"WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {SMALL} UNION SELECT dst, src FROM {SMALL}), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a) "
 
 
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_quantity = 50 and l_tax = 0.08")
+def _small(spark: SparkSession, d: str, rows: str = "l_quantity = 50 and l_tax = 0.08") -> DataFrame:
+    li = table(spark, d, "lineitem").filter(rows)
     return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
 
 
@@ -237,6 +251,24 @@ def sparse_gate(spark, d):
     return g.withColumn("density", F.round("density", 6)).withColumn("largest_share", F.round("largest_share", 6))
 
 
+# The three above read few rows so that their recursive SQL is cheap; these read all of lineitem, without SQL.
+@query()
+def connected_components_whole(spark, d):
+    return graph.components(_small(spark, d, "true"))
+
+
+@query()
+def largest_component_whole(spark, d):
+    return graph.components(_small(spark, d, "true")).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+
+
+@query()
+def sparse_gate_whole(spark, d):
+    e = graph.cut(_small(spark, d, "true"))
+    g = graph.sparse_gate(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    return g.withColumn("density", F.round("density", 6)).withColumn("largest_share", F.round("largest_share", 6))
+
+
 def _ppr_sql(rounds: int) -> str:
     q = f"WITH e AS (SELECT src, dst FROM {CALLS} UNION ALL SELECT dst, src FROM {CALLS}), m AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e), s(id, score) AS (VALUES (3, 0.5::DOUBLE), (10000004, 0.5::DOUBLE)), p0 AS (SELECT * FROM s)"
     for i in range(rounds):
