@@ -212,11 +212,32 @@ def column_means(vectors: DataFrame, vec_col: str) -> DataFrame:
 def cross_covariance(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """i, j, value of the centred cross-covariance sum of two vector columns: d x d rows.
 
-    Sums of products are centred afterwards, so one pass over the pairs is enough.
+    Sums of products are centred afterwards, so one pass over the pairs is enough. A task
+    multiplies the matrices of each batch and hands on one row of sums for each pair of
+    lengths, so no row is made for a product. Null vectors and elements count for nothing.
     """
-    d = pairs.select(F.posexplode(a).alias("i", "x"), F.col(b).alias("__b")).select("i", F.col("x").cast("double").alias("x"), F.posexplode("__b").alias("j", "y"))
-    y = F.col("y").cast("double")
-    return d.groupBy("i", "j").agg((F.sum(F.col("x") * y) - F.sum("x") * F.sum(y) / F.count("*")).alias("value"))
+    import pyarrow as pa
+
+    def sums(batches):
+        import numpy as np
+
+        total: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            sides = [[None if v is None else np.array([x or 0.0 for x in v] if None in v else v, float) for v in batch.column(k).to_pylist()] for k in (0, 1)]
+            groups: dict[tuple[int, int], list[int]] = {}
+            for r, (x, y) in enumerate(zip(*sides, strict=True)):
+                if x is not None and y is not None and len(x) and len(y):
+                    groups.setdefault((len(x), len(y)), []).append(r)
+            for shape, rows in groups.items():
+                x, y = (np.stack([side[r] for r in rows]) for side in sides)
+                got = [x.T @ y, np.repeat(x.sum(0)[:, None], shape[1], 1), np.repeat(y.sum(0)[None, :], shape[0], 0), np.full(shape, len(rows))]
+                total[shape] = [p + q for p, q in zip(total[shape], got, strict=True)] if shape in total else got
+        for (m, n), parts in total.items():
+            i, j = (v.ravel() for v in np.indices((m, n)))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(v.ravel(), pa.float64()) for v in parts]], names=["i", "j", "xy", "x", "y", "n"])
+
+    d = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(sums, "i int, j int, xy double, x double, y double, n double")
+    return d.groupBy("i", "j").agg((F.sum("xy") - F.sum("x") * F.sum("y") / F.sum("n")).alias("value"))
 
 
 def drift_rotation(pairs: DataFrame, old: str, new: str, dims: int):

@@ -278,16 +278,27 @@ def metrics_by_label(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(unit_norm(F.col("embedding"))), 6).alias("mean_norm"))
 
 
-@query("""WITH p AS (SELECT a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+DRIFT = """WITH p AS (SELECT a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
 x AS (SELECT unnest(range(8)) AS i, a, b FROM p), y AS (SELECT i, a[i + 1] AS x, unnest(range(8)) AS j, b FROM x)
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x * b[j + 1]) - sum(x) * sum(b[j + 1]) / count(*), 4) AS value FROM y GROUP BY ALL""")
-def drift_cross_covariance(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x * b[j + 1]) - sum(x) * sum(b[j + 1]) / count(*), 4) AS value FROM y GROUP BY ALL"""
+
+
+def _covariance(spark: SparkSession, e: DataFrame) -> DataFrame:
     a = e.filter("vec_id % 2 = 0").select("vec_id", F.col("embedding").alias("a"))
     pairs = a.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
     return relations.cross_covariance(pairs, "a", "b").withColumn("value", F.round("value", 4))
 
 
+@query(DRIFT)
+def drift_cross_covariance(spark, d):
+    return _covariance(spark, table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")))
+
+
+@query(DRIFT.replace("range(8)", "range(64)"))
+def drift_cross_covariance_whole(spark, d):
+    return _covariance(spark, table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 @query("SELECT CAST(dim - 1 AS INTEGER) AS dim, round(avg(embedding[dim]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, 65)) AS t(dim) GROUP BY 1")
 def drift_column_means(spark, d):
     return relations.column_means(table(spark, d, "embeddings"), "embedding").withColumn("mean", F.round("mean", 6))

@@ -1,5 +1,6 @@
 """Queries over all rows, dimensions and rounds, against plain versions."""
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from lodestone.plans import catalog
@@ -38,3 +39,11 @@ def test_graph_of_all_lineitems(spark, sf_dir):
 def test_all_references_are_resolved(spark, sf_dir):
     few, whole = (QUERIES[name](spark, sf_dir).count() for name in ("name_resolution", "name_resolution_whole"))
     assert whole > 10 * few
+
+
+def test_covariance_of_all_dimensions(spark, sf_dir):
+    e = dict(zip(_column(sf_dir, "embeddings", "vec_id"), _column(sf_dir, "embeddings", "embedding")))
+    a, b = (np.array([e[i + k] for i in sorted(e) if i % 2 == 0 and i + 1 in e], float) for k in (0, 1))
+    want = (a - a.mean(0)).T @ (b - b.mean(0))
+    got = QUERIES["drift_cross_covariance_whole"](spark, sf_dir).collect()
+    assert len(got) == want.size == 64 * 64 and all(abs(r.value - want[r.i, r.j]) < 1e-4 for r in got)
