@@ -47,3 +47,30 @@ def test_covariance_of_all_dimensions(spark, sf_dir):
     want = (a - a.mean(0)).T @ (b - b.mean(0))
     got = QUERIES["drift_cross_covariance_whole"](spark, sf_dir).collect()
     assert len(got) == want.size == 64 * 64 and all(abs(r.value - want[r.i, r.j]) < 1e-4 for r in got)
+
+
+def test_pagerank_converges(spark, sf_dir):
+    customer = dict(zip(_column(sf_dir, "orders", "o_orderkey"), _column(sf_dir, "orders", "o_custkey")))
+    items = zip(_column(sf_dir, "lineitem", "l_orderkey"), _column(sf_dir, "lineitem", "l_suppkey"))
+    edges = {(customer[o], 10_000_000 + s) for o, s in items if o in customer}
+    ids = {x: i for i, x in enumerate(sorted({x for e in edges for x in e} | {3, 10_000_004}))}
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in edges:
+        a[ids[x], ids[y]] = a[ids[y], ids[x]] = 1
+    a /= np.maximum(a.sum(1, keepdims=True), 1)
+    s = np.zeros(len(ids))
+    s[[ids[3], ids[10_000_004]]] = 0.5
+    p = s
+    for _ in range(50):
+        old, p = p, 0.85 * a.T @ p + 0.15 * s
+        if np.linalg.norm(p - old) < 1e-6:
+            break
+    got = {r.id: r.score for r in QUERIES["pagerank_personalized_converged"](spark, sf_dir).collect()}
+    assert all(abs(got.get(x, 0) - p[i]) < 2e-7 for x, i in ids.items())
+    few = {r.id: r.score for r in QUERIES["pagerank_personalized"](spark, sf_dir).collect()}
+    assert max(abs(got[x] - few.get(x, 0)) for x in got) > 2e-7  # this small graph mixes fast
+    best = {}
+    for x, nation in zip(_column(sf_dir, "customer", "c_custkey"), _column(sf_dir, "customer", "c_nationkey")):
+        best[nation] = max(best.get(nation, 0), p[ids[x]] if x in ids else 0)
+    ranked = QUERIES["ppr_ranked_chunks_converged"](spark, sf_dir).collect()
+    assert [r.id for r in sorted(ranked, key=lambda r: r.rank)] == sorted(best, key=lambda n: (-round(best[n], 12), n))[:10]
