@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from . import decontaminate, html_text, language, line_dedup, near_dedup, packing, quality, sharding, token_rollup, warc
+from .shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -55,7 +57,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    counted = token_rollup.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    return packing.pack(written(counted, "packing-tokens"), length=F.col("n_tokens"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -202,6 +202,18 @@ def test_token_counts_and_rollup(spark, tmp_path):
     assert tr.corpus_rollup(df.limit(0), str(vocabulary)).count() == 0
 
 
+def test_packing_query_counts_tokens(spark, sf_dir):
+    from lodestone.llm import catalog
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.n_tokens for r in tr.count_tokens(docs).collect()}
+    got = {}
+    for r in catalog.op10_packing(spark, sf_dir).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert r.length <= packing.MAX_LEN
+    assert got == want
+
+
 def test_long_runs_of_blanks(monkeypatch):
     import base64
     import re
