@@ -20,6 +20,7 @@ from lodestone.sources import discovery, sinks
 from lodestone.sources.store import Store
 
 DOCUMENT_TYPES = ["markdown", "yaml", "json", "html", "xml", "asset", "text"]
+PPR_TOLERANCE = 1e-6
 SESSION_MINUTES = 30
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -234,11 +235,28 @@ class Engine:
         return rows.join(first, "project", "left_semi").orderBy(F.desc("what"), "line", "name")
 
     def impact(self, name: str, depth: int = 3, include_types: bool = True, session: str | None = None) -> DataFrame:
-        """What a change can reach in each project, with depth."""
-        symbols = self._seen("symbols", session)
-        edges = self._seen("edges", session).filter("type = 'contains'").select(F.col("src").alias("parent"), F.col("dst").alias("child"))
-        hit = graph.impact(symbols.select("id", "name"), self._seen("refs", session).filter("from_id is not null"), edges, name, depth, include_types)
-        return symbols.join(hit.select("id", "depth"), "id").select("project", "path", "name", "kind", "line", "depth").orderBy("depth", "name", "path")
+        """What a change can reach in each project, with depth; a dense project's rows by PageRank from all of them.
+
+        ppr_relevance is null in projects whose graph is sparse; there depth, name and path order the rows.
+        """
+        symbols, edges = self._seen("symbols", session), self._seen("edges", session)
+        down = edges.filter("type = 'contains'").select(F.col("src").alias("parent"), F.col("dst").alias("child"))
+        hit = graph.impact(symbols.select("id", "name"), self._seen("refs", session).filter("from_id is not null"), down, name, depth, include_types)
+        found = graph.cut(symbols.join(hit.select("id", "depth"), "id").select("id", "project", "path", "name", "kind", "line", "depth"))
+        scores = self.spark.createDataFrame([], "id bigint, ppr_relevance double")
+        dense = False
+        for r in found.select("project").distinct().collect():
+            mine = F.col("project") == r.project
+            nodes = symbols.filter(mine).select("id").distinct()
+            inside = graph.cut(graph.load(edges.filter(mine), nodes))
+            if nodes.count() < graph.MIN_NODES or graph.sparse_gate(inside, nodes).first().sparse:
+                continue
+            seeds = [x.id for x in found.filter(mine).select("id").distinct().collect()]  # the answer itself
+            ranks = graph.personalized_pagerank(inside, seeds, tolerance=PPR_TOLERANCE)
+            affected = found.filter(mine).select("id").distinct().join(ranks, "id", "left")
+            scores, dense = scores.unionByName(affected.select("id", F.coalesce("score", F.lit(0.0)).alias("ppr_relevance"))), True
+        order = ["project", F.desc_nulls_last(F.round("ppr_relevance", 12))] if dense else []
+        return found.join(scores, "id", "left").select("project", "path", "name", "kind", "line", "depth", "ppr_relevance").orderBy(*order, "depth", "name", "path")
 
     def cross_refs(self, name: str, session: str | None = None) -> DataFrame:
         d = self._seen("symbols", session).filter((F.col("name") == name) & ~F.col("kind").isin("import", "module"))

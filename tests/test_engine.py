@@ -34,6 +34,21 @@ def test_index_and_lookup(engine):
     assert {r.name for r in e.file_context("use.py").collect() if r.what == "symbol"} == {"", "run", "listen", "<module>"}
 
 
+def test_impact_of_a_dense_graph_is_ordered_by_pagerank(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    lines = ["def base():\n    return 1\n", "def zcentral():\n    return base()\n"]
+    lines += [f"def f{i}():\n    base()\n    return zcentral()\n" for i in range(110)]
+    for name, text in (("dense", "\n".join(lines)), ("tiny", "def base():\n    return 1\n\ndef user():\n    return base()\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.py").write_text(text)
+        e.register_project(name, f"file://{tmp_path}/{name}")
+        e.reindex(name)
+    found = e.impact("base", 1).collect()
+    rows = [r for r in found if r.project == "dense"]
+    assert len(rows) == 111 and rows[0].name == "zcentral" and rows[0].ppr_relevance > rows[1].ppr_relevance > 0
+    assert [(r.name, r.ppr_relevance) for r in found if r.project == "tiny"] == [("user", None)]
+
+
 def test_search_finds_code_and_documents(engine):
     e, _ = engine
     top = e.search("helper", 5).collect()
