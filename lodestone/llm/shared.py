@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,15 +13,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows in one Arrow batch: a batch of long texts must fit a Python worker.
+#: Rows that a task works on at once: the results of long texts must fit a Python worker.
 BATCH_ROWS = 64
 BATCH_BYTES = 16 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Tables written in the innermost ``scratch`` block that is open.
+_open: list[list[str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for batches of very long texts."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    """Bound the bytes of an Arrow batch, unless the session does; the rows of a batch stay as they are."""
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +63,49 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    Inside a ``scratch`` block the table goes when the block ends, unless it is kept.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables written in the block at its end, but for those given to the yielded function.
+
+    These are passed on to the block around this one, if there is one; otherwise they stay
+    in the shared folder for the caller, who reads the result as often as wanted.
+    """
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.table_path)
+        return table
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.remove(paths)
+        discard(spark, [p for p in paths if p not in kept])
+        if _open:
+            _open[-1].extend(kept)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -74,12 +132,12 @@ def add_columns(
     arrow = [(n, a) for n, _, a in fields]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t, _ in fields])
     # The function's inputs travel under names of their own: a clashing input stays readable.
-    wide = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    wide = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(unused(df, f"__in{i}")) for i, c in enumerate(inputs)])
     n_kept, n_in = len(kept), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             got = work(*[batch.column(n_kept + i).to_pylist() for i in range(n_in)])
             columns = [batch.column(i) for i in range(n_kept)]
             columns += [pa.array(v, type=a) for v, (_, a) in zip(got, arrow, strict=True)]
