@@ -10,6 +10,7 @@ members that this leaves outside the list's main group are compared with the res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import add_columns, prepare, written
+from .shared import add_columns, prepare, scratch, sliced, unused, written
 
 SKETCH = 64
 SHINGLE_WORDS = 5
 SHORT_LIST = 32
+#: Members of a longer list that one task compares with the list's centre.
+PART_MEMBERS = 1024
+#: Keys of rows that go which are broadcast (some 40 bytes each); beyond it the join shuffles.
+BROADCAST_GONE = 500_000
 #: Standard deviations below the threshold at which a sketch still counts as a candidate.
 SLACK = 5.0
 
@@ -53,8 +58,12 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(out.view(np.int64))
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n (size of the shingle set), fp (128-bit digest of the set), sketch (its k smallest hashes)."""
+    """id, tk (hash of the text), n (size of the shingle set), fp (128-bit digest of the set), sketch (its k smallest hashes)."""
 
     def make():
         def work(texts):
@@ -63,7 +72,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
         return work
 
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("tk"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     fields = [
         ("n", T.LongType(), pa.int64()),
         ("fp", T.BinaryType(), pa.binary()),
@@ -75,12 +84,13 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """nid, n and the whole shingle set of the given nodes, read from one document of each."""
     prepare(docs.sparkSession)
-    wanted = nodes.select(F.col("rep"))
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    some = slim.join(wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("t")
+    wanted = nodes.select(F.col("rep.id").alias("rep_id"), F.col("rep.tk").alias("rep_tk"))
+    text = F.col(f"`{text_col}`")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("tk"), text.cast("binary").alias("t"))
+    some = slim.join(wanted, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("tk") == F.col("rep_tk")), "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_hashes(t) for t in batch.column(0).to_pylist()]
             fps = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([fps, pa.array(sets, pa.list_(pa.int64()))], names=["fp", "full"])
@@ -116,39 +126,50 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, k: int, least_estimate: float) -> DataFrame:
-    """Of candidate pairs, those whose full sets reach the threshold: sketches first, then sets."""
-    sk = nodes.select("nid", "sketch")
-    pairs = pairs.distinct()
-    with_sk = pairs.join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b")
+def sketch_pairs(pairs: DataFrame, sets: DataFrame, k: int, least_estimate: float) -> DataFrame:
+    """Of candidate pairs (a, b), those whose union sketch doesn't rule them out, with the estimate as ``est``."""
+    sk = sets.select("nid", F.slice("full", 1, k).alias("s"))  # full sets are sorted: their first k are the sketch
+    with_sk = pairs.distinct().join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     met = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    likely = with_sk.filter(met >= F.lit(least_estimate) * F.size(union)).select("a", "b")
-    full = likely.join(sets.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa")), "a").join(
+    return with_sk.withColumn("est", met / F.size(union)).filter(F.col("est") >= least_estimate).select("a", "b", "est")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets reach the threshold."""
+    full = pairs.select("a", "b").join(sets.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa")), "a").join(
         sets.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb")), "b"
     )
     both = F.size(F.array_intersect("fa", "fb"))
     return full.withColumn("o", both).filter(F.lit(den + num) * F.col("o") >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    num: int = 80,
-    den: int = 100,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    k: int = SKETCH,
-) -> DataFrame:
-    """Group documents linked by ``den * |A and B| >= num * |A or B|`` over 5-word shingle sets.
+def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, k: int, least_estimate: float, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links enough to connect all that the pairs can connect, with those ``known``, and the labels of their groups.
 
-    Returns id, n_shingles, component_id (smallest id reachable, itself included) and
-    kept (id = component_id), one row per input row.
+    First each node meets the partner that its sketch likes best; then only pairs that
+    this leaves in different groups are held against each other. A large group of copies
+    so ships its sets once or twice a member, not once a pair.
+    """
+    likely = written(sketch_pairs(pairs, sets, k, least_estimate), "near-likely")
+    best = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    links = verified(best, sets, num, den)
+    links = written(links if known is None else links.unionByName(known), "near-links")
+    labels = connected(links)
+    of = lambda end: labels.select(F.col("nid").alias(end), F.col("label").alias(f"label_{end}"))
+    apart = likely.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+    tried = best.select("a", "b")
+    more = written(verified(apart.join(tried, ["a", "b"], "left_anti"), sets, num, den), "near-links")
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, connected(links)
 
-    Texts with one shingle set form one node; a node without shingles (null, empty or
-    blank text) links with nothing, so each such row is its own component. Rows that
-    repeat an id are told apart by their sets. A null id belongs to its group but cannot
-    name it; a group of null ids has component_id null and is kept. Very long texts are
-    sets like any other. An empty table gives an empty result; other columns are ignored.
+
+def _groups(docs: DataFrame, num: int, den: int, id_col: str, text_col: str, k: int) -> DataFrame:
+    """One row per input row: id, n, tk (hash of the text), fp, component (smallest id) and first (the smallest id's smallest tk).
+
+    ``first`` is null where a row links with nothing, not even with a copy.
     """
     j = num / den
     # With k values retained, linked documents share fewer than `need` only with odds of about 1e-6.
@@ -156,8 +177,9 @@ def near_duplicates(
     least_estimate = max(0.0, j - SLACK * (j * (1 - j) / k) ** 0.5)
 
     base = written(sketched(docs, id_col, text_col, k), "near-base")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk")
     nodes = written(
-        base.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("nid", F.monotonically_increasing_id()),
+        base.filter("n > 0").groupBy("fp").agg(F.min(place).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("nid", F.monotonically_increasing_id()),
         "near-nodes",
     )
 
@@ -209,44 +231,92 @@ def near_duplicates(
         return sizes_fit(a, b) & (most * (den + num) >= (F.col(f"n_{a}") + F.col(f"n_{b}")) * num)
 
     short2 = pairs_of_short_lists(by_set.filter(F.col("m") <= SHORT_LIST).drop("m"), can_meet)
-    long_ = by_set.filter(F.col("m") > SHORT_LIST).drop("m")
-    centres = long_.groupBy("v").agg(F.max_by(F.struct("nid", "n", "c", "i"), F.struct(F.col("c") / F.col("n"), -F.col("nid"))).alias("x")).select(F.col("v").alias("v_a"), *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("nid", "n", "c", "i")])
-    members = long_.select([F.col(c).alias(f"{c}_b") for c in long_.columns])
+    long_ = by_set.filter(F.col("m") > SHORT_LIST)
+    # A long list is dealt in parts of about PART_MEMBERS, each with the centre, so that no task gets a whole one.
+    parts = F.call_function("div", F.col("m") + (PART_MEMBERS - 1), F.lit(PART_MEMBERS).cast("long"))
+    best = F.max_by(F.struct("nid", "n", "c", "i"), F.struct(F.col("c") / F.col("n"), -F.col("nid")))
+    centres = long_.groupBy("v").agg(best.alias("x"), F.first(parts).alias("parts")).select(
+        F.col("v").alias("v_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part_a"), *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("nid", "n", "c", "i")]
+    )
+    members = long_.withColumn("part", F.pmod(F.xxhash64("nid"), parts)).select([F.col(c).alias(f"{c}_b") for c in (*long_.columns, "part")])
     loose = F.least("c_a", "c_b") * (den + num) >= (F.col("n_a") + F.col("n_b")) * num
-    stars = centres.join(members, (F.col("v_a") == F.col("v_b")) & (F.col("nid_a") != F.col("nid_b")) & sizes_fit("a", "b") & loose)
+    stars = centres.join(members, (F.col("v_a") == F.col("v_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("nid_a") != F.col("nid_b")) & sizes_fit("a", "b") & loose)
     stars = stars.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b"))
-    links = written(similar(short.unionByName(short2).unionByName(stars), nodes, sets, num, den, k, least_estimate), "near-links")
-    labels = connected(links)
+    links, labels = linked(short.unionByName(short2).unionByName(stars), sets, num, den, k, least_estimate)
 
-    # Members that the centre didn't bring into the list's main group meet the others of the list.
-    named = long_.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    # Members that the centre didn't bring into the list's main group meet the others of the list,
+    # those of like size only: sizes in bands as wide as the threshold differ by one band at most.
+    named = long_.drop("m").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     tally = named.groupBy("v", "label").agg(F.count("*").alias("q"), F.min("n").alias("low"))
     main = tally.groupBy("v").agg(F.max_by("label", F.struct("q", "label")).alias("main"), F.min("low").alias("low"), F.count("*").alias("groups")).filter("groups > 1")
-    named = written(named.join(main, "v"), "near-named")
+    named = written(named.join(main, "v").withColumn("band", F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")), "near-named")
     reach = F.greatest(F.col("low"), ceil_share(F.col("n")))
     outside = named.filter((F.col("label") != F.col("main")) & ((F.col("c") - F.col("i")) * (den + num) >= (F.col("n") + reach) * num))
-    cols = ["v", "nid", "n", "c", "i", "label", "main"]
+    outside = outside.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    cols = ["v", "nid", "n", "c", "i", "label", "main", "band"]
     left, right = outside.select([F.col(c).alias(f"{c}_a") for c in cols]), named.select([F.col(c).alias(f"{c}_b") for c in cols])
     once = (F.col("label_b") == F.col("main_b")) | (F.col("nid_a") < F.col("nid_b"))
-    rest = left.join(right, (F.col("v_a") == F.col("v_b")) & (F.col("label_a") != F.col("label_b")) & can_meet("a", "b") & once)
+    rest = left.join(right, (F.col("v_a") == F.col("v_b")) & (F.col("band_a") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & can_meet("a", "b") & once)
     rest = written(rest.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b")).distinct(), "near-rest")
     if not rest.isEmpty():
-        more = written(similar(rest, nodes, sets, num, den, k, least_estimate), "near-links")
-        if not more.isEmpty():
-            labels = connected(links.unionByName(more))
+        links, labels = linked(rest, sets, num, den, k, least_estimate, links)
 
     groups = nodes.select("nid", "fp", "rep").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    named_groups = groups.groupBy("label").agg(F.min("rep").alias("component"))
-    by_fp = groups.join(named_groups, "label").select("fp", "component", F.lit(True).alias("linked"))
-    out = base.select("id", "n", "fp").join(by_fp, "fp", "left")
-    component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named_groups = groups.groupBy("label").agg(F.min("rep").alias("first"))
+    by_fp = groups.join(named_groups, "label").select("fp", "first")
+    out = base.select("id", "n", "tk", "fp").join(by_fp, "fp", "left")
+    return out.withColumn("component", F.when(F.col("first").isNotNull(), F.col("first.id")).otherwise(F.col("id")))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    num: int = 80,
+    den: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = SKETCH,
+) -> DataFrame:
+    """Group documents linked by ``den * |A and B| >= num * |A or B|`` over 5-word shingle sets.
 
+    Returns id, n_shingles, component_id (smallest id reachable, itself included) and
+    kept (id = component_id), one row per input row.
+
+    Texts with one shingle set form one node; a node without shingles (null, empty or
+    blank text) links with nothing, so each such row is its own component. Rows that
+    repeat an id are told apart by their sets. A null id belongs to its group but cannot
+    name it; a group of null ids has component_id null and is kept. Very long texts are
+    sets like any other. An empty table gives an empty result; other columns are ignored.
+    """
+    with scratch(docs.sparkSession) as keep:
+        out = _groups(docs, num, den, id_col, text_col, k)
+        component = F.col("component")
+        return keep(written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")), "near-groups"))
 
-def keep_one(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the near-duplicates of another: of each group, that with the smallest id stays."""
-    keep = near_duplicates(docs, num, den, id_col, text_col).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+
+def keep_one(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH) -> DataFrame:
+    """The documents without the near-duplicates of another: one row of each group stays.
+
+    It is the row with the smallest id (null ids last), of several texts under that id the
+    one with the smallest hash, and of rows equal in id and text one: that with the
+    smallest hash over all columns. So an id that stays for one text saves no other text
+    under it. Rows without shingles (null, empty or blank text) are no one's duplicates:
+    all stay. All columns pass as they are; an empty table gives an empty result.
+    """
+    with scratch(docs.sparkSession) as keep:
+        rows = _groups(docs, num, den, id_col, text_col, k).filter("n > 0")
+        stays = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk") == F.col("first")
+        # Of equal texts under one id, several rows may stay up to here.
+        gone = rows.groupBy("id", "tk").agg(F.max((~F.coalesce(stays, F.lit(False))).cast("int")).alias("gone"), F.count("*").alias("times")).filter("gone = 1 or times > 1")
+        gone = keep(written(gone, "near-gone"))
+    few = gone.count() <= BROADCAST_GONE
+    i, t, g, n = (unused(docs, x) for x in ("__id", "__tk", "__gone", "__times"))
+    gone = gone.select(F.col("id").alias(i), F.col("tk").alias(t), F.col("gone").alias(g), F.col("times").alias(n))
+    own = (F.col(i).eqNullSafe(F.col(f"`{id_col}`"))) & (F.col(t) == text_key(F.col(f"`{text_col}`")))
+    left = docs.join(F.broadcast(gone) if few else gone, own, "left").filter(F.coalesce(g, F.lit(0)) == 0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = left.filter(F.col(n).isNull()).select(*columns)
+    again = left.filter(F.col(n).isNotNull()).groupBy(i, t).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return once.unionByName(again)
 
 
 def oracle(num: int = 85, den: int = 100) -> str:
