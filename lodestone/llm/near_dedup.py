@@ -27,6 +27,8 @@ SHINGLE_WORDS = 5
 SHORT_LIST = 32
 #: Members of a longer list that one task compares with the list's centre.
 PART_MEMBERS = 1024
+#: A value met by more than PART_MEMBERS rows and this part of all rows is joined by a broadcast.
+HEAVY_VALUES = 50_000
 #: Keys of rows that go which are broadcast (some 40 bytes each); beyond it the join shuffles.
 BROADCAST_GONE = 500_000
 #: Standard deviations below the threshold at which a sketch still counts as a candidate.
@@ -100,6 +102,23 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
     return written(one, "near-sets")
 
 
+def with_counts(values: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``v`` is met more than once, with the number of rows that have it.
+
+    Very frequent values, fewer than HEAVY_VALUES by their share of all rows, are broadcast,
+    so that no task gets all rows of one of them; the others are joined by a shuffle.
+    """
+    counts = written(values.groupBy("v").agg(F.count("*").alias(name)).filter(F.col(name) > 1), "near-counts")
+    total = counts.agg(F.sum(name)).first()[0] or 0
+    least = max(PART_MEMBERS, total // HEAVY_VALUES)
+    heavy = counts.filter(F.col(name) > least)
+    if heavy.isEmpty():
+        return values.join(counts, "v")
+    marked = values.join(F.broadcast(heavy), "v", "left")  # at most total / least rows
+    light = marked.filter(F.col(name).isNull()).drop(name).join(counts.filter(F.col(name) <= least), "v")
+    return marked.filter(F.col(name).isNotNull()).unionByName(light)
+
+
 def pairs_of_short_lists(lists: DataFrame, fits) -> DataFrame:
     """All pairs of lists of at most SHORT_LIST members: a linear number of rows."""
     a = lists.select([F.col(c).alias(f"{c}_a") for c in lists.columns])
@@ -192,13 +211,11 @@ def _groups(docs: DataFrame, num: int, den: int, id_col: str, text_col: str, k:
 
     def prefixes(values: DataFrame, total: Column, length: Column, label: str) -> DataFrame:
         """v, nid, n, c (values that another node has too), i (rank of v among those), m (members of the list)."""
-        often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-        shared = values.join(often, "v").groupBy("nid").agg(F.first("n").alias("n"), F.first("held").alias("held"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
+        shared = with_counts(values, "df").groupBy("nid").agg(F.first("n").alias("n"), F.first("held").alias("held"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
         room = length - (total - F.size("s"))
         cut = shared.withColumn("room", room).filter("room > 0").select("nid", "n", F.size("s").alias("c"), F.posexplode(F.slice("s", F.lit(1), F.col("room").cast("int"))).alias("i", "x"))
         entries = written(cut.select(F.col("x.v").alias("v"), "nid", "n", "c", "i"), label)
-        counts = entries.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
-        return written(entries.join(counts, "v"), label)
+        return written(with_counts(entries, "m"), label)
 
     held = F.col("held").cast("long")
     by_sketch = prefixes(
@@ -234,29 +251,28 @@ def _groups(docs: DataFrame, num: int, den: int, id_col: str, text_col: str, k:
     long_ = by_set.filter(F.col("m") > SHORT_LIST)
     # A long list is dealt in parts of about PART_MEMBERS, each with the centre, so that no task gets a whole one.
     parts = F.call_function("div", F.col("m") + (PART_MEMBERS - 1), F.lit(PART_MEMBERS).cast("long"))
+    part, all_parts = F.pmod(F.xxhash64("nid"), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
     best = F.max_by(F.struct("nid", "n", "c", "i"), F.struct(F.col("c") / F.col("n"), -F.col("nid")))
-    centres = long_.groupBy("v").agg(best.alias("x"), F.first(parts).alias("parts")).select(
-        F.col("v").alias("v_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part_a"), *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("nid", "n", "c", "i")]
-    )
-    members = long_.withColumn("part", F.pmod(F.xxhash64("nid"), parts)).select([F.col(c).alias(f"{c}_b") for c in (*long_.columns, "part")])
+    centres = long_.groupBy("v").agg(best.alias("x"), F.first("m").alias("m")).select("v", all_parts, "x.*").select([F.col(c).alias(f"{c}_a") for c in ("v", "part", "nid", "n", "c", "i")])
+    members = long_.select("*", part).select([F.col(c).alias(f"{c}_b") for c in (*long_.columns, "part")])
     loose = F.least("c_a", "c_b") * (den + num) >= (F.col("n_a") + F.col("n_b")) * num
     stars = centres.join(members, (F.col("v_a") == F.col("v_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("nid_a") != F.col("nid_b")) & sizes_fit("a", "b") & loose)
     stars = stars.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b"))
     links, labels = linked(short.unionByName(short2).unionByName(stars), sets, num, den, k, least_estimate)
 
     # Members that the centre didn't bring into the list's main group meet the others of the list,
-    # those of like size only: sizes in bands as wide as the threshold differ by one band at most.
-    named = long_.drop("m").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    tally = named.groupBy("v", "label").agg(F.count("*").alias("q"), F.min("n").alias("low"))
-    main = tally.groupBy("v").agg(F.max_by("label", F.struct("q", "label")).alias("main"), F.min("low").alias("low"), F.count("*").alias("groups")).filter("groups > 1")
-    named = written(named.join(main, "v").withColumn("band", F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")), "near-named")
+    # those of like size only: sizes in bands a little wider than the threshold differ by one band at most.
+    named = long_.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid")).select("*", part)
+    tally = named.groupBy("v", "label").agg(F.count("*").alias("q"), F.min("n").alias("low"), F.first("m").alias("m"))
+    main = tally.groupBy("v").agg(F.max_by("label", F.struct("q", "label")).alias("main"), F.min("low").alias("low"), F.first("m").alias("m"), F.count("*").alias("groups")).filter("groups > 1")
+    named = written(named.join(main.select("v", "main", "low", all_parts), ["v", "part"]).withColumn("band", F.floor(F.log("n") / (math.log(den / num) * 1.000001)) if num < den else F.col("n")), "near-named")
     reach = F.greatest(F.col("low"), ceil_share(F.col("n")))
     outside = named.filter((F.col("label") != F.col("main")) & ((F.col("c") - F.col("i")) * (den + num) >= (F.col("n") + reach) * num))
-    outside = outside.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    cols = ["v", "nid", "n", "c", "i", "label", "main", "band"]
+    outside = outside.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).drop("part").select("*", all_parts)
+    cols = ["v", "nid", "n", "c", "i", "label", "main", "band", "part"]
     left, right = outside.select([F.col(c).alias(f"{c}_a") for c in cols]), named.select([F.col(c).alias(f"{c}_b") for c in cols])
     once = (F.col("label_b") == F.col("main_b")) | (F.col("nid_a") < F.col("nid_b"))
-    rest = left.join(right, (F.col("v_a") == F.col("v_b")) & (F.col("band_a") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & can_meet("a", "b") & once)
+    rest = left.join(right, (F.col("v_a") == F.col("v_b")) & (F.col("band_a") == F.col("band_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("label_a") != F.col("label_b")) & can_meet("a", "b") & once)
     rest = written(rest.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b")).distinct(), "near-rest")
     if not rest.isEmpty():
         links, labels = linked(rest, sets, num, den, k, least_estimate, links)
