@@ -9,15 +9,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import add_columns, prepare, written
+from .shared import add_columns, prepare, scratch, sliced, unused, written
 
 #: A boundary follows a line whose rolling hash is divisible by this: chunks of about as many lines.
 DIVISOR = 3
 WINDOW_LINES = 2
 MIN_LINES = 2
 MAX_LINES = 32
-#: Repeated chunks whose hashes a task may hold at once (8 MB); beyond it the hashes are joined.
+#: Hashes of repeated chunks, and places of chunks that go, that are broadcast (some 16 MB); beyond it the joins shuffle.
 HELD_HASHES = 1 << 20
 _MOD = (1 << 61) - 1
 _BASE = 1_000_003
@@ -72,17 +73,16 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     slim = docs.select(*key, text.cast("binary").alias("t"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def spread(bodies: bool, only: frozenset[int] | None = None):
+    def spread(bodies: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 rows, numbers, hashes, texts = [], [], [], []
                 for i, t in enumerate(batch.column(2).to_pylist()):
                     for number, h, body in multi_line(t):
-                        if only is None or h in only:
-                            rows.append(i)
-                            numbers.append(number)
-                            hashes.append(h)
-                            texts.append(body)
+                        rows.append(i)
+                        numbers.append(number)
+                        hashes.append(h)
+                        texts.append(body)
                 take = pa.array(rows, pa.int64())
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())]
                 names = ["__id", "__rk", "chunk", "h"]
@@ -92,22 +92,25 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
         return slim.mapInArrow(run, f"__id {id_type}, __rk bigint, chunk int, h bigint" + ", body binary" * bodies)
 
-    again = written(spread(False).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "line-again")
-    if again.count() <= HELD_HASHES:
-        bodies = spread(True, frozenset(r.h for r in again.collect()))
-    else:
-        bodies = spread(True).join(again, "h", "left_semi")
-    bodies = written(bodies.withColumn("at", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__rk", "chunk")), "line-bodies")
-    # The first chunk of each hash is the one others are compared with, byte by byte. A chunk
-    # that differs in spite of its hash stays; several texts under one hash lose nothing.
-    firsts = bodies.groupBy("h").agg(F.min("at").alias("first"))
-    first_bodies = bodies.join(firsts.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col("at") == F.col("first"))).groupBy("h2").agg(F.min("body").alias("first_body"), F.first("first").alias("first"))
-    same = bodies.join(first_bodies, (F.col("h") == F.col("h2")) & (F.col("body") == F.col("first_body")) & (F.col("at") != F.col("first")))
-    gone = same.select("__id", "__rk", "chunk").distinct().groupBy("__id", "__rk").agg(F.collect_list("chunk").alias("__gone"))
+    with scratch(spark) as keep:
+        again = written(spread(False).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "line-again")
+        bodies = _of_hashes(spread(True), again)
+        bodies = written(bodies.withColumn("at", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__rk", "chunk")), "line-bodies")
+        # The first chunk of each hash is the one others are compared with, byte by byte. A chunk
+        # that differs in spite of its hash stays; several texts under one hash lose nothing.
+        firsts = bodies.groupBy("h").agg(F.min("at").alias("first"))
+        first_bodies = bodies.join(firsts.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col("at") == F.col("first"))).groupBy("h2").agg(F.min("body").alias("first_body"), F.first("first").alias("first"))
+        first_bodies = written(first_bodies, "line-firsts")  # a stage of its own, so that the join can split a very common chunk
+        same = bodies.join(first_bodies, (F.col("h") == F.col("h2")) & (F.col("body") == F.col("first_body")) & (F.col("at") != F.col("first")))
+        gone = same.select("__id", "__rk", "chunk").distinct().groupBy("__id", "__rk").agg(F.collect_list("chunk").alias("gone"))
+        gone = keep(written(gone, "line-gone"))
+    return _rebuilt(docs, gone, key, text_col, _without_chunks)
 
-    named = docs.withColumns({"__i": key[0], "__r": key[1]})
-    marked = named.join(gone, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rk")), "left").drop("__i", "__r", "__id", "__rk")
-    return _rebuilt(marked, text_col, docs.columns, _without_chunks)
+
+def _of_hashes(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows whose h is among the given ones, a broadcast if these are few."""
+    few = again.count() <= HELD_HASHES
+    return rows.join(F.broadcast(again) if few else again, "h", "left_semi")
 
 
 def pairs_of(text: bytes | None) -> list[tuple[int, int, bytes]]:
@@ -117,7 +120,7 @@ def pairs_of(text: bytes | None) -> list[tuple[int, int, bytes]]:
     return [(i, j, b"\n".join(lines[i : j + 1])) for i, j in zip(full, full[1:])]
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copied_share: float | None = None) -> DataFrame:
     """Remove from each text all passages of two or more lines that stand earlier in the corpus.
 
     A passage is a run of lines, two of them not blank, equal in all bytes to another run. It is
@@ -127,6 +130,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     smallest line. Pairs are equal if their SHA-256 digests are. Every distinct line stays
     where it first stands, and a line repeated alone stays; of a line repeated in a row two stay.
 
+    With ``copied_share``, a document at least this share of whose words stands in passages of
+    earlier documents is a copy as a whole and stays as it is, for a later stage to judge whole.
+
     Columns, null and empty texts, repeated rows and empty tables are as in
     ``remove_repeated_chunks``; a text all of whose lines go becomes empty.
     """
@@ -138,44 +144,38 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [xxhash.xxh64_intdigest(body) - (1 << 63) for t in batch.column(0).to_pylist() for _, _, body in pairs_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
-    def places(only: frozenset[int] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, numbers, found, digests = [], [], [], []
-                for i, t in enumerate(batch.column(2).to_pylist()):
-                    for number, (_, _, body) in enumerate(pairs_of(t)):
-                        h = xxhash.xxh64_intdigest(body) - (1 << 63)
-                        if only is None or h in only:
-                            rows.append(i)
-                            numbers.append(number)
-                            found.append(h)
-                            digests.append(hashlib.sha256(body).digest())
-                take = pa.array(rows, pa.int64())
-                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(found, pa.int64()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__rk", "pair", "h", "digest"])
-
-        return slim.mapInArrow(run, f"__id {id_type}, __rk bigint, pair int, h bigint, digest binary")
-
-    again = written(slim.select("t").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "line-again")
-    if again.count() <= HELD_HASHES:
-        pairs = places(frozenset(r.h for r in again.collect()))
-    else:
-        pairs = places(None).join(again, "h", "left_semi")
-    pairs = written(pairs.drop("h").withColumn("at", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__rk", "pair")), "line-pairs")
-    firsts = pairs.groupBy(F.col("digest").alias("d")).agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    firsts = written(firsts, "line-firsts")  # a stage of its own, so that the join can split a very common pair
-    # In a run of one line, the pair next to the first shares a line with it and is no second passage.
-    beside = (F.col("no_id") == F.col("first.no_id")) & F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__rk") == F.col("first.__rk")) & F.col("pair").between(F.col("first.pair"), F.col("first.pair") + 1)
-    same = pairs.join(firsts, F.col("digest") == F.col("d")).withColumn("no_id", F.col("at.no_id")).filter(~beside)
-    gone = same.select("__id", "__rk", "pair").distinct().groupBy("__id", "__rk").agg(F.collect_list("pair").alias("__gone"))
-
-    named = docs.withColumns({"__i": key[0], "__r": key[1]})
-    marked = named.join(gone, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rk")), "left").drop("__i", "__r", "__id", "__rk")
-    return _rebuilt(marked, text_col, docs.columns, _without_pairs)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows, numbers, found, digests = [], [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                for number, (_, _, body) in enumerate(pairs_of(t)):
+                    rows.append(i)
+                    numbers.append(number)
+                    found.append(xxhash.xxh64_intdigest(body) - (1 << 63))
+                    digests.append(hashlib.sha256(body).digest())
+            take = pa.array(rows, pa.int64())
+            arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(found, pa.int64()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__rk", "pair", "h", "digest"])
+
+    with scratch(spark) as keep:
+        again = written(slim.select("t").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "line-again")
+        pairs = _of_hashes(slim.mapInArrow(places, f"__id {id_type}, __rk bigint, pair int, h bigint, digest binary"), again)
+        pairs = written(pairs.drop("h").withColumn("at", F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__rk", "pair")), "line-pairs")
+        firsts = pairs.groupBy(F.col("digest").alias("d")).agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        firsts = written(firsts, "line-firsts")  # a stage of its own, so that the join can split a very common pair
+        own = (F.col("no_id") == F.col("first.no_id")) & F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__rk") == F.col("first.__rk"))
+        # In a run of one line, the pair next to the first shares a line with it and is no second passage.
+        beside = own & F.col("pair").between(F.col("first.pair"), F.col("first.pair") + 1)
+        same = pairs.join(firsts, F.col("digest") == F.col("d")).withColumn("no_id", F.col("at.no_id")).filter(~beside)
+        # Pairs that stand first in the document itself are kept apart as -1 - pair.
+        signed = F.when(own, -1 - F.col("pair")).otherwise(F.col("pair")).alias("pair")
+        gone = same.select("__id", "__rk", signed).distinct().groupBy("__id", "__rk").agg(F.collect_list("pair").alias("gone"))
+        gone = keep(written(gone, "line-gone"))
+    return _rebuilt(docs, gone, key, text_col, lambda t, found: _without_pairs(t, found, copied_share))
 
 
 def _without_chunks(t: bytes, gone: set[int]) -> tuple[bytes, int]:
@@ -188,22 +188,34 @@ def _without_chunks(t: bytes, gone: set[int]) -> tuple[bytes, int]:
     return b"\n".join(parts), drop
 
 
-def _without_pairs(t: bytes, gone: set[int]) -> tuple[bytes, int]:
-    out = {i for number, (a, b, _) in enumerate(pairs_of(t)) if number in gone for i in range(a, b + 1)}
-    return b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in out), len(out)
+def _without_pairs(t: bytes, gone: set[int], copied_share: float | None = None) -> tuple[bytes, int]:
+    spans = pairs_of(t)
+    lines_of = lambda numbers: {i for n in numbers for i in range(spans[n][0], spans[n][1] + 1)}
+    lines = t.split(b"\n")
+    if copied_share is not None:
+        copied = sum(len(lines[i].split()) for i in lines_of(n for n in gone if n >= 0))
+        if copied >= copied_share * len(t.split()):
+            return t, 0
+    out = lines_of(n if n >= 0 else -1 - n for n in gone)
+    return b"\n".join(x for i, x in enumerate(lines) if i not in out), len(out)
 
 
-def _rebuilt(marked: DataFrame, text_col: str, order: list[str], without: Callable[[bytes, set[int]], tuple[bytes, int]]) -> DataFrame:
-    from pyspark.sql import types as T
+def _rebuilt(docs: DataFrame, gone: DataFrame, key: list[Column], text_col: str, without: Callable[[bytes, set[int]], tuple[bytes, int]]) -> DataFrame:
+    """The documents without what ``gone`` (__id, __rk, gone) names; texts move only if that is too much to broadcast."""
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= HELD_HASHES
+    i, r, g, raw, out_name = (unused(docs, x) for x in ("__i", "__r", "__gone", "__raw", "__text"))
+    gone = gone.select(F.col("__id").alias(i), F.col("__rk").alias(r), F.col("gone").alias(g))
+    own = key[0].eqNullSafe(F.col(i)) & (key[1] == F.col(r))
+    marked = docs.join(F.broadcast(gone) if few else gone, own, "left").drop(i, r)
 
     def make():
         def work(texts, gone):
             out, lines, removed = [], [], []
-            for t, g in zip(texts, gone, strict=True):
+            for t, found in zip(texts, gone, strict=True):
                 n = t.count(b"\n") + 1 if t else 0
                 drop = 0
-                if g:
-                    t, drop = without(t, set(g))
+                if found:
+                    t, drop = without(t, set(found))
                 out.append(t.decode() if t is not None else None)
                 lines.append(n)
                 removed.append(drop)
@@ -211,10 +223,8 @@ def _rebuilt(marked: DataFrame, text_col: str, order: list[str], without: Callab
 
         return work
 
-    fields = [("__text", T.StringType(), pa.string()), ("n_lines", T.LongType(), pa.int64()), ("n_removed_lines", T.LongType(), pa.int64())]
-    raw = marked.withColumn("__raw", F.col(f"`{text_col}`").cast("binary"))
-    done = add_columns(raw.drop(text_col), ["__raw", "__gone"], fields, make)
-    cols: list[Column] = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in order if c == text_col or c.lower() not in ("n_lines", "n_removed_lines")]
+    fields = [(out_name, T.StringType(), pa.string()), ("n_lines", T.LongType(), pa.int64()), ("n_removed_lines", T.LongType(), pa.int64())]
+    marked = marked.withColumn(raw, F.col(f"`{text_col}`").cast("binary")).drop(text_col)
+    done = add_columns(marked, [raw, g], fields, make)
+    cols: list[Column] = [F.col(out_name).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in ("n_lines", "n_removed_lines")]
     return done.select(*cols, "n_lines", "n_removed_lines")
-
-

@@ -147,6 +147,40 @@ def test_whole_passages_go(spark, monkeypatch, held):
     assert texts[70] == "y\ny\n" and texts[75] == "q\n" and texts[None] == ""
 
 
+def brute_whole_copies(rows, share):
+    """As ``brute_passages``, but documents with this share of their words in passages of earlier ones keep their text."""
+    first = {}
+    keys = sorted({(i is None, i or 0, t) for i, t in rows if t})
+    pairs = {}
+    for key in keys:
+        lines = key[2].split("\n")
+        full = [n for n, x in enumerate(lines) if x.strip()]
+        pairs[key] = [(a, b, "\n".join(lines[a : b + 1])) for a, b in zip(full, full[1:])]
+        for *_, body in pairs[key]:
+            first.setdefault(body, key)
+    plain, out = brute_passages(rows), {}
+    for i, t in rows:
+        key = (i is None, i or 0, t)
+        copied = {n for a, b, body in pairs.get(key, []) if first[body] != key for n in range(a, b + 1)}
+        words = sum(len(t.split("\n")[n].encode().split()) for n in copied)
+        out[i, t] = (t, 0) if copied and words >= share * len(t.encode().split()) else plain[i, t]
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_whole_copies_stay_whole(spark, monkeypatch, held):
+    monkeypatch.setattr(ld, "HELD_HASHES", held)
+    rng = random.Random(10)
+    base = [f"line {i} of the base text" for i in range(10)]
+    rows = [(0, "\n".join(base)), (1, "\n".join(base)), (2, "\n".join(base[:7] + ["other end", "here"])), (3, "\n".join(["mine"] * 3 + ["a line of my own, longer than most"] * 4 + base[:2]))]
+    rows += [(10 + i, "\n".join(rng.choice([base[k], f"own {i} {k}"]) for k in range(10))) for i in range(30)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, __gone string, __i string")
+    got = {r.doc_id: r for r in ld.remove_repeated_passages(df, copied_share=0.5).collect()}
+    want = brute_whole_copies(rows, 0.5)
+    assert {i: (got[i].text, got[i].n_removed_lines) for i, _ in rows} == {i: want[i, t] for i, t in rows}
+    assert got[1].text == rows[1][1] and got[2].text == rows[2][1] and "base" not in got[3].text and (got[1]["__gone"], got[1]["__i"]) == ("x", "y")
+
+
 def brute_base(t):
     t = t or ""
     words = re.findall("[^\x20\x09-\x0d]+", t)
