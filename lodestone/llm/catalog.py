@@ -48,7 +48,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_rules(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    judged = quality.quality_rules(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), drop_text=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 

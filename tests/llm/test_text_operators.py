@@ -197,6 +197,119 @@ def test_base_counts_equal_brute_force():
         assert q.base_counts(t.encode() if t is not None else None) == brute_base(t)
 
 
+def test_base_columns_equal_sql(spark, sf_dir):
+    from conftest import held_against_sql
+
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    mine, theirs = held_against_sql(spark, sf_dir, lambda s, d: q.measure(s.read.parquet(f"{d}/documents.parquet"), []).select(base), q.oracle_base())
+    assert mine == theirs
+
+
+def brute_quality(rows):
+    """(nearest, class distance, word distance, kept) by place in rows of (id, text, lang), in plain Python."""
+    import math
+    import statistics
+    import unicodedata
+
+    def shape(t):
+        n = {}
+        for ch in t:
+            k = unicodedata.category(ch)
+            c = "sentence" if ch in q.SENTENCE else "blank" if k[0] == "Z" or ch in "\t\n\x0b\x0c\r" else "small" if k == "Ll" else "capital" if k in ("Lu", "Lt") else k[0] if k[0] in "LMN" else "sign" if k[0] in "SP" else "other"
+            n[c] = n.get(c, 0) + 1
+        return {c: x / len(t) for c, x in n.items()}
+
+    def words(t):
+        return re.findall("[a-z\x80-\U0010ffff]+", re.sub("([\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", t.lower()))
+
+    def distance(p, r):
+        total = 0
+        for k in set(p) | set(r):
+            x, y = p.get(k, 0), r.get(k, 0)
+            total += (x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0)
+        return math.sqrt(max(0, total / 2))
+
+    taught = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None and len(words(t)) >= 50:
+            taught.setdefault(lang, []).append(t)
+    references = {}
+    for lang, texts in taught.items():
+        if len(texts) < 10:
+            continue
+        c, w = {}, {}
+        for t in texts:
+            for k, x in shape(t).items():
+                c[k] = c.get(k, 0) + x / len(texts)
+            ws = words(t)
+            for k in ws:
+                w[k] = w.get(k, 0) + 1 / len(ws) / len(texts)
+        references[lang] = c, {k: x for k, x in w.items() if x >= q.COMMON_SHARE}
+    out = []
+    for _, t, _ in rows:
+        base = brute_base(t)
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        if base[0] < 50 or not references:
+            out.append([base[0], failed, None, None, None])
+            continue
+        ws, best = words(t), None
+        for lang, (c, common) in sorted(references.items()):
+            mine = {}
+            for k in ws:
+                k = k if k in common else None
+                mine[k] = mine.get(k, 0) + 1 / len(ws)
+            d = distance(mine or {None: 1}, common | {None: 1 - sum(common.values())}), distance(shape(t), c), lang
+            best = d if best is None or d < best else best
+        out.append([base[0], failed, best[2], best[1], best[0]])
+    groups = {}
+    for n, failed, lang, c, w in out:
+        if not failed and lang:
+            groups.setdefault((lang, n.bit_length() - 1), []).append((int(c / q.STEP), int(w / q.STEP)))
+    limits = {}
+    for (lang, length), steps in groups.items():
+        if len(steps) >= 10:
+            one = []
+            for k, (low, high) in enumerate((q.CLASS_BOUNDS, q.WORD_BOUNDS)):
+                m = int(statistics.median(s[k] for s in steps))
+                d = max(1, int(statistics.median(abs(s[k] - m) for s in steps)))
+                one.append(min(high, max(low, (m + 0.5 + q.SPREADS * d) * q.STEP)))
+            limits.setdefault(lang, {})[length] = one
+    for o in out:
+        n, failed, lang, c, w = o
+        good = True
+        if lang in limits:
+            known = sorted(limits[lang])
+            most = limits[lang][max((k for k in known if k <= n.bit_length() - 1), default=known[0])]
+            good = c <= most[0] and w <= most[1]
+        o.append(not failed and good)
+    return [tuple(o[2:]) for o in out]
+
+
+def test_quality_equals_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(9000 + i, t, None) for i, t in enumerate(["\u65e5\u672c\u8a9e " * 60, "\U0001f600 " * 80, "%%% ### " * 40, "e\u0301 \u00df " * 60, None, ""])]
+    rows += [(9100 + i, "rare tongue " * 30 + str(i), "rare") for i in range(9)]
+    got = {r.doc_id: r for r in q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = brute_quality(rows)
+    assert sum(not w[3] for w in want) > 10
+    for (i, _, _), (lang, c, w, kept) in zip(rows, want):
+        r = got[i]
+        assert r.nearest == lang and r.kept == kept, (i, r, lang, c, w, kept)
+        assert c is None and r.class_distance is None or abs(r.class_distance - c) < 1e-4 and abs(r.word_distance - w) < 1e-4
+
+
+def test_stray_language_values_teach_nothing(spark):
+    prose = "some words of plain prose stand here in a row and then some more of them follow on and on until there are enough of them to be " * 3
+    rows = [(i, prose + str(i), f"stray {i}") for i in range(300)] + [(1000 + i, prose + str(i), "en") for i in range(20)]
+    assert [r["lang"] for r in q.learn_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))] == ["en"]
+
+
+def test_quality_clashes_and_nulls(spark):
+    df = spark.createDataFrame([(None, None, None, "a", "b", "c", 1)], "doc_id long, text string, lang string, __lang string, __text string, nearest string, base_failed int")
+    r = q.quality_rules(df).first()
+    assert (r["__lang"], r["__text"], r.nearest, r.base_failed, r.kept, r.n_words) == ("a", "b", None, True, False, 0)
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(2)
     common = ["the", "of", "and", "to", "in", "is", "that", "for"]
