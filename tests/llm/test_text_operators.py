@@ -333,6 +333,50 @@ def test_language_learns_and_predicts(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_in_blocks(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    one = sorted(map(tuple, lang.identify(docs).collect()))
+    monkeypatch.setattr(lang, "BLOCK_LANGUAGES", 1)
+    many = sorted(map(tuple, lang.identify(docs).collect()))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(one, many))
+    assert len({r[2] for r in one}) > 2
+
+
+def test_stray_languages_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang, "LEARNED", 10)
+    docs = spark.createDataFrame([(i, "plain words of text", "en" if i < 50 else f"stray{i}") for i in range(80)], "doc_id long, text string, lang string")
+    assert [sorted(b) for b in lang.learn_prototypes(docs)] == [["en"]]
+
+
+def test_prototypes_equal_brute_force(spark):
+    """Bundles and cosines against the definition, trigram by trigram."""
+    import numpy as np
+
+    texts = [("aa", "Ab ab, c1 ba"), ("aa", "abc"), ("bb", "xyz zyx"), (None, "abc"), ("bb", None)]
+    df = spark.createDataFrame([(i, t, lg) for i, (lg, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    letters = lang.Space(lang.DIMENSIONS)
+
+    def bundle(t, root=False):
+        t = " " + " ".join(re.findall("[a-z]+", t.lower())) + " "
+        grams = [t[i : i + 3] for i in range(len(t) - 2)]
+        total = np.zeros(lang.DIMENSIONS)
+        for g in set(grams):
+            v = np.roll(letters.letter(ord(g[0])), 2) * np.roll(letters.letter(ord(g[1])), 1) * letters.letter(ord(g[2]))
+            total += v * (grams.count(g) ** 0.5 if root else grams.count(g))
+        return total
+
+    want = {"aa": bundle(texts[0][1]) + bundle(texts[1][1]), "bb": bundle(texts[2][1])}
+    (got,) = lang.learn_prototypes(df)
+    assert {k: list(map(int, v)) for k, v in want.items()} == got
+    for r in lang.predict(df, got).collect():
+        if r.text is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = bundle(r.text, True)
+        cos = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in want.items()}
+        assert r.lang_pred == max(sorted(cos), key=cos.get) and abs(r.score - max(0, max(cos.values()))) < 1e-6
+
+
 def test_language_of_odd_texts(spark):
     docs = spark.createDataFrame([(i, t, "aa") for i, t in ODD] + [(50, "words of text", "bb"), (51, "123 %", None), (52, "words", None)], "doc_id long, text string, lang string")
     got = {(r.doc_id, r.lang_pred) for r in lang.identify(docs).collect()}
