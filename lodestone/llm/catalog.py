@@ -5,12 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import decontaminate, html_text, language, line_dedup, near_dedup, packing, quality, sharding, token_rollup, warc
-from .shared import written
+from . import decontaminate, html_text, language, line_dedup, near_dedup, packing, quality, sharding, stages, token_rollup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -57,14 +53,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_rollup.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
-    return packing.pack(written(counted, "packing-tokens"), length=F.col("n_tokens"))
+    return stages.packing_stage(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_token_rollup, op2_warc_merge, op3_feistel_shards, op4_language_id, op5_decontamination]
     own += [op6_near_duplicates, op7_line_dedup, op8_quality_rules, op9_html_text, op10_packing]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": stages.run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -74,4 +69,4 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontaminate.oracle(),
         "op6_near_duplicates": near_dedup.oracle(85, 100),
     }
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return own | ({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})

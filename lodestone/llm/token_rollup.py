@@ -22,6 +22,11 @@ KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
 
 
+def ranks_of(blob: bytes) -> dict[bytes, int]:
+    """The tokens of a vocabulary file with their ranks."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}
+
+
 def count_of(encoding, text: str | None) -> int:
     """Tokens of a whole text.
 
@@ -50,8 +55,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str =
     def make():
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(blob), special_tokens={})
 
         def work(texts):
             return [[count_of(encoding, t) for t in texts]]

@@ -301,25 +301,42 @@ def test_stages_of_the_pipeline(spark, sf_dir):
 def test_pipeline_equals_brute_force(spark, sf_dir):
     """run() against the plain versions of its stages, one after the other, in Python."""
     from test_near_dedup import brute
-    from test_text_operators import brute_contamination, brute_lines
+    from test_text_operators import brute_contamination, brute_quality, brute_whole_copies
 
-    from lodestone.llm import quality
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    kept = [(r.doc_id, r.text) for r in quality.quality_rules(docs).filter("kept").collect()]
-    texts = dict(brute_lines(kept))
+    kept = [(i, t) for (i, t, _), verdict in zip(docs, brute_quality(docs)) if verdict[3]]
+    plain = brute_whole_copies(kept, 0.5)
+    texts = {i: plain[i, t][0] for i, t in kept}
     groups = brute(sorted(texts.items()), 80, 100)
     left = {i: t for i, t in texts.items() if groups[i][1] == i}
-    benchmark = [(i, t) for i, t in items]
-    windows = {tuple(w[p : p + 10]) for _, t in benchmark for w in [_words(t)] for p in range(max(1, len(w) - 9))}
+    assert len(left) < len(texts) < len(docs) and all(t.split() for t in left.values())
+    windows = {tuple(w[p : p + 10]) for _, t in items for w in [_words(t)] for p in range(max(1, len(w) - 9))}
     assert all(len(w) == 10 for w in windows)
     clean = {i: t for i, t in left.items() if not any(tuple(w[p : p + 10]) in windows for w in [_words(t)] for p in range(len(w) - 9))}
     assert brute_contamination("", [])[1] == 0
     got = {}
     for r in corpus_pipeline.run(spark, sf_dir).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-    assert got == {i: len(t.encode().split()) for i, t in clean.items()}
+    import tiktoken
+
+    encoding = tiktoken.Encoding("own", pat_str=tr.PATTERN, mergeable_ranks=tr.ranks_of(open(tr.VOCABULARY, "rb").read()), special_tokens={})
+    assert got == {i: len(encoding.encode_ordinary(t)) for i, t in clean.items()}
+
+
+def test_copies_reach_the_near_duplicate_stage_whole(spark, sf_dir):
+    """No text is emptied on the way, and no near copy of a kept document is left as a remnant."""
+    from test_near_dedup import brute
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, sf_dir).cache()
+    lines = stages["line dedup"](spark, kept, sf_dir).cache()
+    left = {r.doc_id for r in stages["near-duplicates"](spark, lines, sf_dir).collect()}
+    assert lines.count() == kept.count() and lines.filter("trim(text) = ''").isEmpty()
+    groups = brute([(r.doc_id, r.text) for r in kept.collect()], 80, 100)
+    copies = {i for i, (_, c) in groups.items() if i != c}
+    assert len(copies) >= 10 and len(copies & left) <= 1 + 0.05 * len(copies)  # a copy may lose less than half of its words to passages and be like the first no more
 
 
 def _words(t):
