@@ -1,60 +1,5 @@
-"""A training-data pipeline: each stage takes the documents its predecessor kept."""
+"""A training-data pipeline over the documents; its stages live with the operators that they call."""
 
-from __future__ import annotations
+from lodestone.llm.stages import COLUMNS, ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.llm.decontaminate import remove_contaminated
-from lodestone.llm.line_dedup import remove_repeated_chunks
-from lodestone.llm.near_dedup import keep_one
-from lodestone.llm.packing import pack
-from lodestone.llm.quality import quality_rules
-from lodestone.llm.shared import written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules(docs).filter("kept").select(COLUMNS)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that stand earlier in the corpus go from the texts; n_chars follows."""
-    return remove_repeated_chunks(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity 0.8 or more) stays."""
-    return keep_one(docs).select(COLUMNS)
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
-    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is cut, bucketed by length and batched."""
-    return pack(docs)
-
-
-STAGES = [
-    ("quality rules", quality_stage),
-    ("line dedup", line_stage),
-    ("near-duplicates", near_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("packing", packing_stage),
-]
-
-#: Learned references, sketches and dynamic programming have no SQL form; tests compare
-#: run() with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
