@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 #: Rows that a task works on at once: the results of long texts must fit a Python worker.
 BATCH_ROWS = 64
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 1 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Tables written in the innermost ``scratch`` block that is open.
