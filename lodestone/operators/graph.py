@@ -1,11 +1,15 @@
 """Dependency-graph analytics as joins and aggregations.
 
 Edges are (src, dst[, weight, type]). Loops have a fixed or bounded number of rounds and
-keep their plans short by reliable checkpoints where the session has a checkpoint folder.
+keep their plans short by reliable checkpoints; the edges are checkpointed once, dealt by
+their join key, so that no round computes or shuffles them again.
 """
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,11 +22,19 @@ MIN_NODES, MIN_DENSITY, MIN_CONNECTED = 100, 0.75, 0.5
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; without one on the only machine, or else the plan just grows."""
+    """Cut the lineage by a reliable checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only on a single machine, where that is unset, a temporary folder is taken.
+    """
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir():
-        return df.checkpoint()
-    return df.localCheckpoint() if context.master.startswith("local[") or context.master == "local" else df
+    if not context.getCheckpointDir():
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not known:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            known = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir(known)
+    return df.checkpoint()
 
 
 def load(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -37,20 +49,27 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("out_edges"), F.sum("weight").alias("out_weight"))
 
 
-def personalized_pagerank(edges: DataFrame, seeds: list[int], rounds: int = ROUNDS, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, seeds: Sequence[int] | DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
     """id and score after ``rounds`` steps p = (1 - alpha) A' p + alpha s.
 
     Rows of A are normalised by weighted out-degree; what reaches a node without out-edges
-    is lost. Each distinct seed gets 1 / count, seeds without edges included in the count.
-    With a tolerance the loop ends once the L2 change is below it (an action a round).
+    is lost. Each distinct seed (a list, or a column id) gets 1 / count, seeds without edges
+    included in the count. With a tolerance the loop ends once the L2 change is below it
+    (an action a round).
     """
     spark = edges.sparkSession
-    seeds = sorted(set(seeds))
-    if not seeds:
+    if isinstance(seeds, DataFrame):
+        start = cut(seeds.select(F.col("id").cast("long")).distinct())
+        n = start.count()
+        start = start.withColumn("score", F.lit(1.0 / max(1, n)))
+    else:
+        seeds = sorted(set(seeds))
+        n = len(seeds)
+        start = spark.createDataFrame([(s, 1.0 / n) for s in seeds], "id bigint, score double")
+    if not n:
         return spark.createDataFrame([], "id bigint, score double")
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    start = spark.createDataFrame([(s, 1.0 / len(seeds)) for s in seeds], "id bigint, score double")
+    steps = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).repartition("src"))
     p = start
     for i in range(rounds):
         flow = steps.join(p, steps.src == p.id).select(F.col("dst").alias("id"), (F.col("share") * F.col("score") * (1 - alpha)).alias("score"))
@@ -111,7 +130,7 @@ def sparse_gate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def forward_bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """id and depth (least number of hops, at most ``MAX_DEPTH``) of what the seeds reach, without them."""
-    hops = edges.select("src", "dst").distinct()
+    hops = cut(edges.select("src", "dst").distinct().repartition("src"))
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, min(depth, MAX_DEPTH) + 1):
@@ -121,6 +140,16 @@ def forward_bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen.filter("depth > 0")
 
 
+def named_hops(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """src and dst of references: to the resolved symbol, and where there is none, to every symbol of that name.
+
+    refs: from_id, to_id (null if unresolved), to_name; symbols: id, name. Two equi-joins, united.
+    """
+    known = refs.filter("to_id is not null").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    open_ = refs.filter("to_id is null").select(F.col("from_id").alias("src"), F.col("to_name").alias("name")).distinct()
+    return known.unionByName(open_.join(symbols.filter("name <> ''").select("name", F.col("id").alias("dst")), "name").select("src", "dst")).distinct()
+
+
 def impact(symbols: DataFrame, refs: DataFrame, contains: DataFrame, name: str, depth: int, include_types: bool = True) -> DataFrame:
     """Symbols that a change of ``name`` can reach: callers by id or by name, and contained children.
 
@@ -129,14 +158,14 @@ def impact(symbols: DataFrame, refs: DataFrame, contains: DataFrame, name: str,
     either condition would compare all pairs. Seeds are left out.
     """
     calls = refs if include_types else refs.filter("kind <> 'type_reference'")
-    by_id = calls.filter("to_id is not null").select(F.col("to_id").alias("id"), F.col("from_id").alias("next")).distinct()
-    by_name = calls.select(F.col("to_name").alias("name"), F.col("from_id").alias("next")).distinct()
-    down = contains.select(F.col("parent").alias("id"), F.col("child").alias("next")).distinct()
+    by_id = calls.filter("to_id is not null").select(F.col("to_id").alias("id"), F.col("from_id").alias("next"))
+    by_id = cut(by_id.unionByName(contains.select(F.col("parent").alias("id"), F.col("child").alias("next"))).distinct().repartition("id"))
+    by_name = cut(calls.select(F.col("to_name").alias("name"), F.col("from_id").alias("next")).distinct().repartition("name"))
     seen = symbols.filter(F.col("name") == name).select("id", "name").withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, min(depth, MAX_DEPTH) + 1):
         ids, names = frontier.select("id"), frontier.select("name").distinct()
-        nxt = by_id.join(ids, "id").select("next").unionByName(by_name.join(names, "name").select("next")).unionByName(down.join(ids, "id").select("next"))
+        nxt = by_id.join(ids, "id").select("next").unionByName(by_name.join(names, "name").select("next"))
         new = nxt.select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = cut(new.join(symbols.select("id", "name"), "id").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)

@@ -6,29 +6,36 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def scored_lines(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, line_no (from 0), line and overlap: distinct query words in the line."""
+def _overlaps(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
+    """id and s, the number of distinct query words in each line; a null text has no row."""
     words = sorted(set(re.findall("[a-z0-9]+", query.lower())))
     q = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return lines.withColumn("overlap", F.size(F.array_intersect(q, F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0)))))
+    lines = F.split(F.lower(F.col(text_col)), "\n")
+    s = F.transform(lines, lambda x: F.size(F.array_intersect(q, F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)))))
+    return docs.select(F.col(id_col).alias("id"), s.alias("s")).filter("s is not null")
 
 
-def best_lines(docs: DataFrame, query: str, **options) -> DataFrame:
-    """The line of most overlap of each text, the first of equals."""
-    s = scored_lines(docs, query, **options)
-    return s.groupBy("id").agg(F.max_by(F.struct("line_no", "overlap"), F.struct("overlap", -F.col("line_no"))).alias("b")).select("id", "b.line_no", "b.overlap")
+def _first_best(scores: DataFrame) -> DataFrame:
+    return scores.select("id", "s", F.array_max("s").alias("overlap")).select("id", (F.array_position("s", F.col("overlap")) - 1).cast("int").alias("line_no"), "overlap")
 
 
-def best_windows(docs: DataFrame, query: str, **options) -> DataFrame:
+def best_lines(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, line_no (from 0) and overlap of the line of most overlap of each text, the first of equals.
+
+    A row's lines stay in the row, so nothing is shuffled.
+    """
+    return _first_best(_overlaps(docs, query, id_col, text_col))
+
+
+def best_windows(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The line whose three-line window overlaps most, the first of equals."""
-    s = scored_lines(docs, query, **options)
-    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(-1, 1)
-    s = s.withColumn("total", F.sum("overlap").over(w))
-    return s.groupBy("id").agg(F.max_by(F.struct("line_no", "total"), F.struct("total", -F.col("line_no"))).alias("b")).select("id", "b.line_no", F.col("b.total").alias("overlap"))
+    s, zero = F.col("s"), F.array(F.lit(0))
+    before = F.concat(zero, F.slice(s, F.lit(1), F.size(s) - 1))
+    after = F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), zero)
+    total = F.zip_with(F.zip_with(s, before, lambda a, b: a + b), after, lambda a, b: a + b)
+    return _first_best(_overlaps(docs, query, id_col, text_col).select("id", total.alias("s")))
 
 
 def render(lines: list[str], best: int, around: int = 3, ancestors: list[str] | None = None, max_depth: int | None = None, full: bool = False) -> str:

@@ -141,7 +141,7 @@ def project_map(spark, d):
 
 
 RESOLVE = """WITH s AS (SELECT p_partkey AS id, p_name AS name, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 ELSE 3 END AS p, p_brand || '/' || p_size || '/x' AS path FROM part),
-r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, p_name AS name, p_brand || '/' || CAST(l_linenumber AS VARCHAR) || '/y' AS path FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_quantity = 50 GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, p_name AS name, p_brand || '/' || CAST(l_linenumber AS VARCHAR) || '/y' AS path FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey),
 q AS (SELECT ref_id, CASE WHEN ref_id % 3 = 0 THEN 'pkg.mod.' || name WHEN ref_id % 7 = 0 THEN 'none' ELSE name END AS name, path FROM r),
 c AS (SELECT ref_id, s.id AS symbol_id, p, q.path AS a, s.path AS b, 'strict' AS tier FROM q JOIN s ON s.name = q.name
   UNION ALL SELECT ref_id, s.id, p, q.path, s.path, 'suffix' FROM q JOIN s ON s.name = regexp_extract(q.name, '([^.]*)$', 1) WHERE q.name NOT IN (SELECT name FROM s)),
@@ -150,11 +150,11 @@ k AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, row_number() OVER (PAR
 done AS (SELECT ref_id, symbol_id, CASE WHEN n = 1 THEN tier ELSE 'proximity' END AS tier FROM k WHERE r = 1 AND (n = 1 OR near > nx)) """
 
 
-def _resolved(spark: SparkSession, d: str, rows: str = "l_quantity = 50") -> DataFrame:
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     kind = F.when(F.col("p_type") == "ECONOMY", "function").when(F.col("p_type") == "STANDARD", "class").when(F.col("p_type") == "PROMO", "method").otherwise("variable")
     symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("kind"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), F.lit("x")).alias("path"))
-    li = table(spark, d, "lineitem").filter(rows).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "l_linenumber", "l_partkey")
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "l_linenumber", "l_partkey")
     li = li.groupBy("ref_id", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"))
     name = F.when(F.col("ref_id") % 3 == 0, F.concat(F.lit("pkg.mod."), "p_name")).when(F.col("ref_id") % 7 == 0, "none").otherwise(F.col("p_name"))
     refs = li.join(p.select("p_partkey", "p_name", "p_brand"), "p_partkey").select("ref_id", name.alias("name"), F.concat_ws("/", "p_brand", F.col("l_linenumber").cast("string"), F.lit("y")).alias("path"))
@@ -171,20 +171,6 @@ def resolution_stats(spark, d):
     return _resolved(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("symbol_id").alias("targets"))
 
 
-# The two above read few rows so that their SQL is cheap; these read all of lineitem.
-RESOLVE_WHOLE = RESOLVE.replace(" WHERE l_quantity = 50", "")
-
-
-@query(RESOLVE_WHOLE + "SELECT * FROM done")
-def name_resolution_whole(spark, d):
-    return _resolved(spark, d, "true")
-
-
-@query(RESOLVE_WHOLE + "SELECT tier, count(*) AS n, count(DISTINCT symbol_id) AS targets FROM done GROUP BY tier")
-def resolution_stats_whole(spark, d):
-    return _resolved(spark, d, "true").groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("symbol_id").alias("targets"))
-
-
 CONTAINS = "(SELECT 30000000 + n_regionkey AS src, 20000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 20000000 + c_nationkey, c_custkey FROM customer UNION ALL SELECT 20000000 + s_nationkey, 10000000 + s_suppkey FROM supplier)"
 
 
@@ -201,6 +187,15 @@ def forward_bfs(spark, d):
     return graph.forward_bfs(edges, spark.createDataFrame([(REGION + 1,)], "id bigint"), 3)
 
 
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {CALLS} UNION ALL SELECT dst, src FROM {CALLS}), r(id, depth) AS (SELECT 10000007, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.id WHERE depth < 2) SELECT CAST(id AS BIGINT) AS id, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE id <> 10000007 GROUP BY id")
+def forward_bfs_by_name(spark, d):
+    """Hops to resolved symbols, and to all symbols of the name where a reference is unresolved; suppliers call back by name."""
+    refs, symbols = _refs(spark, d).select("from_id", "to_id", "to_name"), _symbols(spark, d)
+    names = symbols.select(F.col("id").alias("from"), F.col("name").alias("back"))
+    back = _calls(spark, d).join(names, F.col("src") == F.col("from")).select(F.col("dst").alias("from_id"), F.lit(None).cast("bigint").alias("to_id"), F.col("back").alias("to_name"))
+    return graph.forward_bfs(graph.named_hops(refs.unionByName(back), symbols), spark.createDataFrame([(SUPPLIER + 7,)], "id bigint"), 2)
+
+
 IMPACT = f"""WITH RECURSIVE s AS (SELECT * FROM {SYMBOLS} UNION ALL SELECT 20000000 + n_nationkey, n_name, n_nationkey FROM nation),
 e AS (SELECT dst AS a, src AS b FROM {CALLS} UNION SELECT src, dst FROM {CONTAINS}),
 r(id, depth) AS (SELECT id, 0 FROM s WHERE name = 'NATION_3' UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.id WHERE depth < 2)
@@ -224,88 +219,82 @@ def impact_no_types(spark, d):
     return _impact(spark, d, False)
 
 
-SMALL = "(SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_tax = 0.08)"
-REACH = f"WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {SMALL} UNION SELECT dst, src FROM {SMALL}), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a) "
+SUPPLIES = "(SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem)"
+# Labels fall to the smallest neighbour's until none falls: the same rows that pointer jumping reaches in fewer rounds.
+LABELS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b FROM {SUPPLIES} UNION ALL SELECT dst, src FROM {SUPPLIES}),
+c(id, component) USING KEY (id) AS (SELECT a, a FROM e GROUP BY a
+  UNION SELECT e.a, min(c.component) FROM c JOIN e ON e.b = c.id JOIN recurring.c AS k ON k.id = e.a GROUP BY e.a HAVING min(c.component) < min(k.component)) """
 
 
-def _small(spark: SparkSession, d: str, rows: str = "l_quantity = 50 and l_tax = 0.08") -> DataFrame:
-    li = table(spark, d, "lineitem").filter(rows)
-    return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
+def _supplies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
 
 
-@query(REACH + "SELECT id, component FROM c")
+@query(LABELS + "SELECT id, component FROM c")
 def connected_components(spark, d):
-    return graph.components(_small(spark, d))
+    return graph.components(_supplies(spark, d))
 
 
-@query(REACH + "SELECT component, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, component LIMIT 1")
+@query(LABELS + "SELECT component, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, component LIMIT 1")
 def largest_component(spark, d):
-    return graph.components(_small(spark, d)).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return graph.components(_supplies(spark, d)).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
 
 
-@query(REACH + f", g AS (SELECT (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM {SMALL}) AS edges, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY component)) AS largest) SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, round(edges / nodes, 6) AS density, round(largest / nodes, 6) AS largest_share, nodes < 100 OR edges / nodes < 0.75 OR largest / nodes < 0.5 AS sparse FROM g")
+@query(LABELS + f", g AS (SELECT (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM {SUPPLIES}) AS edges, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY component)) AS largest) SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, round(edges / nodes, 6) AS density, round(largest / nodes, 6) AS largest_share, nodes < 100 OR edges / nodes < 0.75 OR largest / nodes < 0.5 AS sparse FROM g")
 def sparse_gate(spark, d):
-    e = _small(spark, d)
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    g = graph.sparse_gate(e, nodes)
+    e = graph.cut(_supplies(spark, d))
+    g = graph.sparse_gate(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
     return g.withColumn("density", F.round("density", 6)).withColumn("largest_share", F.round("largest_share", 6))
 
 
-# The three above read few rows so that their recursive SQL is cheap; these read all of lineitem, without SQL.
-@query()
-def connected_components_whole(spark, d):
-    return graph.components(_small(spark, d, "true"))
+TOLERANCE = 1e-6
 
 
-@query()
-def largest_component_whole(spark, d):
-    return graph.components(_small(spark, d, "true")).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+def _ppr_sql(before: str, seeds: str) -> str:
+    """CTEs ending in ``ppr(id, score)``: power iteration until the L2 change is under the tolerance, 50 rounds at most."""
+    return f"""WITH RECURSIVE {before}k AS MATERIALIZED (SELECT * FROM {CALLS}),
+m AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM (SELECT src, dst FROM k UNION ALL SELECT dst, src FROM k)),
+s AS MATERIALIZED (SELECT id, 1.0::DOUBLE / count(*) OVER () AS score FROM (SELECT DISTINCT id FROM {seeds})),
+p(i, id, score, old) AS (SELECT 0, id, score, 10.0::DOUBLE FROM s
+  UNION ALL SELECT i + 1, id, sum(score), sum(old) FROM (
+    SELECT p.i, m.dst AS id, p.score * m.share * 0.85 AS score, 0.0 AS old FROM p JOIN m ON m.src = p.id
+    UNION ALL SELECT t.i, s.id, s.score * 0.15, 0.0 FROM (SELECT DISTINCT i FROM p) t, s
+    UNION ALL SELECT i, id, 0.0, score FROM p) WHERE i < 50 AND (SELECT sum((score - old) * (score - old)) FROM p) >= 1e-12 GROUP BY i, id),
+ppr AS (SELECT id, score FROM p WHERE i = (SELECT max(i) FROM p) AND score > 1e-10)"""
 
 
-@query()
-def sparse_gate_whole(spark, d):
-    e = graph.cut(_small(spark, d, "true"))
-    g = graph.sparse_gate(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
-    return g.withColumn("density", F.round("density", 6)).withColumn("largest_share", F.round("largest_share", 6))
+def _both_ways(spark: SparkSession, d: str) -> DataFrame:
+    one = graph.cut(_calls(spark, d))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def _ppr_sql(rounds: int) -> str:
-    q = f"WITH e AS (SELECT src, dst FROM {CALLS} UNION ALL SELECT dst, src FROM {CALLS}), m AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e), s(id, score) AS (VALUES (3, 0.5::DOUBLE), (10000004, 0.5::DOUBLE)), p0 AS (SELECT * FROM s)"
-    for i in range(rounds):
-        q += f", p{i + 1} AS (SELECT id, sum(score) AS score FROM (SELECT dst AS id, share * score * 0.85 AS score FROM m JOIN p{i} ON p{i}.id = src UNION ALL SELECT id, score * 0.15 FROM s) GROUP BY id)"
-    return q
+def _ppr(spark: SparkSession, d: str) -> DataFrame:
+    return graph.personalized_pagerank(_both_ways(spark, d), [3, SUPPLIER + 4], graph.ROUNDS, tolerance=TOLERANCE)
 
 
-def _ppr(spark: SparkSession, d: str, rounds: int = 5, tolerance: float | None = None) -> DataFrame:
-    one = _calls(spark, d)
-    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return graph.personalized_pagerank(graph.cut(both), [3, SUPPLIER + 4], rounds, tolerance=tolerance)
+SEEDS = "(VALUES (3), (10000004)) AS v(id)"
 
 
-@query(_ppr_sql(5) + " SELECT CAST(id AS BIGINT) AS id, round(score, 7) AS score FROM p5 WHERE score > 1e-10")
+@query(_ppr_sql("", SEEDS) + " SELECT CAST(id AS BIGINT) AS id, round(score, 7) AS score FROM ppr")
 def pagerank_personalized(spark, d):
     return _ppr(spark, d).select("id", F.round("score", 7).alias("score"))
 
 
-@query(_ppr_sql(5) + ", b AS (SELECT c_nationkey AS id, round(max(score), 12) AS raw FROM p5 JOIN customer ON c_custkey = id WHERE score > 1e-10 GROUP BY 1) SELECT id, round(raw / max(raw) OVER (), 6) AS score, CAST(row_number() OVER (ORDER BY raw DESC, id) AS INTEGER) AS rank FROM b ORDER BY raw DESC, id LIMIT 10")
+@query(_ppr_sql("", SEEDS) + ", b AS (SELECT c_nationkey AS id, round(max(score), 12) AS raw FROM ppr JOIN customer ON c_custkey = id GROUP BY 1) SELECT id, round(raw / max(raw) OVER (), 6) AS score, CAST(row_number() OVER (ORDER BY raw DESC, id) AS INTEGER) AS rank FROM b ORDER BY raw DESC, id LIMIT 10")
 def ppr_ranked_chunks(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("chunk_id"))
     return graph.ranked_chunks(_ppr(spark, d), c, 10).withColumn("score", F.round("score", 6))
 
 
-# The two above stop after the rounds that their SQL unrolls; these go on until the scores hold still, without SQL.
-TOLERANCE = 1e-6
-
-
-@query()
-def pagerank_personalized_converged(spark, d):
-    return _ppr(spark, d, graph.ROUNDS, TOLERANCE).select("id", F.round("score", 7).alias("score"))
-
-
-@query()
-def ppr_ranked_chunks_converged(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("chunk_id"))
-    return graph.ranked_chunks(_ppr(spark, d, graph.ROUNDS, TOLERANCE), c, 10).withColumn("score", F.round("score", 6))
+@query(_ppr_sql(f"reach(id, depth) AS (SELECT 10000007, 0 UNION SELECT e.src, depth + 1 FROM reach JOIN {CALLS} e ON e.dst = reach.id WHERE depth < 2), ", "(SELECT id FROM reach WHERE depth > 0)") + " SELECT CAST(id AS BIGINT) AS id, CAST(min(depth) AS INTEGER) AS depth, round(coalesce(max(score), 0), 7) AS ppr_relevance FROM reach LEFT JOIN ppr USING (id) WHERE depth > 0 GROUP BY id")
+def impact_ranked(spark, d):
+    """What a change of one symbol can reach, with the PageRank that restarts at all of it, behind the sparse gate."""
+    hit = graph.cut(graph.impact(_symbols(spark, d), _refs(spark, d), _contains(spark, d).select(F.col("src").alias("parent"), F.col("dst").alias("child")), "Supplier#000000007", 2).select("id", "depth"))
+    both = _both_ways(spark, d)
+    if graph.sparse_gate(both, both.select(F.col("src").alias("id")).distinct()).first().sparse:
+        return hit.withColumn("ppr_relevance", F.lit(None).cast("double"))
+    scores = graph.personalized_pagerank(both, hit, tolerance=TOLERANCE)
+    return hit.join(scores, "id", "left").select("id", "depth", F.round(F.coalesce("score", F.lit(0.0)), 7).alias("ppr_relevance"))
 
 
 @query(f"SELECT src, count(*) AS out_edges, CAST(count(*) AS DOUBLE) AS out_weight FROM {CALLS} GROUP BY src")
@@ -397,6 +386,5 @@ def solid_chars(spark, d):
 @query("SELECT DISTINCT user_id AS file, 'e' || event_type AS src, 'e' || CAST(floor(value) AS INTEGER) % 3 AS dst, 'calls' AS type FROM events WHERE CAST(floor(value) AS INTEGER) % 3 < 2")
 def build_edges(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("file"), F.concat(F.lit("e"), "event_type").alias("from_name"), F.concat(F.lit("e"), (F.floor("value") % 3).cast("string")).alias("to_name"), F.lit("calls").alias("kind"))
-    names = spark.createDataFrame([("e0", ""), ("e1", "")], "name string, scope string")
-    files = e.select("file").distinct().withColumn("k", F.lit(1)).join(names.withColumn("k", F.lit(1)), "k").drop("k")
+    files = e.select("file").distinct().select("file", F.explode(F.array(F.lit("e0"), F.lit("e1"))).alias("name"), F.lit("").alias("scope"))
     return graph.build_edges(e, files)

@@ -279,7 +279,7 @@ def metrics_by_label(spark, d):
 
 
 DRIFT = """WITH p AS (SELECT a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
-x AS (SELECT unnest(range(8)) AS i, a, b FROM p), y AS (SELECT i, a[i + 1] AS x, unnest(range(8)) AS j, b FROM x)
+x AS (SELECT unnest(range(64)) AS i, a, b FROM p), y AS (SELECT i, a[i + 1] AS x, unnest(range(64)) AS j, b FROM x)
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x * b[j + 1]) - sum(x) * sum(b[j + 1]) / count(*), 4) AS value FROM y GROUP BY ALL"""
 
 
@@ -291,11 +291,6 @@ def _covariance(spark: SparkSession, e: DataFrame) -> DataFrame:
 
 @query(DRIFT)
 def drift_cross_covariance(spark, d):
-    return _covariance(spark, table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")))
-
-
-@query(DRIFT.replace("range(8)", "range(64)"))
-def drift_cross_covariance_whole(spark, d):
     return _covariance(spark, table(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
