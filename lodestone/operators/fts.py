@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import _fold_table, tokens
+from lodestone.operators.postings import Postings
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TYPES = ("lex", "vec", "hyde")
@@ -171,6 +172,11 @@ def occurrences(toks: Column, leaf: Leaf) -> Column:
         return F.size(F.filter(toks, lambda x: x.startswith(w) if leaf.prefix else x == w))
     if not leaf.near:
         return F.size(starts(toks, leaf))
+    return _near(lambda x: starts(toks, x), leaf)
+
+
+def _near(starts_of, leaf: Leaf) -> Column:
+    """How many of the leaf's places have every other operand within its distance."""
     mine = len(leaf.words)
 
     def close(all_: Column, i: int, other: Leaf):
@@ -183,10 +189,52 @@ def occurrences(toks: Column, leaf: Leaf) -> Column:
             places = F.filter(places, close(all_, i, other))
         return F.size(places)
 
-    every = F.struct(starts(toks, leaf).alias("own"), *[starts(toks, o).alias(f"p{i}") for i, o in enumerate(leaf.near)])
+    every = F.struct(starts_of(leaf).alias("own"), *[starts_of(o).alias(f"p{i}") for i, o in enumerate(leaf.near)])
     return let(every, count)
 
 
+def _counted(docs: DataFrame, q: Query, id_col: str, text_col: str, project: Column, wanted: Column) -> DataFrame:
+    """id, project, wanted, dl, and f (occurrences) of each leaf in every row: one scan of the texts."""
+
+    def count(t: Column) -> Column:
+        found = [occurrences(t, leaf).alias(f"f{i}") for i, leaf in enumerate(q.leaves)]
+        found += [(F.size(starts(t, leaf)) > 0).alias(f"any{i}") for i, leaf in enumerate(q.leaves) if leaf.near]
+        return F.struct(F.size(t).alias("dl"), *found)
+
+    slim = docs.select(F.col(id_col).alias("id"), project.alias("project"), wanted.alias("wanted"), let(tokens(F.col(text_col)), count).alias("c"))
+    return slim.select("id", "project", "wanted", "c.*")
+
+
+def _looked_up(index: Postings, q: Query, project: Column) -> DataFrame:
+    """The same of the rows that hold a word of the query, from their postings alone."""
+    words = sorted({w for leaf in q.leaves for w in (leaf.words[:-1] if leaf.prefix else leaf.words)})
+    heads = sorted({leaf.words[-1] for leaf in q.leaves if leaf.prefix and leaf.words})
+    term, nothing = F.col("term"), F.array().cast("array<int>")
+    wanted = F.lit(False)
+    for test in ([term.isin(words)] if words else []) + [term.startswith(h) for h in heads]:
+        wanted = wanted | test
+    places = [F.coalesce(F.first(F.when(term == w, F.col("at")), ignorenulls=True), nothing).alias(f"w{i}") for i, w in enumerate(words)]
+    places += [F.array_sort(F.flatten(F.collect_list(F.when(term.startswith(h), F.col("at"))))).alias(f"h{i}") for i, h in enumerate(heads)]
+    rows = index.postings.filter(wanted).groupBy("row").agg(F.first("id").alias("id"), F.first("project").alias("project"), F.first("dl").alias("dl"), *places)
+
+    def shifted(places: Column, by: int) -> Column:
+        return F.transform(places, lambda p: p - by)
+
+    def starts_of(leaf: Leaf) -> Column:
+        if not leaf.words:
+            return nothing
+        at = [F.col(f"w{words.index(w)}") for w in (leaf.words[:-1] if leaf.prefix else leaf.words)]
+        at += [F.col(f"h{heads.index(leaf.words[-1])}")] if leaf.prefix else []
+        first = at[0]
+        for j, other in enumerate(at[1:], 1):  # what is left are starts after which the words follow
+            first = F.array_intersect(first, shifted(other, j))
+        return first
+
+    found = [(_near(starts_of, leaf) if leaf.near else F.size(starts_of(leaf))).alias(f"f{i}") for i, leaf in enumerate(q.leaves)]
+    found += [(F.size(starts_of(leaf)) > 0).alias(f"any{i}") for i, leaf in enumerate(q.leaves) if leaf.near]
+    return rows.select("id", project.alias("project"), F.lit(True).alias("wanted"), "dl", *found)
+
+
 def bm25(
     docs: DataFrame,
     query: str,
@@ -195,28 +243,35 @@ def bm25(
     project_col: str | None = None,
     where: Column | None = None,
     advanced: bool = False,
+    index: Postings | None = None,
+    restrict: bool = False,
 ) -> DataFrame:
     """id, project and score (negative BM25, smaller is better) of the matching rows.
 
     Statistics cover the whole project, ``where`` filters afterwards but before any limit.
-    One scan gathers them and one scores: few query words need no exploded postings. They
-    are joined on the project key, and the planner broadcasts them if they are small.
-    A query that doesn't parse matches nothing.
+    With ``index``, the postings of the query's words are read and no text is (``docs`` only
+    if ``where`` or ``restrict`` asks whether an id is among its rows; the index's own
+    project counts as the project if ``project_col`` is given). Without, one scan gathers
+    statistics and one scores. Statistics are joined on the project key, and the planner
+    broadcasts them if they are small. A query that doesn't parse matches nothing.
     """
     try:
         q = Query(sanitize(query, advanced))
     except QuerySyntaxError:
         q = Query("")
-    project = F.col(project_col) if project_col else F.lit("all")
-    def count(t: Column) -> Column:
-        found = [occurrences(t, leaf).alias(f"f{i}") for i, leaf in enumerate(q.leaves)]
-        found += [(F.size(starts(t, leaf)) > 0).alias(f"any{i}") for i, leaf in enumerate(q.leaves) if leaf.near]
-        return F.struct(F.size(t).alias("dl"), *found)
-
     wanted = where if where is not None else F.lit(True)
-    counted = docs.select(F.col(id_col).alias("id"), project.alias("project"), wanted.alias("wanted"), let(tokens(F.col(text_col)), count).alias("c")).select("id", "project", "wanted", "c.*")
+    if index is None:
+        counted = _counted(docs, q, id_col, text_col, F.col(project_col) if project_col else F.lit("all"), wanted)
+        sizes = None
+    else:
+        project = F.col("project") if project_col else F.lit("all")
+        counted = _looked_up(index, q, project)
+        sizes = index.sizes.groupBy(project.alias("project")).agg(F.sum("docs").alias("N"), (F.sum("words") / F.sum("docs")).alias("avgdl"))
     has = lambda i, leaf: F.col(f"any{i}") if leaf.near else F.col(f"f{i}") > 0
-    stats = counted.groupBy("project").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count_if(has(i, leaf)).alias(f"n{i}") for i, leaf in enumerate(q.leaves)])
+    met = [F.count_if(has(i, leaf)).alias(f"n{i}") for i, leaf in enumerate(q.leaves)]
+    own = [] if sizes is not None else [F.count("*").alias("N"), F.avg("dl").alias("avgdl")]
+    stats = counted.groupBy("project").agg(F.count("*").alias("rows"), *own, *met)
+    stats = stats if sizes is None else stats.join(sizes, "project")
     score = F.lit(0.0)
     for i, leaf in enumerate(q.leaves):
         if leaf.scored:
@@ -225,6 +280,8 @@ def bm25(
             idf = F.when(ratio > 1, F.log(ratio)).otherwise(F.lit(IDF_FLOOR))
             score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hit = counted.filter(q.matches([F.col(f"f{i}") > 0 for i in range(len(q.leaves))]) & F.col("wanted"))
+    if index is not None and (where is not None or restrict):
+        hit = hit.join(docs.filter(wanted).select(F.col(id_col).alias("id")), "id", "left_semi")
     return hit.join(stats, "project").select("id", "project", (-score).alias("score"))
 
 

@@ -190,9 +190,14 @@ def hybrid_search(
     id_col: str = "doc_id",
     text_col: str = "text",
     vector_id_col: str = "vec_id",
+    project_col: str | None = None,
+    index: fts.Postings | None = None,
+    restrict: bool = False,
 ) -> DataFrame:
     """id, score, rank and rank sources of the fused search, one lazy plan.
 
+    ``index`` holds the postings of the texts: the keyword list then reads no text, and
+    ``restrict`` keeps it to the ids in ``docs``.
     A ``lex:``, ``vec:`` or ``hyde:`` prefix chooses the lists. If the keyword list is a
     strong signal, the other lists are emptied by a one-row flag and boosts are left out.
     ``graph`` is a ranked list of its own (id, rank); ``paths`` gives id and path.
@@ -202,7 +207,7 @@ def hybrid_search(
     w = WEIGHTS | (weights or {})
     lists, labels = [], []
     if "lex" in kinds:
-        keyword = fts.keyword_search(docs, text, pool, id_col=id_col, text_col=text_col, where=where, advanced=advanced or (expand and text != clean))
+        keyword = fts.keyword_search(docs, text, pool, id_col=id_col, text_col=text_col, project_col=project_col, where=where, advanced=advanced or (expand and text != clean), index=index, restrict=restrict)
         lists.append(ranked(keyword, "keyword", ascending=True))
         labels.append("keyword")
     flag = is_strong(keyword) if labels and short_circuit else None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import unit_norm
-from lodestone.operators import fanout, fts, fusion, relations, snippets
+from lodestone.operators import fanout, fts, fusion, postings, relations, snippets
 
 from .registry import query, table
 
@@ -51,33 +51,42 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _index(spark: SparkSession, d: str) -> postings.Postings:
+    """The documents' inverted index: built when first asked for, read by all keyword queries."""
+    return postings.of_table(spark, f"{d}/documents.parquet", project_col="source")
+
+
+def _search(spark: SparkSession, d: str, query: str, limit: int = 10, **options) -> DataFrame:
+    return fts.keyword_search(_docs(spark, d), query, limit, index=_index(spark, d), **options)
+
+
 def _done(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("score", 6).alias("score"))
 
 
 @query(bm25_sql([(["thing"],), (["eron"],)], "f0 > 0 AND f1 > 0") + FIN)
 def bm25_and(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), Q_AND))
+    return _done(_search(spark, d, Q_AND))
 
 
 @query(bm25_sql([(["thtion"],)], "f0 > 0") + FIN)
 def bm25_single(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), Q_ONE))
+    return _done(_search(spark, d, Q_ONE))
 
 
 @query(bm25_sql([(["thing"],), (["eron"],)], "f0 > 0 AND f1 > 0", limit=None) + "SELECT id, round(greatest(0, least(1, -score / (1 + abs(score)))), 6) AS norm FROM hit")
 def bm25_norm(spark, d):
-    return fts.bm25(_docs(spark, d), Q_AND).select("id", F.round(tx.normalize_bm25(F.col("score")), 6).alias("norm"))
+    return fts.bm25(_docs(spark, d), Q_AND, index=_index(spark, d)).select("id", F.round(tx.normalize_bm25(F.col("score")), 6).alias("norm"))
 
 
 @query(bm25_sql([(["que"],)], "f0 > 0", where="coalesce(lang, 'code') IN ('fr', 'es')") + FIN)
 def bm25_source_filter(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), "que", where=F.coalesce("lang", F.lit("code")).isin("fr", "es")))
+    return _done(_search(spark, d, "que", where=F.coalesce("lang", F.lit("code")).isin("fr", "es")))
 
 
 @query(bm25_sql([(["thing"],)], "f0 > 0", project="source", per=3) + "SELECT id, project, round(score, 6) AS score FROM hit")
 def bm25_project_stats(spark, d):
-    hits = fts.bm25(_docs(spark, d), "thing", project_col="source").withColumn("score", -F.col("score"))
+    hits = fts.bm25(_docs(spark, d), "thing", project_col="source", index=_index(spark, d)).withColumn("score", -F.col("score"))
     from pyspark.sql.window import Window
 
     r = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("score"), "id"))
@@ -86,32 +95,32 @@ def bm25_project_stats(spark, d):
 
 @query(bm25_sql([(["of", "the"],)], "f0 > 0") + FIN)
 def fts_phrase(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), '"of the"', advanced=True))
+    return _done(_search(spark, d, '"of the"', advanced=True))
 
 
 @query(bm25_sql([(["thing"],), (["eron"],)], "f0 > 0 AND f1 = 0", scored=[0]) + FIN)
 def fts_not(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), "thing NOT eron", advanced=True))
+    return _done(_search(spark, d, "thing NOT eron", advanced=True))
 
 
 @query(bm25_sql([(["attio"], True)], "f0 > 0") + FIN)
 def fts_prefix(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), "attio*", advanced=True))
+    return _done(_search(spark, d, "attio*", advanced=True))
 
 
 @query(bm25_sql([(["thing"],), (["que"],)], "f0 > 0 OR f1 > 0") + FIN)
 def fts_or(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), "thing OR que", advanced=True))
+    return _done(_search(spark, d, "thing OR que", advanced=True))
 
 
 @query(bm25_sql([(["thing"],), (["the"],)], "f0 > 0 AND f1 > 0", near=3) + FIN)
 def fts_near(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), "NEAR(thing the, 3)", advanced=True))
+    return _done(_search(spark, d, "NEAR(thing the, 3)", advanced=True))
 
 
 @query(bm25_sql([(["of"],), (["the"],), (["of", "the"],), (["ofthe"],), (["of", "the"],)], "(f0 > 0 AND f1 > 0) OR f2 > 0 OR f3 > 0 OR f4 > 0") + FIN)
 def query_expansion(spark, d):
-    return _done(fts.keyword_search(_docs(spark, d), tx.name_variants("of the"), advanced=True))
+    return _done(_search(spark, d, tx.name_variants("of the"), advanced=True))
 
 
 def _vector(spark, d, i: int) -> list[float]:
@@ -152,7 +161,7 @@ SELECT id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, tie, id) AS
 
 
 def _lists(spark, d):
-    a = fusion.ranked(fts.keyword_search(_docs(spark, d), Q_AND, 30), "keyword", ascending=True)
+    a = fusion.ranked(_search(spark, d, Q_AND, 30), "keyword", ascending=True)
     return [a, fusion.ranked(fusion.knn(table(spark, d, "embeddings"), _vector(spark, d, 0), 30), "semantic")]
 
 
@@ -178,7 +187,7 @@ def rrf_three_way(spark, d):
 
 @query(LISTS + _fused_sql(1.0, 1.2, 10))
 def hybrid_search(spark, d):
-    out = fusion.hybrid_search(_docs(spark, d), table(spark, d, "embeddings"), Q_AND, _vector(spark, d, 0), limit=10, pool=30)
+    out = fusion.hybrid_search(_docs(spark, d), table(spark, d, "embeddings"), Q_AND, _vector(spark, d, 0), limit=10, pool=30, index=_index(spark, d))
     return out.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -186,7 +195,7 @@ def hybrid_search(spark, d):
 f AS (SELECT max(s) FILTER (r = 1) AS a, coalesce(max(s) FILTER (r = 2), -1) AS b FROM n)
 SELECT coalesce(a >= 0.85 AND (b < 0 OR a - b >= 0.15), false) AS strong, round(a, 6) AS first FROM f""")
 def hybrid_short_circuit(spark, d):
-    hits = fts.keyword_search(_docs(spark, d), "gnu version", 30)
+    hits = _search(spark, d, "gnu version", 30)
     best = hits.agg(F.round(F.max(tx.normalize_bm25(F.col("score"))), 6).alias("first")).withColumn("one", F.lit(1))
     return fusion.is_strong(hits).withColumn("one", F.lit(1)).join(best, "one").select("strong", "first")
 

@@ -116,3 +116,45 @@ def test_fan_out_takes_turns_and_demotes(spark):
     assert [(r.id, r.rerank_score) for r in fanout.fan_out(code, general, "load user", top_k=2).collect()] == [(4, 1.0), (1, 0.5)]
     assert fanout.fan_out(code.limit(0), general.limit(0), "q").count() == 0
     assert fanout.route("doc").source_types == ("markdown", "json") and fanout.route("none").rerank
+
+
+@pytest.mark.parametrize("query", ["wa wb", '"wa wb"', "wa NOT wb", "w*", '"wa w"*', "NEAR(wa wb, 2)", 'NEAR("wa wb" wc, 3)', "wa OR (wb AND wc)", "zz", "wa AND zz", "NOT", '"!!"', "\u00e9l* OR wa"])
+def test_postings_equal_the_scan(spark, tmp_path, query):
+    import random
+
+    from lodestone.operators import postings
+
+    rng = random.Random(5)
+    words = ["wa", "wb", "wc", "wab", "\u00c9lan", "x1"]
+    rows = [(i % 50, f"p{i % 3}", " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(120)] + [(200, None, None), (201, "p0", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    index = postings.build(docs, f"file://{tmp_path}/index", project_col="source")
+    for options in ({}, {"project_col": "source"}, {"where": docs.doc_id < 20}):
+        scan = fts.bm25(docs, query, advanced=True, **options)
+        read = fts.bm25(docs, query, advanced=True, index=index, **options)
+        show = lambda df: sorted((r.id, r.project, round(r.score, 9)) for r in df.collect())
+        if "where" in options:  # ids stand for rows there
+            scan = scan.filter("id < 20")
+        assert show(scan) == show(read), options
+
+
+def test_index_follows_its_table(spark, tmp_path):
+    from lodestone.operators import postings
+
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(path)
+    first = postings.of_table(spark, path)
+    assert postings.of_table(spark, path).path == first.path
+    spark.createDataFrame([(2, "one three")], "doc_id long, text string").write.mode("append").parquet(path)
+    second = postings.of_table(spark, path)
+    assert second.path != first.path and second.postings.filter("term = 'one'").count() == 2
+
+
+def test_postings_are_pruned(spark, sf_dir):
+    from lodestone.plans import retrieval
+
+    index = retrieval._index(spark, sf_dir)
+    plan = fts.bm25(spark.read.parquet(f"{sf_dir}/documents.parquet"), "thing eron", index=index)._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(In(term" in plan or "PushedFilters: [In(term" in plan
+    assert "documents.parquet" not in plan
+    assert "StringStartsWith(term" in fts.bm25(index.postings, "attio*", advanced=True, index=index)._jdf.queryExecution().toString()
