@@ -6,6 +6,8 @@ a walk) come to the driver.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import uuid
 from collections.abc import Callable
 
@@ -14,17 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunkers, extract, fts, fusion, graph, models, relations, snippets
+from lodestone.operators import chunkers, drift, extract, fts, fusion, graph, models, postings, relations, snippets
 from lodestone.operators.tables import flat_map
 from lodestone.sources import discovery, sinks
 from lodestone.sources.store import Store
 
 DOCUMENT_TYPES = ["markdown", "yaml", "json", "html", "xml", "asset", "text"]
 PPR_TOLERANCE = 1e-6
+MANIFESTS = ["package.json", "composer.json", "pyproject.toml"]
 SESSION_MINUTES = 30
 Hook = Callable[[DataFrame], DataFrame]
 
 
+def parser_digest() -> str:
+    """Changes with the code that reads files, so an index made by older code can be told."""
+    return hashlib.sha256("".join(inspect.getsource(m) for m in (extract, chunkers, discovery)).encode()).hexdigest()[:16]
+
+
 class AccessError(PermissionError):
     """The session is unknown, has expired or may not use the tool."""
 
@@ -51,7 +59,7 @@ class Engine:
         return relations.allowed_projects(live, projects, session).select(F.col("name").alias("project"))
 
     def _seen(self, table: str, session: str | None) -> DataFrame:
-        return self.store.read(table).join(self._projects(session), "project", "left_semi")
+        return self.store.read(table).join(F.broadcast(self._projects(session)), "project", "left_semi")  # one row a project
 
     def _audit(self, tool: str, session: str | None, results: int = 0) -> None:
         rows = self.spark.createDataFrame([(uuid.uuid4().hex, session or "dev", "", tool, results)], "id string, agent string, level string, tool string, results bigint")
@@ -76,7 +84,7 @@ class Engine:
     # Projects and collections
 
     def register_project(self, project: str, path: str, collection: str | None = None) -> None:
-        row = self.spark.createDataFrame([(project, path, collection)], "project string, path string, collection string").withColumn("indexed_at", F.lit(None).cast("timestamp"))
+        row = self.spark.createDataFrame([(project, path, collection)], "project string, path string, collection string").withColumn("indexed_at", F.lit(None).cast("timestamp")).withColumn("parser", F.lit(None).cast("string"))
         self.store.write("projects", relations.upsert(self.store.read("projects"), row, ["project"]))
 
     def create_collection(self, collection: str) -> None:
@@ -108,7 +116,7 @@ class Engine:
         job = uuid.uuid4().hex
         self._job(job, project, "running")
         try:
-            self._index(project, full)
+            self._index(project, full, job)
         except Exception as e:
             self._job(job, project, "failed", str(e)[:500])
             raise
@@ -126,16 +134,33 @@ class Engine:
     def unfinished_jobs(self) -> DataFrame:
         return self.store.read("jobs").filter("status = 'running'")
 
-    def _index(self, project: str, full: bool) -> None:
+    def recover(self) -> list[str]:
+        """Run the projects of unfinished jobs again, each once, and close those jobs; returns the new jobs. Call it at the start, before any job runs."""
+        left = self.unfinished_jobs().select("job", "project").collect()
+        for r in left:
+            self._job(r.job, r.project, "failed", "interrupted")
+        return [self.reindex(p) for p in sorted({r.project for r in left})]
+
+    def stale_projects(self) -> DataFrame:
+        """Projects that were indexed by other parser code than this; a full reindex brings them up to date."""
+        return self.store.read("projects").filter(F.col("indexed_at").isNotNull() & ~F.col("parser").eqNullSafe(F.lit(parser_digest()))).select("project", "indexed_at")
+
+    def _index(self, project: str, full: bool, job: str = "") -> None:
         place = self.store.read("projects").filter(F.col("project") == project).first()
         if place is None:
             raise ValueError(f"unknown project {project}")
         mine = F.col("project") == project
-        now = discovery.discover(self.spark, place.path).withColumn("project", F.lit(project))
-        old = self.store.read("files").filter(mine)
-        change = relations.changed(old, now)
+        # Hashes of all files are taken once; afterwards only the changed ones are opened again.
+        now = graph.cut(discovery.discover(self.spark, place.path).drop("content"))
+        old = self.store.read("files", project)
+        full = full or place.parser is not None and place.parser != parser_digest()
+        change = graph.cut(relations.changed(old, now))
         stale = old.select("path") if full else change.filter("change <> 'added'").select("path")
-        fresh = now if full else now.join(change.filter("change <> 'deleted'").select("path"), "path", "left_semi")
+        changed = now.select("path") if full else change.filter("change <> 'deleted'").select("path")
+        opened = [r.path for r in changed.collect()]
+        fresh = discovery.discover(self.spark, place.path, only=opened).withColumn("project", F.lit(project))
+        named = [r.path for r in now.filter(tx.basename(F.col("path")).isin(MANIFESTS)).select("path").collect()]
+        packages = discovery.package_names(now.select("path"), discovery.manifests(discovery.discover(self.spark, place.path, only=named)))
         source = fresh.filter("route <> 'asset'").select("path", "route", "language", F.col("content").cast("string").alias("text"))
         code = source.filter("route = 'code'").select(F.col("path").alias("file"), "language", F.col("text").alias("content"))
         key = lambda *c: F.xxhash64(F.lit(project), *c)
@@ -161,53 +186,81 @@ class Engine:
         for hook in self.hooks:
             chunks = hook(chunks)
 
-        touched = stale.unionByName(fresh.select("path")).distinct().withColumn("project", F.lit(project))
-        without = lambda name: self.store.read(name).join(touched, ["project", "path"], "left_anti")
-        self.store.write("symbols", without("symbols").unionByName(symbols.select(*self.store.read("symbols").columns)))
-        self.store.write("chunks", without("chunks").unionByName(chunks.select(*self.store.read("chunks").columns)))
-        stored = self.store.read("chunks").filter(mine)
-        known = self.store.read("embeddings")
-        keep = known.join(self.store.read("chunks").join(touched, ["project", "path"], "left_anti").select("id"), "id", "left_semi")
-        new = models.embed(stored.join(touched.select("path"), "path", "left_semi").select("id", "project", "content"), "content", self.embedder).drop("content")
-        self.store.write("embeddings", keep.unionByName(new))
-        self._resolve(project, without("refs").unionByName(refs.select(*self.store.read("refs").columns)))
-        files = without("files").unionByName(fresh.select(*self.store.read("files").columns))
-        self.store.write("files", files)
-        self.store.write("projects", self.store.read("projects").withColumn("indexed_at", F.when(mine, F.current_timestamp()).otherwise(F.col("indexed_at"))))
+        touched = stale.unionByName(fresh.select("path")).distinct()
+        without = lambda name: self.store.read(name, project).join(touched, "path", "left_anti")
+        as_stored = lambda name, df: df.select(*self.store.read(name, project).columns)
+        kept_chunks = graph.cut(without("chunks").select("id"))
+        self.store.write("symbols", without("symbols").unionByName(as_stored("symbols", symbols)), project)
+        self.store.write("chunks", without("chunks").unionByName(as_stored("chunks", chunks)), project)
+        stored = self.store.read("chunks", project)
+        keep = self.store.read("embeddings", project).join(kept_chunks, "id", "left_semi")
+        new = models.embed(stored.join(kept_chunks, "id", "left_anti").select("id", "project", "content"), "content", self.embedder).drop("content")
+        self.store.write("embeddings", keep.unionByName(new), project)
+        self._resolve(project, without("refs").unionByName(as_stored("refs", refs)))
+        files = without("files").drop("package").unionByName(fresh.select([c for c in self.store.read("files", project).columns if c != "package"]))
+        self.store.write("files", files.join(packages, "path", "left"), project)
+        self.store.write("projects", self.store.read("projects").withColumn("indexed_at", F.when(mine, F.current_timestamp()).otherwise(F.col("indexed_at"))).withColumn("parser", F.when(mine, parser_digest()).otherwise(F.col("parser"))))
+        self._count(project, job, len(opened), now.count() - len(opened), change.filter("change = 'deleted'").count(), stored.count() - kept_chunks.count())
+
+    def _count(self, project: str, job: str, processed: int, skipped: int, deleted: int, embedded: int) -> None:
+        rows = [self.store.read(t, project).count() for t in ("symbols", "chunks")]
+        row = self.spark.createDataFrame([(project, job, processed, skipped, deleted, *rows, embedded)], "project string, job string, processed bigint, skipped bigint, deleted bigint, symbols bigint, chunks bigint, embedded bigint")
+        self.store.write("index_stats", self.store.read("index_stats").unionByName(row.withColumn("at", F.current_timestamp())))
+
+    def index_statistics(self, project: str | None = None) -> DataFrame:
+        """What each job read, skipped and dropped, and how many symbols, chunks and new vectors there were after it."""
+        stats = self.store.read("index_stats")
+        return (stats if project is None else stats.filter(F.col("project") == project)).orderBy("at")
 
     def _resolve(self, project: str, refs: DataFrame) -> None:
         """Targets within the file first, then across the project; edges follow from them."""
-        symbols = self.store.read("symbols").filter((F.col("project") == project) & (F.col("name") != "") & (F.col("kind") != "module"))
-        mine = refs.filter(F.col("project") == project).drop("to_id")
+        symbols = self.store.read("symbols", project).filter((F.col("name") != "") & (F.col("kind") != "module"))
+        mine = refs.drop("to_id")
         local = symbols.groupBy("path", F.col("name").alias("to_name")).agg(F.min("id").alias("local_id"))
         joined = mine.join(local, ["path", "to_name"], "left")
         is_event = F.col("kind").isin(relations.REGISTERS, relations.FIRES)
         open_ = joined.filter(F.col("local_id").isNull() & ~is_event).select("ref_id", F.col("to_name").alias("name"), "path")
         found = graph.resolve(open_, symbols.select("id", "name", "kind", "path")).select("ref_id", "symbol_id")
         done = joined.join(found, "ref_id", "left").withColumn("to_id", F.when(~is_event, F.coalesce("local_id", "symbol_id")))
-        columns = self.store.read("refs").columns
-        self.store.write("refs", refs.filter(F.col("project") != project).select(*columns).unionByName(done.select(*columns)))
-        calls = self.store.read("refs").filter((F.col("project") == project) & F.col("to_id").isNotNull() & F.col("from_id").isNotNull()).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("kind").alias("type"))
+        self.store.write("refs", done.select(*self.store.read("refs", project).columns), project)
+        calls = self.store.read("refs", project).filter(F.col("to_id").isNotNull() & F.col("from_id").isNotNull()).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("kind").alias("type"))
         inner = symbols.filter("scope <> ''").select("path", F.col("scope").alias("name"), F.col("id").alias("dst"))
         holds = inner.join(symbols.filter("kind <> 'method'").select("path", "name", F.col("id").alias("src")), ["path", "name"]).select("src", "dst", F.lit("contains").alias("type"))
         edges = calls.unionByName(holds).distinct().withColumn("project", F.lit(project)).withColumn("weight", F.lit(1.0))
-        self.store.write("edges", self.store.read("edges").filter(F.col("project") != project).unionByName(edges.select(*self.store.read("edges").columns)))
+        self.store.write("edges", edges.select(*self.store.read("edges", project).columns), project)
 
     # Tools
 
-    def search(self, query: str, limit: int = 10, session: str | None = None, source_types: list[str] | None = None, language: str | None = None, weights: dict[str, float] | None = None, advanced: bool = False, expand: bool = False, rerank: bool = False, file_boost: float = 0.0, penalty: float = 0.0, one_per_file: bool = False) -> DataFrame:
-        """Hybrid search over the permitted projects: rank, project, path, lines, score, sources, docid, trusted, snippet line."""
+    def search(self, query: str, limit: int = 10, session: str | None = None, source_types: list[str] | None = None, language: str | None = None, weights: dict[str, float] | str | None = None, advanced: bool = False, expand: bool = False, rerank: bool = False, file_boost: float = 0.0, penalty: float = 0.0, one_per_file: bool = False, symbol_boost: float = 0.0, graph_signal: bool = False, mode: str | None = None) -> DataFrame:
+        """Hybrid search over the permitted projects: rank, project, path, lines, score, sources, docid, trusted, snippet line.
+
+        Keywords are looked up in the inverted index of the chunks in force, with statistics
+        of each project. ``weights`` may be text (keyword=1.5,semantic=1.0); ``mode`` (lex,
+        vec, hyde or several, comma-separated) overrides a prefix; ``graph_signal`` adds the
+        gated PageRank list, which is off by default.
+        """
         chunks = self._seen("chunks", session)
         if language:
             chunks = chunks.join(self._seen("files", session).filter(F.col("language") == language).select("project", "path"), ["project", "path"], "left_semi")
-        vectors = self._seen("embeddings", session).join(chunks.select("id"), "id", "left_semi")
         kind = F.coalesce("source_type", F.lit("code")).isin(source_types) if source_types else None
-        if source_types:
-            vectors = vectors.join(chunks.filter(kind).select("id"), "id", "left_semi")
+        if kind is not None:
+            chunks = chunks.filter(kind)
+        vectors = self._seen("embeddings", session).join(chunks.select("id"), "id", "left_semi")
         clean, kinds = fts.split_prefix(query)
+        if mode:
+            kinds = [m.strip().lower() for m in mode.split(",")]
+            if not set(kinds) <= set(fts.TYPES):
+                raise ValueError(f"mode is lex, vec, hyde or several of them, not {mode!r}")
         vector = models.embed_query(clean, self.embedder()) if {"vec", "hyde"} & set(kinds) else None
         pool = limit * 3
-        hits = fusion.hybrid_search(chunks, vectors, query, vector, limit=pool if rerank else limit, pool=max(50, pool), weights=weights, where=kind, expand=expand, advanced=advanced, paths=chunks.select("id", "path"), file_boost=file_boost, penalty=penalty, one_per_file=one_per_file, id_col="id", text_col="content", vector_id_col="id")
+        stored = self.store.paths("chunks")
+        index = postings.of_version(self.spark, stored, "id", "content", "project") if stored and "lex" in kinds else None
+        boosts = fusion.symbol_boost(chunks.withColumn("file_id", F.struct("project", "path")), self._seen("symbols", session).withColumn("file_id", F.struct("project", "path")), clean, symbol_boost) if symbol_boost else None
+        third = (lambda text, lists: self._graph_list(text, lists, chunks, session, max(50, pool))) if graph_signal else None
+        hits = fusion.hybrid_search(
+            chunks, vectors, query, vector, limit=pool if rerank else limit, pool=max(50, pool), weights=fusion.parse_weights(weights) if isinstance(weights, str) else weights, expand=expand, advanced=advanced,
+            paths=chunks.select("id", "path"), file_boost=file_boost, penalty=penalty, one_per_file=one_per_file, id_col="id", text_col="content", vector_id_col="id", project_col="project", index=index, restrict=True, kinds=kinds, graph_of=third, boosts=boosts,
+        )
         rows = hits.join(chunks, "id")
         if rerank:
             rows = models.lexical_rerank(rows, clean, "content", limit)
@@ -217,6 +270,12 @@ class Engine:
         self._audit("search", session)
         return out.select("rank", "id", "project", "path", "start_line", "end_line", "score", "sources", tx.docid(F.col("content")).alias("docid"), (F.coalesce("source_type", F.lit("code")) == "code").alias("trusted"), (F.col("start_line") + F.col("line_no")).alias("best_line"), "content").orderBy("rank")
 
+    def _graph_list(self, query: str, lists: list[DataFrame], chunks: DataFrame, session: str | None, limit: int) -> DataFrame | None:
+        symbols = self._seen("symbols", session)
+        inside = chunks.select(F.col("id").alias("chunk_id"), "project", "path", "start_line", "end_line").join(symbols.select(F.col("id").alias("symbol_id"), "project", "path", "line"), ["project", "path"])
+        held = inside.filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("symbol_id", "chunk_id")
+        return fusion.graph_list(query, lists, symbols.select("id", "name"), held, self._seen("edges", session), limit, PPR_TOLERANCE)
+
     def doc_search(self, query: str, limit: int = 10, session: str | None = None, formats: list[str] | None = None, **options) -> DataFrame:
         return self.search(query, limit, session, formats or DOCUMENT_TYPES, **options)
 
@@ -251,8 +310,7 @@ class Engine:
             inside = graph.cut(graph.load(edges.filter(mine), nodes))
             if nodes.count() < graph.MIN_NODES or graph.sparse_gate(inside, nodes).first().sparse:
                 continue
-            seeds = [x.id for x in found.filter(mine).select("id").distinct().collect()]  # the answer itself
-            ranks = graph.personalized_pagerank(inside, seeds, tolerance=PPR_TOLERANCE)
+            ranks = graph.personalized_pagerank(inside, found.filter(mine).select("id"), tolerance=PPR_TOLERANCE)  # from the answer itself
             affected = found.filter(mine).select("id").distinct().join(ranks, "id", "left")
             scores, dense = scores.unionByName(affected.select("id", F.coalesce("score", F.lit(0.0)).alias("ppr_relevance"))), True
         order = ["project", F.desc_nulls_last(F.round("ppr_relevance", 12))] if dense else []
@@ -285,6 +343,6 @@ class Engine:
         return out
 
     def drift_train(self, old: DataFrame, new: DataFrame, dims: int):
-        """The rotation from one model's vectors (id, embedding) to another's, from the ids both have."""
+        """The rotation that takes the new model's vectors (id, embedding) to the old one's, from the ids both have."""
         pairs = old.select("id", F.col("embedding").alias("old")).join(new.select("id", F.col("embedding").alias("new")), "id")
-        return relations.drift_rotation(pairs, "old", "new", dims)
+        return drift.Rotation.fit(pairs, "old", "new", dims)

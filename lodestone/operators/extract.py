@@ -118,8 +118,59 @@ RULES = {
         (r"^\s*([A-Z][A-Z0-9_]+)\s*=", "variable"),
         (r"^\s*require(?:_relative)?\s+()", "import"),
     ],
+    "rust": [
+        (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|union)\s+(\w+)", "class"),
+        (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum"),
+        (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "interface"),
+        (r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?(\w+)", "scope"),
+        (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe)\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)", "function"),
+        (r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)", "type_alias"),
+        (r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\b()", "import"),
+    ],
+    "java": [
+        (r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|record)\s+(\w+)", "class"),
+        (r"^\s*(?:(?:public|private|protected|static|sealed)\s+)*@?interface\s+(\w+)", "interface"),
+        (r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(\w+)", "enum"),
+        (r"^\s*(?!return\b|new\b|else\b|throw\b)(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?(?:[\w.]+(?:<[^(]*>)?(?:\[\])*\s+)?(\w+)\s*\([^;]*\)\s*(?:throws\s+[\w,. ]+)?\{", "function"),
+        (r"^\s*import\b()", "import"),
+    ],
+    "csharp": [
+        (r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly)\s+)*(?:class|struct|record)\s+(\w+)", "class"),
+        (r"^\s*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(\w+)", "interface"),
+        (r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(\w+)", "enum"),
+        (r"^\s*(?!return\b|new\b|else\b|throw\b|await\b)(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|partial|extern)\s+)*(?:[\w.]+(?:<[^(]*>)?[?\[\]]*\s+)(\w+)(?:<[^>]*>)?\s*\([^;]*\)\s*(?:\{|=>|$)", "function"),
+        (r"^\s*(?:global\s+)?using\s+()[\w.]+\s*;", "import"),
+    ],
+    "kotlin": [
+        (r"^\s*(?:(?:public|private|internal|protected|data|sealed|open|abstract|inner|value|annotation)\s+)*(?:class|object)\s+(\w+)", "class"),
+        (r"^\s*(?:(?:public|private|internal|sealed|fun)\s+)*interface\s+(\w+)", "interface"),
+        (r"^\s*(?:(?:public|private|internal)\s+)*enum\s+class\s+(\w+)", "enum"),
+        (r"^\s*(?:(?:public|private|internal|protected|override|open|abstract|suspend|inline|operator|tailrec|infix)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\(", "function"),
+        (r"^\s*typealias\s+(\w+)", "type_alias"),
+        (r"^\s*import\b()", "import"),
+    ],
+    "c": [
+        (r"^\s*(?:typedef\s+)?(?:struct|union)\s+(\w+)\s*\{", "class"),
+        (r"^\s*(?:typedef\s+)?enum\s+(\w+)\s*\{", "enum"),
+        (r"^(?!\s|return\b|else\b|typedef\b)(?:[\w]+[\s*]+)+(\w+)\s*\([^;]*$", "function"),
+        (r"^\s*#\s*include\b()", "import"),
+    ],
+    "cpp": [
+        (r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct|union)\s+(\w+)[^;]*\{", "class"),
+        (r"^\s*enum\s+(?:class\s+|struct\s+)?(\w+)", "enum"),
+        (r"^\s*namespace\s+(\w+)\s*\{", "scope"),
+        (r"^(?!\s|return\b|else\b|typedef\b)(?:[\w:<>,*&]+\s+)*[*&]*(?P<scope>\w+)::(~?\w+)\s*\([^;]*$", "method"),
+        (r"^\s*(?!return\b|else\b|typedef\b|throw\b|new\b|delete\b)(?:[\w:<>,*&]+[\s*&]+)+(\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{", "function"),
+        (r"^\s*#\s*include\b()", "import"),
+    ],
 }
 BASES = {
+    "rust": [(r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s", "implements"), (r"\btrait\s+\w+\s*:\s*([\w:, +]+?)\s*\{", "extends")],
+    "java": [(r"\bextends\s+([\w.]+)", "extends"), (r"\bimplements\s+([\w.,\s]+?)\s*(?:\{|$)", "implements")],
+    "csharp": [],
+    "kotlin": [],
+    "c": [],
+    "cpp": [(r"\b(?:class|struct)\s+\w+[^:{]*:\s*(?:(?:public|private|protected|virtual)\s+)*([\w:]+)", "extends")],
     "typescript": [(r"\bextends\s+([\w.]+)", "extends"), (r"\bimplements\s+([\w.,\s]+?)\s*\{", "implements")],
     "php": [(r"\bextends\s+([\w\\]+)", "extends"), (r"\bimplements\s+([\w\\,\s]+?)\s*(?:\{|$)", "implements")],
     "go": [(r"^var\s+_\s+(\w+)\s*=\s*\(\*\w+\)\(nil\)", "implements")],
@@ -127,7 +178,15 @@ BASES = {
     "ruby": [(r"<\s*([A-Z][\w:]*)", "extends"), (r"^\s*(?:include|extend|prepend)\s+([A-Z][\w:]*)", "implements")],
 }
 CALL = re.compile(r"(?:new\s+)?([A-Za-z_]\w*[?!]?)\s*\(")
-CONTAINERS = {"class", "interface", "trait", "enum"}
+CONTAINERS = {"class", "interface", "trait", "enum", "scope"}
+#: Languages whose first base after a colon is a class and whose others are interfaces, and what may stand before it.
+COLON_BASES = {
+    "swift": r"(?:class|struct|enum|extension)\s+\w+\s*:\s*([\w,\s]+)",
+    "csharp": r"(?:class|struct|record|interface)\s+\w+(?:<[^>]*>)?\s*:\s*([\w,.\s]+)",
+    "kotlin": r"(?:class|object|interface)\s+\w+(?:<[^>]*>)?\s*(?:\([^)]*\))?\s*:\s*([\w,.\s()]+)",
+}
+#: Where a # starts a comment.
+HASH_COMMENTS = {"typescript", "php", "go", "swift"}
 
 
 def first_string(text: str) -> str:
@@ -146,13 +205,16 @@ def _patterned(language: str):
         scopes: list[tuple[int, str]] = []
         owner, owner_indent = "<module>", -1
         for n, raw in enumerate(lines, 1):
-            line = re.sub(r"(?:(?<!:)//|(?<!\S)#(?!\[)).*", "", raw) if language != "ruby" else re.sub(r"(?<!\S)#.*", "", raw)
+            if language == "ruby":
+                line = re.sub(r"(?<!\S)#.*", "", raw)
+            else:
+                line = re.sub(r"(?:(?<!:)//|(?<!\S)#(?!\[)).*" if language in HASH_COMMENTS else r"(?<!:)//.*", "", raw)
             if not line.strip():
                 continue
             indent = indent_of(line)
-            while scopes and indent <= scopes[-1][0] and line.strip() not in ("}", "end"):
+            while scopes and indent <= scopes[-1][0] and line.strip() not in ("{", "}", "end"):
                 scopes.pop()
-            if indent <= owner_indent and line.strip() not in ("}", "end"):
+            if indent <= owner_indent and line.strip() not in ("{", "}", "end"):
                 owner, owner_indent = "<module>", -1
             defined = ""
             for rule, kind in rules:
@@ -162,7 +224,8 @@ def _patterned(language: str):
                 scope = m.groupdict().get("scope") or (scopes[-1][1] if scopes else "")
                 defined = m[m.lastindex or 0] if kind != "import" else ""
                 kind = "method" if kind == "function" and scope and language != "typescript" else kind
-                out.symbols.append((defined, kind, n, _end(lines, n, indent), scope, raw.rstrip()))
+                if kind != "scope":
+                    out.symbols.append((defined, kind, n, _end(lines, n, indent), scope, raw.rstrip()))
                 if kind in CONTAINERS:
                     scopes.append((indent, defined))
                 if kind in ("function", "method"):
@@ -174,8 +237,8 @@ def _patterned(language: str):
                     for name in re.split(r"[,\s]+", m[1].strip()):
                         if name:
                             out.refs.append((holder, name, kind, n, ""))
-            if language == "swift" and defined and (m := re.search(r"(?:class|struct|enum|extension)\s+\w+\s*:\s*([\w,\s]+)", line)):
-                for i, name in enumerate(x.strip() for x in m[1].split(",")):
+            if language in COLON_BASES and defined and (m := re.search(COLON_BASES[language], line)):
+                for i, name in enumerate(x for y in m[1].split(",") if (x := re.sub(r"\(.*", "", y).strip())):
                     out.refs.append((defined, name, "implements" if i else "extends", n, ""))
             for m in CALL.finditer(line):
                 name = m[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import cosine_to
 from lodestone.operators import fts
+from lodestone.operators import graph as graphs
 
 RRF_K = 60
 WEIGHTS = {"keyword": 1.0, "semantic": 1.2, "graph": 0.8}
@@ -170,6 +171,39 @@ def interleave(first: DataFrame, second: DataFrame, ratio: int, limit: int) -> D
     return best.orderBy("place", "id").limit(limit)
 
 
+def parse_weights(text: str) -> dict[str, float]:
+    """Weights given as ``keyword=1.5,semantic=1.0``."""
+    try:
+        return {k.strip(): float(v) for k, v in (pair.strip().split("=") for pair in text.split(","))} if text.strip() else {}
+    except ValueError as e:
+        raise ValueError(f"weights are written keyword=1.5,semantic=1.0,graph=0.8, not {text!r}") from e
+
+
+def graph_list(query: str, lists: Sequence[DataFrame], symbols: DataFrame, symbol_chunks: DataFrame, edges: DataFrame, limit: int, tolerance: float = 1e-6) -> DataFrame | None:
+    """The third list of a search, id and rank: chunks by personalised PageRank, or None where the gates are shut.
+
+    symbols: id, name; symbol_chunks: symbol_id, chunk_id; edges: src, dst, weight. The
+    query must name a symbol (tokens of two characters or more, any case), and the graph of
+    the symbols must not be sparse. The walk restarts at all symbols of the chunks that the
+    other lists found (limited lists, so few); its scores go to chunks by their best symbol.
+    """
+    import re
+
+    tokens = sorted({t.lower() for t in re.findall(r"[A-Za-z_]\w+", query)})
+    if not tokens or symbols.filter(F.lower("name").isin(tokens)).isEmpty():
+        return None
+    nodes = symbols.select("id").distinct()
+    inside = graphs.cut(graphs.load(edges, nodes))
+    if graphs.sparse_gate(inside, nodes).first().sparse:
+        return None
+    found = lists[0].select("id")
+    for more in lists[1:]:
+        found = found.unionByName(more.select("id"))
+    seeds = symbol_chunks.join(found.distinct().withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi").select(F.col("symbol_id").alias("id")).join(nodes, "id", "left_semi")
+    scores = graphs.personalized_pagerank(inside, seeds, tolerance=tolerance)
+    return graphs.ranked_chunks(scores, symbol_chunks, limit).select("id", "rank")
+
+
 def hybrid_search(
     docs: DataFrame,
     vectors: DataFrame,
@@ -193,6 +227,9 @@ def hybrid_search(
     project_col: str | None = None,
     index: fts.Postings | None = None,
     restrict: bool = False,
+    kinds: Sequence[str] | None = None,
+    graph_of: Callable[[str, list[DataFrame]], DataFrame | None] | None = None,
+    boosts: DataFrame | None = None,
 ) -> DataFrame:
     """id, score, rank and rank sources of the fused search, one lazy plan.
 
@@ -200,9 +237,12 @@ def hybrid_search(
     ``restrict`` keeps it to the ids in ``docs``.
     A ``lex:``, ``vec:`` or ``hyde:`` prefix chooses the lists. If the keyword list is a
     strong signal, the other lists are emptied by a one-row flag and boosts are left out.
-    ``graph`` is a ranked list of its own (id, rank); ``paths`` gives id and path.
+    ``kinds`` overrides the prefix. ``graph`` is a ranked list of its own (id, rank), or
+    ``graph_of`` makes it from the query and the other lists; ``paths`` gives id and path,
+    ``boosts`` adds to the score by id (symbol boosts).
     """
-    clean, kinds = fts.split_prefix(query)
+    clean, prefixed = fts.split_prefix(query)
+    kinds = list(kinds or prefixed)
     text = tx.name_variants(clean) if expand else clean
     w = WEIGHTS | (weights or {})
     lists, labels = [], []
@@ -218,6 +258,8 @@ def hybrid_search(
     if {"vec", "hyde"} & set(kinds) and query_vector is not None:
         lists.append(unless_strong(ranked(knn(vectors, query_vector, pool, vector_id_col), "semantic")))
         labels.append("semantic")
+    if graph_of is not None and lists:
+        graph = graph_of(clean, lists)
     if graph is not None:
         lists.append(unless_strong(graph.select("id", F.lit("graph").alias("list"), "rank")))
         labels.append("graph")
@@ -228,6 +270,10 @@ def hybrid_search(
         named = fused.join(paths.select("id", "path"), "id", "left")
         change = filename_boost(F.col("path"), clean, file_boost) - depth_penalty(F.col("path"), penalty)
         fused = named.withColumn("rrf_score", F.col("rrf_score") + F.coalesce(change, F.lit(0.0)))
-        if one_per_file:
+        if one_per_file and boosts is None:
             fused = first_per_file(fused, "rrf_score", "path")
+    if boosts is not None:
+        fused = fused.join(boosts.select("id", "boost"), "id", "left").withColumn("rrf_score", F.col("rrf_score") + F.coalesce("boost", F.lit(0.0))).drop("boost")
+        if one_per_file and paths is not None:
+            fused = first_per_file(fused if "path" in fused.columns else fused.join(paths.select("id", "path"), "id", "left"), "rrf_score", "path")
     return with_rank(fused, limit).select("id", F.col("rrf_score").alias("score"), F.col("rrf_rank").alias("rank"), "sources")

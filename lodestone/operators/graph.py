@@ -214,6 +214,23 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return exact.unionByName(_nearest(loose.withColumn("key", last_segment(F.col("name"))), tails, "suffix"))
 
 
+def resolution_counters(refs: DataFrame, symbols: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: how many references were open, resolved by each tier, dropped as ambiguous or without a candidate.
+
+    refs: ref_id, from_id, name; symbols: id, name; resolved: the result of ``resolve``.
+    edges_created counts distinct pairs of a reference's symbol and its target.
+    """
+    names = symbols.select("name").distinct()
+    tails = symbols.select(last_segment(F.col("name")).alias("tail")).filter("tail <> ''").distinct()
+    exact = refs.join(names.withColumn("exact", F.lit(True)), "name", "left")
+    known = exact.withColumn("tail", last_segment(F.col("name"))).join(tails.withColumn("loose", F.lit(True)), "tail", "left")
+    all_ = known.join(resolved, "ref_id", "left")
+    has = F.coalesce("exact", F.lit(False)) | F.coalesce("loose", F.lit(False))
+    tiers = [F.count_if(F.col("tier") == t).alias(f"resolved_{t}") for t in ("strict", "proximity", "suffix")]
+    rest = [F.count_if(F.col("tier").isNull() & has).alias("ambiguous_dropped"), F.count_if(F.col("tier").isNull() & ~has).alias("no_candidate")]
+    return all_.agg(F.count("*").alias("total_unresolved"), *tiers, *rest, F.count_distinct("from_id", "symbol_id").alias("edges_created"))
+
+
 def build_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """src, dst, type of each file: references whose target is a symbol of the file, and containment."""
     s = symbols.filter("name <> ''")

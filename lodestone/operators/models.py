@@ -77,15 +77,18 @@ def lexical_rerank(results: DataFrame, query: str, text_col: str, top_k: int) ->
 
 
 def model_rerank(results: DataFrame, query: str, text_col: str, make: Callable[[], Callable[[str, list[str]], list[float]]], top_k: int) -> DataFrame:
-    """A cross-encoder's scores, batch by batch; a failing model leaves the order as it was, with score 0."""
+    """A cross-encoder's scores, batch by batch. If the model fails on any batch, all rows keep their order, with score 0.
+
+    The results are a limited list, so one task scores them and a failure is known to it as a whole.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
-        for batch in batches:
-            try:
-                yield pd.Series(model(query, batch.fillna("").tolist()), dtype="float64")
-            except (OSError, ValueError, RuntimeError):
-                yield pd.Series([0.0] * len(batch))
-
-    return results.withColumn("rerank_score", scores(F.col(text_col))).orderBy(F.desc("rerank_score"), "rank").limit(top_k)
+        held = list(batches)
+        try:
+            model = make()
+            yield from [pd.Series(model(query, batch.fillna("").tolist()), dtype="float64") for batch in held]
+        except (OSError, ValueError, RuntimeError):
+            yield from [pd.Series([0.0] * len(batch)) for batch in held]
+
+    return results.coalesce(1).withColumn("rerank_score", scores(F.col(text_col))).orderBy(F.desc("rerank_score"), "rank").limit(top_k)

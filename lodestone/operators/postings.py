@@ -52,6 +52,13 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     return Postings(docs.sparkSession, path)
 
 
+def of_version(spark: SparkSession, tables: list[str], id_col: str, text_col: str, project_col: str | None) -> Postings:
+    """The index of stored tables that never change under their names, as versions of a store don't."""
+    key = hashlib.sha256("\n".join([*sorted(tables), id_col, text_col, project_col or ""]).encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/lodestone-index/{key}"
+    return Postings(spark, path) if exists(spark, f"{path}/sizes/_SUCCESS") else build(spark.read.parquet(*tables), path, id_col, text_col, project_col)
+
+
 def of_table(spark: SparkSession, table: str, id_col: str = "doc_id", text_col: str = "text", project_col: str | None = None) -> Postings:
     """The index of a stored table's present version, built in the shared folder when first asked for."""
     key = hashlib.sha256("\n".join([version_of(spark, table), id_col, text_col, project_col or ""]).encode()).hexdigest()[:24]

@@ -205,6 +205,33 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Da
     return per.join(totals, "query_id").select("query_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.col("dcg") / ideal).alias("ndcg"), hit(1).alias("top1"), hit(3).alias("top3"), hit(5).alias("top5"), hit(k).alias("topk"))
 
 
+MEASURES = ["rr", "ndcg", "top1", "top3", "top5", "topk"]
+
+
+def mean_metrics(per_query: DataFrame, categories: DataFrame) -> DataFrame:
+    """category, queries and the means of all measures, with a row of category null for the blend of all queries.
+
+    per_query: query_id and measures, as of ``retrieval_metrics``; categories: query_id, category.
+    """
+    means = [F.avg(F.col(m).cast("double")).alias(m) for m in MEASURES]
+    named = per_query.join(categories, "query_id")
+    return named.rollup("category").agg(F.count("*").alias("queries"), F.grouping("category").alias("__all"), *means).withColumn("category", F.when(F.col("__all") == 0, F.col("category"))).drop("__all")
+
+
+def symbol_projects(symbols: DataFrame) -> DataFrame:
+    """name, definitions and the sorted projects that define it."""
+    return symbols.filter("name <> ''").groupBy("name").agg(F.count("*").alias("definitions"), F.array_sort(F.collect_set("project")).alias("projects"))
+
+
+def event_sites(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Event references with the symbol that makes them and, where known, its file.
+
+    refs: event_id, from_id, kind; symbols: id, name, file_id; files: file_id, path.
+    """
+    made = refs.join(symbols.select(F.col("id").alias("from_id"), F.col("name").alias("symbol"), "file_id"), "from_id")
+    return made.join(files.select("file_id", "path"), "file_id", "left").select("event_id", "kind", "symbol", "path")
+
+
 def column_means(vectors: DataFrame, vec_col: str) -> DataFrame:
     return vectors.select(F.posexplode(vec_col).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 

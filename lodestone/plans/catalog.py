@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, retrieval, texts  # noqa: F401  (each registers its queries)
+from . import combined, relational, retrieval, texts  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES
 
 

@@ -150,7 +150,7 @@ k AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, row_number() OVER (PAR
 done AS (SELECT ref_id, symbol_id, CASE WHEN n = 1 THEN tier ELSE 'proximity' END AS tier FROM k WHERE r = 1 AND (n = 1 OR near > nx)) """
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
+def _open_refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, d, "part")
     kind = F.when(F.col("p_type") == "ECONOMY", "function").when(F.col("p_type") == "STANDARD", "class").when(F.col("p_type") == "PROMO", "method").otherwise("variable")
     symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("kind"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), F.lit("x")).alias("path"))
@@ -158,7 +158,11 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
     li = li.groupBy("ref_id", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"))
     name = F.when(F.col("ref_id") % 3 == 0, F.concat(F.lit("pkg.mod."), "p_name")).when(F.col("ref_id") % 7 == 0, "none").otherwise(F.col("p_name"))
     refs = li.join(p.select("p_partkey", "p_name", "p_brand"), "p_partkey").select("ref_id", name.alias("name"), F.concat_ws("/", "p_brand", F.col("l_linenumber").cast("string"), F.lit("y")).alias("path"))
-    return graph.resolve(refs, symbols)
+    return refs, symbols
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    return graph.resolve(*_open_refs(spark, d))
 
 
 @query(RESOLVE + "SELECT * FROM done")
@@ -171,6 +175,28 @@ def resolution_stats(spark, d):
     return _resolved(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("symbol_id").alias("targets"))
 
 
+@query(RESOLVE + """SELECT count(*) AS total_unresolved, count(*) FILTER (tier = 'strict') AS resolved_strict, count(*) FILTER (tier = 'proximity') AS resolved_proximity, count(*) FILTER (tier = 'suffix') AS resolved_suffix,
+ count(*) FILTER (tier IS NULL AND has) AS ambiguous_dropped, count(*) FILTER (tier IS NULL AND NOT has) AS no_candidate, count(DISTINCT (path, symbol_id)) FILTER (symbol_id IS NOT NULL) AS edges_created
+FROM (SELECT q.*, tier, symbol_id, q.name IN (SELECT name FROM s) OR regexp_extract(q.name, '([^.]*)$', 1) IN (SELECT regexp_extract(name, '([^.]*)$', 1) FROM s) AS has FROM q LEFT JOIN done USING (ref_id))""")
+def resolution_counters(spark, d):
+    refs, symbols = _open_refs(spark, d)
+    return graph.resolution_counters(refs.withColumn("from_id", F.col("path")), symbols, graph.resolve(refs, symbols))
+
+
+@query("SELECT p_name AS name, count(*) AS definitions, array_to_string(list_sort(list_distinct(array_agg(p_brand))), ',') AS projects FROM part WHERE p_name <> '' GROUP BY 1")
+def symbol_projects(spark, d):
+    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("project"))
+    return relations.symbol_projects(p).withColumn("projects", F.array_join("projects", ","))
+
+
+@query("SELECT event_id, event_type AS kind, c_name AS symbol, n_name AS path FROM events JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3")
+def event_sites(spark, d):
+    refs = table(spark, d, "events").select("event_id", F.col("user_id").alias("from_id"), F.col("event_type").alias("kind"))
+    symbols = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("file_id"))
+    files = table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("path"))
+    return relations.event_sites(refs, symbols, files)
+
+
 CONTAINS = "(SELECT 30000000 + n_regionkey AS src, 20000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 20000000 + c_nationkey, c_custkey FROM customer UNION ALL SELECT 20000000 + s_nationkey, 10000000 + s_suppkey FROM supplier)"
 
 

@@ -269,21 +269,34 @@ def html_text_regex(spark, d):
     return table(spark, d, "pages").select("page_id", tx.visible_text(F.col("html")).alias("text"))
 
 
-@query("""WITH a AS (SELECT e.vec_id AS query_id, f.vec_id AS id, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, f.vec_id) AS rank, e.label = f.label AS good
+METRICS = """WITH a AS (SELECT e.vec_id AS query_id, f.vec_id AS id, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, f.vec_id) AS rank, e.label = f.label AS good
   FROM embeddings e, embeddings f WHERE e.vec_id % 20 = 0 QUALIFY rank <= 10),
 r AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings x ON x.label = q.label WHERE q.vec_id % 20 = 0 GROUP BY 1),
 p AS (SELECT query_id, min(rank) FILTER (good) AS f, coalesce(sum(1 / log2(rank + 1)) FILTER (good), 0) AS dcg FROM a GROUP BY 1)
-SELECT query_id, round(coalesce(1 / f, 0), 6) AS rr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
- CAST(coalesce(f <= 1, false) AS INTEGER) AS top1, CAST(coalesce(f <= 3, false) AS INTEGER) AS top3, CAST(coalesce(f <= 5, false) AS INTEGER) AS top5, CAST(coalesce(f <= 10, false) AS INTEGER) AS topk FROM p JOIN r USING (query_id)""")
-def metrics_mrr_ndcg(spark, d):
+"""
+PER_QUERY = """SELECT query_id, coalesce(1 / f, 0) AS rr, dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg,
+ CAST(coalesce(f <= 1, false) AS INTEGER) AS top1, CAST(coalesce(f <= 3, false) AS INTEGER) AS top3, CAST(coalesce(f <= 5, false) AS INTEGER) AS top5, CAST(coalesce(f <= 10, false) AS INTEGER) AS topk FROM p JOIN r USING (query_id)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     relevant = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
-    m = relations.retrieval_metrics(fusion.knn_many(e, _query_vectors(spark, d), 10), relevant)
-    return m.withColumn("rr", F.round("rr", 6)).withColumn("ndcg", F.round("ndcg", 6))
+    return relations.retrieval_metrics(fusion.knn_many(e, _query_vectors(spark, d), 10), relevant)
+
+
+@query(METRICS + f"SELECT * REPLACE (round(rr, 6) AS rr, round(ndcg, 6) AS ndcg) FROM ({PER_QUERY})")
+def metrics_mrr_ndcg(spark, d):
+    return _metrics(spark, d).withColumn("rr", F.round("rr", 6)).withColumn("ndcg", F.round("ndcg", 6))
+
+
+@query(METRICS + f", m AS (SELECT m.*, label AS category FROM ({PER_QUERY}) m JOIN embeddings ON vec_id = query_id) SELECT category, count(*) AS queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in relations.MEASURES)} FROM m GROUP BY GROUPING SETS ((category), ())")
+def metrics_by_category(spark, d):
+    categories = _query_vectors(spark, d).select("query_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("category")), "query_id")
+    return relations.mean_metrics(_metrics(spark, d), categories).select("category", "queries", *[F.round(m, 6).alias(m) for m in relations.MEASURES])
 
 
 @query("SELECT label, count(*) AS n, round(avg(x), 6) AS mean_norm FROM (SELECT label, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) AS x FROM embeddings) GROUP BY label")
-def metrics_by_label(spark, d):
+def mean_norm_by_label(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(unit_norm(F.col("embedding"))), 6).alias("mean_norm"))
 
 

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
 
 # Folders never entered, files never read, extensions by language and asset class.
 PRUNED = ["node_modules", "vendor", "dist", "build", "scripts"]
 SECRET = [".env*", "*.pem", "*.key", "*.p12", "*.pfx", "*credentials*", "*secret*", "id_rsa", "id_ed25519", "*.token", "service-account.json"]
-IGNORED = [".git/", "__pycache__/", "*.pyc", "*.pyo", ".venv/", "venv/", "dist/", "build/", "node_modules/", "vendor/", "coverage/", "out/", "*.swp", "*.swo", "*.log", ".DS_Store"]
+IGNORED = [
+    ".git/", "__pycache__/", "*.pyc", "*.pyo", ".venv/", "venv/", ".egg-info/", "dist/", "build/", "node_modules/", "npm-debug.log", ".npm/", "vendor/",
+    "composer.lock", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", ".next/", "out/", ".turbo/", ".vscode/", ".idea/", "*.swp", "*.swo", ".DS_Store",
+    ".tsc/", "coverage/", ".nyc_output/", ".pytest_cache/", ".ruff_cache/", ".webpack-cache/", ".webpack-cache-legacy/", ".nx/", ".cursor/", ".husky/",
+    ".serena/", ".phpstan-cache/", "*.log", ".gitignore",
+]
 LANGUAGES = {
     "python": ["py"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs"], "php": ["php"], "go": ["go"], "swift": ["swift"], "ruby": ["rb"],
     "rust": ["rs"], "java": ["java"], "csharp": ["cs"], "kotlin": ["kt"], "c": ["c", "h"], "cpp": ["cpp", "cc", "hpp"],
@@ -28,6 +36,18 @@ ASSETS = {
 }
 
 
+# Media types that the standard table misses or differs on.
+MEDIA = {"woff": "font/woff", "woff2": "font/woff2", "opus": "audio/opus", "heif": "image/heif", "heic": "image/heic", "avif": "image/avif"}
+
+
+def media_type(path: Column) -> Column:
+    """The MIME type of a file's extension, of all extensions that are routed."""
+    known = {x for exts in [*LANGUAGES.values(), *ROUTES.values(), *ASSETS.values()] for x in exts}
+    types = {x: MEDIA.get(x) or mimetypes.types_map.get(f".{x}") for x in sorted(known)}
+    table = F.create_map(*[F.lit(v) for x, t in types.items() if t for v in (x, t)])
+    return F.coalesce(table[tx.extension(path)], F.lit("application/octet-stream"))
+
+
 def glob_regex(pattern: str) -> str:
     """A gitignore pattern as a regular expression over relative paths."""
     folder, body = pattern.endswith("/"), pattern.strip("/")
@@ -80,19 +100,29 @@ def asset_text(path: Column, size: Column, width: Column, height: Column) -> Col
     return F.concat_ws(" ", words, asset_class(path), dims, tx.human_size(size))
 
 
-def discover(spark: SparkSession, root: str, user: list[str] | None = None) -> DataFrame:
-    """path (relative), language, route, size, hash and content of the files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def discover(spark: SparkSession, root: str, user: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """path (relative), language, route, mime, size, hash and content of the files under a folder, or of ``only`` these.
+
+    Files are listed first, by Spark on the driver as always, and only those that pass the
+    rules are opened: no content of pruned folders is read.
+    """
     base = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^\\w+:/*", "/"), "^" + re.escape(base), "")
-    rows = files.select(rel.alias("path"), F.col("length").alias("size"), "content")
-    hidden = F.col("path").rlike("(?:^|/)\\.[^/]+/") | F.col("path").rlike("(?:^|/)(?:" + "|".join(PRUNED) + ")/") | F.col("path").endswith(".d.ts")
-    kept = rows.filter(~hidden & ~ignored(F.col("path"), user)).withColumn("language", language(F.col("path"))).withColumn("route", route(F.col("path")))
-    return kept.filter("route is not null").withColumn("hash", F.sha2("content", 256))
+    if only is None:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(rel.alias("path"))
+        hidden = F.col("path").rlike("(?:^|/)\\.[^/]+/") | F.col("path").rlike("(?:^|/)(?:" + "|".join(PRUNED) + ")/") | F.col("path").endswith(".d.ts")
+        only = [r.path for r in listed.filter(~hidden & ~ignored(F.col("path"), user) & route(F.col("path")).isNotNull()).collect()]
+    if only:
+        literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in only]  # names are no globs
+        rows = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in literal]).select(rel.alias("path"), F.col("length").alias("size"), "content")
+    else:
+        rows = spark.createDataFrame([], "path string, size bigint, content binary")
+    path = F.col("path")
+    return rows.withColumn("language", language(path)).withColumn("route", route(path)).withColumn("mime", media_type(path)).withColumn("hash", F.sha2("content", 256))
 
 
 def dimensions(content: Column) -> tuple[Column, Column]:
-    """Width and height of PNG, GIF and BMP images from their first bytes, JVM-side."""
+    """Width and height of PNG, GIF and BMP images from their first bytes, JVM-side, and of JPEG images from their frame header."""
     head = F.hex(F.substring(content, 1, 26))
 
     def number(at: int, size: int, little: bool) -> Column:
@@ -105,7 +135,8 @@ def dimensions(content: Column) -> tuple[Column, Column]:
     png, gif, bmp = head.startswith("89504E470D0A1A0A"), head.startswith("474946"), head.startswith("424D")
     width = F.when(png, number(16, 4, False)).when(gif, number(6, 2, True)).when(bmp, signed(number(18, 4, True)))
     height = F.when(png, number(20, 4, False)).when(gif, number(8, 2, True)).when(bmp, signed(number(22, 4, True)))
-    return width, height
+    jpeg = _jpeg(F.when(head.startswith("FFD8"), F.substring(content, 1, JPEG_HEAD)))
+    return F.coalesce(width, jpeg["width"]), F.coalesce(height, jpeg["height"])
 
 
 def jpeg_dimensions(data: bytes) -> tuple[int, int] | None:
@@ -120,6 +151,28 @@ def jpeg_dimensions(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+#: Bytes of a JPEG that are searched for its first frame header.
+JPEG_HEAD = 1 << 18
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
+def _jpeg(heads: pd.Series) -> pd.DataFrame:
+    found = [(jpeg_dimensions(bytes(h)) if h is not None else None) or (None, None) for h in heads]
+    return pd.DataFrame(found, columns=["width", "height"]).astype("Int64")
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """folder and name of the package manifests among files (path, content); the best kind of a folder counts."""
+    text, base = F.col("content").cast("string"), tx.basename(F.col("path"))
+    in_json = F.get_json_object(text, "$.name")
+    section = F.regexp_extract(text, r"(?s)(?:^|\n)\[project\][ \t]*\r?\n(.*?)(?:\n\[|\z)", 1)
+    in_toml = F.regexp_extract(section, r"""(?:^|\n)[ \t]*name[ \t]*=[ \t]*["']([^"'\n]+)["']""", 1)
+    name = F.when(base.isin("package.json", "composer.json"), in_json).when(base == "pyproject.toml", F.nullif(in_toml, F.lit("")))
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    order = F.when(base == "package.json", 0).when(base == "composer.json", 1).otherwise(2)
+    return files.select(folder.alias("folder"), name.alias("name"), order.alias("o")).filter("name is not null").groupBy("folder").agg(F.min_by("name", "o").alias("name"))
+
+
 def package_names(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """path and the package name of its nearest manifest folder (manifests: folder, name; '' is the root)."""
     parts = F.split("path", "/")

@@ -24,6 +24,17 @@ def formatted(results: DataFrame, kind: str, order: str, fields: list[str] | Non
     return results.select(rank, F.to_json(F.struct(*cols)).alias("line"))
 
 
+def rendered(results: DataFrame, kind: str, order: str, fields: list[str] | None = None) -> str:
+    """A limited result as one text: csv with a header of all columns, a table in markdown, lines otherwise."""
+    lines = [r.line for r in formatted(results, kind, order, fields).orderBy("__order").collect()]
+    names = project(results, fields).columns
+    if kind == "csv":
+        return "\n".join([",".join(names), *lines]) if lines else ""
+    if kind == "markdown":
+        return "\n".join(["| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *lines]) if lines else "*No results found.*"
+    return "\n".join(lines) if kind == "files" else "[" + ",\n".join(lines) + "]"
+
+
 def append_only(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -12,12 +12,15 @@ def merge_batches(spark: SparkSession, source: DataFrame, root: str, keys: list[
     """Start a query that merges each batch into a new version of a table under ``root``.
 
     A batch writes version id + 1 from version id, so a repeated batch rewrites the same
-    version and changes nothing; rows with ``deleted`` true go.
+    version and changes nothing; rows with ``deleted`` true go. Of several rows of a key in
+    one batch the greatest by the other columns, in their order, is taken.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        new = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        # Of several rows of a key in one batch the greatest counts, so that a repeated batch gives the same.
+        new = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*")
         live, gone = new.filter("not deleted").drop("deleted"), new.filter("deleted").select(*keys)
         if batch_id:
             old = s.read.parquet(f"{root}/v{batch_id}").join(gone, keys, "left_anti")

@@ -104,3 +104,61 @@ def test_service_answers_json(engine):
     assert "error" in answer(e, '{"tool": "_index"}') and "error" in answer(e, "not json")
     with pytest.raises(ValueError):
         e.reindex("nowhere")
+
+
+def test_search_options(engine):
+    e, _ = engine
+    assert {r.path for r in e.search("vec:helper", 5, mode="lex", weights="keyword=2.0").collect()} >= {"base.py"}
+    with pytest.raises(ValueError):
+        e.search("helper", weights="keyword:2")
+    with pytest.raises(ValueError):
+        e.search("helper", mode="fuzzy")
+    plain = {r.id: r.score for r in e.search("helper", 10).collect()}
+    boosted = {r.id: (r.path, r.score) for r in e.search("helper", 10, symbol_boost=0.5).collect()}
+    assert {p for i, (p, s) in boosted.items() if s > plain[i] + 0.4} == {"base.py"}
+    assert [r.id for r in e.search("helper", 10, graph_signal=True).collect()] == [r.id for r in e.search("helper", 10).collect()]  # sparse: the gate is shut
+
+
+def test_graph_signal_behind_its_gates(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store")
+    lines = ["def base():\n    return 1\n", "def central():\n    return base()\n"] + [f"def f{i}():\n    base()\n    return central()\n" for i in range(110)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "m.py").write_text("\n".join(lines))
+    (tmp_path / "p" / "note.md").write_text("# Central\nwords about central things\n")
+    e.register_project("p", f"file://{tmp_path}/p")
+    e.reindex("p")
+    assert any("graph" in r.sources for r in e.search("central", 5, graph_signal=True).collect())
+    assert not any("graph" in r.sources for r in e.search("words about", 5, graph_signal=True).collect())
+
+
+def test_recovery_stale_parsers_and_counts(spark, tmp_path, monkeypatch):
+    from lodestone import engine as module
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.py").write_text("def one():\n    return 1\n")
+    (tmp_path / "p" / "b.py").write_text("def two():\n    return one()\n")
+    (tmp_path / "p" / "package.json").write_text('{"name": "pack"}')
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.register_project("p", f"file://{tmp_path}/p")
+    e._job("broken", "p", "running")
+    (job,) = e.recover()
+    assert e.unfinished_jobs().isEmpty() and {r.job: r.status for r in e.store.read("jobs").collect()} == {"broken": "failed", job: "completed"}
+    assert {r.package for r in e.store.read("files").collect()} == {"pack"}
+    assert e.stale_projects().isEmpty()
+    (tmp_path / "p" / "a.py").write_text("def one():\n    return 2\n")
+    (tmp_path / "p" / "b.py").unlink()
+    e.reindex("p")
+    last = e.index_statistics("p").collect()[-1]
+    assert (last.processed, last.skipped, last.deleted) == (1, 1, 1)
+    monkeypatch.setattr(module, "parser_digest", lambda: "newer")
+    assert [r.project for r in e.stale_projects().collect()] == ["p"]
+    e.reindex("p")  # other parser code: everything is read again
+    assert e.stale_projects().isEmpty() and e.index_statistics("p").collect()[-1].processed == 2
+
+
+def test_indexing_one_project_leaves_anothers_tables(engine):
+    e, root = engine
+    before = e.store.paths("symbols", "b")
+    e.reindex("a", full=True)
+    assert e.store.paths("symbols", "b") == before and e.store.read("symbols", "b").count() > 0
+    assert {r.project for r in e.store.read("symbols").select("project").distinct().collect()} >= {"a", "b"}

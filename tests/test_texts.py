@@ -109,3 +109,92 @@ def test_stream_merges_batches(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"file://{src}")
         incremental.merge_batches(spark, stream, f"file://{tmp_path}/out", ["id"], f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out/v2").collect()) == [(2, "B"), (3, "c")]
+
+
+@pytest.mark.parametrize("language,source,names,refs", [
+    ("rust", "use std::io;\npub struct Dog {\n    age: u8,\n}\npub trait Loud: Base {\n    fn shout(&self);\n}\nimpl Loud for Dog {\n    pub fn shout(&self) {\n        help();\n    }\n}\nasync fn main() {\n}\n",
+     {("", "import"), ("Dog", "class"), ("Loud", "interface"), ("shout", "method"), ("main", "function")}, {("Loud", "implements"), ("Base", "extends"), ("help", "calls")}),
+    ("java", "import java.util.List;\npublic class Dog extends Animal implements Loud, Fast {\n    public List<String> bark(int n) throws Oops {\n        return help(n);\n    }\n}\ninterface Loud {\n}\n",
+     {("", "import"), ("Dog", "class"), ("bark", "method"), ("Loud", "interface")}, {("Animal", "extends"), ("Loud", "implements"), ("Fast", "implements"), ("help", "calls")}),
+    ("csharp", "using System;\npublic class Dog : Animal, ILoud\n{\n    public async Task<int> Bark(int n)\n    {\n        Help(n);\n    }\n}\n",
+     {("", "import"), ("Dog", "class"), ("Bark", "method")}, {("Animal", "extends"), ("ILoud", "implements"), ("Help", "calls")}),
+    ("kotlin", "import a.b\ndata class Dog(val age: Int) : Animal(age), Loud {\n    override fun bark() {\n        help()\n    }\n}\nfun main() {\n}\n",
+     {("", "import"), ("Dog", "class"), ("bark", "method"), ("main", "function")}, {("Animal", "extends"), ("Loud", "implements"), ("help", "calls")}),
+    ("c", "#include <stdio.h>\nstruct dog {\n    int age;\n};\nstatic int bark(struct dog *d) {\n    help(d);\n    return 0;\n}\n",
+     {("", "import"), ("dog", "class"), ("bark", "function")}, {("help", "calls")}),
+    ("cpp", "#include <x>\nnamespace zoo {\nclass Dog : public Animal {\n    void sit() {\n        help();\n    }\n};\n}\nvoid Dog::bark(int n) {\n    help();\n}\n",
+     {("", "import"), ("Dog", "class"), ("sit", "method"), ("bark", "method")}, {("Animal", "extends"), ("help", "calls")}),
+])
+def test_fallback_languages(language, source, names, refs):
+    found = extract.extract(language, source)
+    assert {(s[0], s[1]) for s in found.symbols if s[1] != "module"} == names
+    assert {(r[1], r[2]) for r in found.refs} >= refs
+
+
+def test_default_rules_media_types_and_manifests(spark):
+    from pyspark.sql import functions as F
+
+    paths = ["a/package-lock.json", ".next/x.js", "x/.turbo/y.js", "b.png", "c.woff2", "d.py", "e.unknown", ".gitignore"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").select("path", discovery.ignored(F.col("path")).alias("out"), discovery.media_type(F.col("path")).alias("mime"))
+    got = {r.path: (r.out, r.mime) for r in df.collect()}
+    assert [got[p][0] for p in paths] == [True, True, True, False, False, False, False, True]
+    assert [got[p][1] for p in paths[3:7]] == ["image/png", "font/woff2", "text/x-python", "application/octet-stream"]
+    files = [("package.json", '{"name": "root"}'), ("lib/pyproject.toml", '[build]\nname = "no"\n[project]\nversion = "1"\nname = "lib"\n[x]\n'), ("lib/composer.json", '{"name": "v/lib"}'), ("bad/package.json", "{")]
+    m = discovery.manifests(spark.createDataFrame([(p, bytearray(c.encode())) for p, c in files], "path string, content binary"))
+    assert {(r.folder, r.name) for r in m.collect()} == {("", "root"), ("lib", "v/lib")}
+
+
+def test_jpeg_dimensions_of_a_table(spark):
+    from pyspark.sql import functions as F
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc4\x00\x03x\xff\xc0\x00\x11\x08\x00\x20\x00\x30\x03rest"
+    df = spark.createDataFrame([(1, bytearray(jpeg)), (2, bytearray(b"\xff\xd8cut")), (3, bytearray(b"GIF89a\x07\x00\x05\x00xxxxxxxxxxxxxxxx")), (4, None)], "id int, content binary")
+    w, h = discovery.dimensions(F.col("content"))
+    assert {r.id: (r.w, r.h) for r in df.select("id", w.alias("w"), h.alias("h")).collect()} == {1: (48, 32), 2: (None, None), 3: (7, 5), 4: (None, None)}
+
+
+def test_rendered_results(spark):
+    from lodestone.sources import sinks
+
+    r = spark.createDataFrame([(2, "b.py", None), (1, "a.py", "x,y")], "rank int, path string, note string")
+    assert sinks.rendered(r, "csv", "rank") == 'rank,path,note\n1,a.py,"x,y"\n2,b.py,'
+    assert sinks.rendered(r, "markdown", "rank", ["path"]) == "| path |\n| --- |\n| a.py |\n| b.py |"
+    assert sinks.rendered(r, "files", "rank") == "a.py\nb.py"
+    assert sinks.rendered(r.limit(0), "markdown", "rank") == "*No results found.*" and sinks.rendered(r.limit(0), "csv", "rank") == ""
+
+
+def test_rotation_is_kept_and_checked(spark, tmp_path):
+    import numpy as np
+
+    from lodestone.operators.drift import Rotation
+
+    q, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(4, 4)))
+    old = np.random.default_rng(4).normal(size=(60, 4))
+    pairs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(old, old @ q.T)], "old array<double>, new array<double>")
+    fitted = Rotation.fit(pairs, "old", "new", 4)
+    fitted.save(spark, f"file://{tmp_path}/r")
+    again = Rotation.load(spark, f"file://{tmp_path}/r")
+    assert np.allclose(again.adapt((old[0] @ q.T).tolist()), old[0], atol=1e-4)
+    vectors = spark.createDataFrame([(1, (old[1] @ q.T).tolist()), (2, None)], "id int, v array<double>")
+    got = {r.id: r.adapted for r in again.adapt_all(vectors, "v").collect()}
+    assert np.allclose(got[1], old[1], atol=1e-4) and got[2] is None
+    for bad in (np.zeros((2, 3)), np.zeros((2, 2), int)):
+        with pytest.raises(ValueError):
+            Rotation(bad)
+
+
+def test_a_failing_reranker_fails_as_a_whole(spark):
+    from lodestone.operators import models
+
+    def make():
+        def score(query, texts):
+            if "bad" in texts:
+                raise RuntimeError("no model")
+            return [float(len(t)) for t in texts]
+
+        return score
+
+    good = spark.createDataFrame([(i, i, "x" * i) for i in range(1, 30)], "id int, rank int, text string").repartition(5)
+    assert [r.id for r in models.model_rerank(good, "q", "text", make, 3).collect()] == [29, 28, 27]
+    bad = good.unionByName(spark.createDataFrame([(99, 99, "bad")], "id int, rank int, text string"))
+    assert [(r.id, r.rerank_score) for r in models.model_rerank(bad, "q", "text", make, 3).collect()] == [(1, 0.0), (2, 0.0), (3, 0.0)]
