@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-Each Arrow batch of documents is a shard. Its words become numbers of the benchmark's
+Each Arrow batch of documents (some hundred, 1 MB of text) is a shard. Its words become numbers of the benchmark's
 vocabulary; positions from which a match is still possible are sorted into a suffix array
 to the depth of one window, and every benchmark suffix is binary-searched in it. Runs of
 matches along one item give the longest verbatim matches and their places.
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from .shared import add_columns
 
 WINDOW = 10
+#: Documents of a shard at most; the bytes of an Arrow batch bound it first.
+SHARD_ROWS = 10_000
 #: Benchmark text held by a task at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
 #: Lower-cases A-Z and turns every other ASCII byte than 0-9 and a-z into a space.
@@ -133,7 +135,7 @@ def _block_pass(docs: DataFrame, items: list[tuple[str, bytes]], text_col: str,
         ("__items", T.ArrayType(T.StringType()), pa.list_(pa.string())),
         ("__longest", T.LongType(), pa.int64()),
     ]
-    return add_columns(docs, [text_col, "__spans", "__items", "__longest"], fields, make)
+    return add_columns(docs, [text_col, "__spans", "__items", "__longest"], fields, make, SHARD_ROWS)
 
 
 OWN = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "spans", "items"]

@@ -20,15 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import add_columns, prepare, scratch, sliced, unused, written
+from .shared import add_columns, joined_by_key, prepare, scratch, sliced, unused, written
 
 SKETCH = 64
 SHINGLE_WORDS = 5
 SHORT_LIST = 32
 #: Members of a longer list that one task compares with the list's centre.
 PART_MEMBERS = 1024
-#: A value met by more than PART_MEMBERS rows and this part of all rows is joined by a broadcast.
-HEAVY_VALUES = 50_000
 #: Keys of rows that go which are broadcast (some 40 bytes each); beyond it the join shuffles.
 BROADCAST_GONE = 500_000
 #: Standard deviations below the threshold at which a sketch still counts as a candidate.
@@ -103,20 +101,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
 
 
 def with_counts(values: DataFrame, name: str) -> DataFrame:
-    """The rows whose ``v`` is met more than once, with the number of rows that have it.
-
-    Very frequent values, fewer than HEAVY_VALUES by their share of all rows, are broadcast,
-    so that no task gets all rows of one of them; the others are joined by a shuffle.
-    """
+    """The rows whose ``v`` is met more than once, with the number of rows that have it."""
     counts = written(values.groupBy("v").agg(F.count("*").alias(name)).filter(F.col(name) > 1), "near-counts")
-    total = counts.agg(F.sum(name)).first()[0] or 0
-    least = max(PART_MEMBERS, total // HEAVY_VALUES)
-    heavy = counts.filter(F.col(name) > least)
-    if heavy.isEmpty():
-        return values.join(counts, "v")
-    marked = values.join(F.broadcast(heavy), "v", "left")  # at most total / least rows
-    light = marked.filter(F.col(name).isNull()).drop(name).join(counts.filter(F.col(name) <= least), "v")
-    return marked.filter(F.col(name).isNotNull()).unionByName(light)
+    return joined_by_key(values, counts, "v", name)
 
 
 def pairs_of_short_lists(lists: DataFrame, fits) -> DataFrame:

@@ -31,16 +31,18 @@ def best_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     c = np.concatenate([[0], np.cumsum(counts)])
     s = np.concatenate([[0], np.cumsum(counts * lengths)])
     m = len(lengths)
-    # cost[i, j]: padding if lengths i .. j share a bucket of length lengths[j]
-    cost = lengths[None, :] * (c[None, 1:] - c[:-1, None]) - (s[None, 1:] - s[:-1, None])
-    cost[np.tril_indices(m, -1)] = np.inf
-    best, cuts = cost[0], []
+    # Lengths i .. j in a bucket of length lengths[j] cost lengths[j] * (c[j + 1] - c[i]) - (s[j + 1] - s[i]);
+    # one j at a time, so that memory is in proportion to the lengths, not to their square.
+    best, cuts = lengths * c[1:] - s[1:], []
     totals = [best[-1]]
     for _ in range(1, min(buckets, m)):
-        options = best[:-1, None] + cost[1:, :]
-        cut = options.argmin(0)
+        cut, new = np.zeros(m, np.int64), np.full(m, np.inf)
+        for j in range(1, m):
+            options = best[:j] + lengths[j] * (c[j + 1] - c[1 : j + 1]) - (s[j + 1] - s[1 : j + 1])
+            cut[j] = options.argmin()
+            new[j] = options[cut[j]]
         cuts.append(cut)
-        best = options[cut, np.arange(m)]
+        best = new
         totals.append(best[-1])
     k = int(np.argmin(totals))
     bounds, j = [], m - 1

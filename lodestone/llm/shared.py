@@ -119,11 +119,12 @@ def add_columns(
     inputs: list[str],
     fields: list[tuple[str, T.DataType, pa.DataType]],
     make: Callable[[], Callable[..., list[list]]],
+    rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """Append columns computed batch by batch in Python.
 
     ``make()`` runs once in each task and returns a function from the lists of
-    ``inputs`` to one list per field. Input columns with a field's name are dropped
+    ``inputs``, of at most ``rows`` rows, to one list per field. Input columns with a field's name are dropped
     from the result, but the function still sees them.
     """
     prepare(df.sparkSession)
@@ -137,7 +138,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in sliced(batches):
+        for batch in sliced(batches, rows):
             got = work(*[batch.column(n_kept + i).to_pylist() for i in range(n_in)])
             columns = [batch.column(i) for i in range(n_kept)]
             columns += [pa.array(v, type=a) for v, (_, a) in zip(got, arrow, strict=True)]
@@ -146,6 +147,26 @@ def add_columns(
     return wide.mapInArrow(run, schema)
 
 
+#: A key met by more than HEAVY_ROWS rows and this part of all rows is joined by a broadcast.
+HEAVY_ROWS, HEAVY_KEYS = 1024, 50_000
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with a written table of one row a key, whose ``count`` says how many rows hold it.
+
+    Very frequent keys, at most HEAVY_KEYS by their share of all rows, are broadcast, so that
+    no task gets all rows of one of them; the others are joined by a shuffle.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    heavy = table.filter(F.col(count) > least)
+    if heavy.isEmpty():
+        return rows.join(table, key)
+    marked = rows.join(F.broadcast(heavy), key, "left")  # at most total / least rows
+    light = marked.filter(F.col(count).isNull()).select(*rows.columns).join(table.filter(F.col(count) <= least), key)
+    return marked.filter(F.col(count).isNotNull()).unionByName(light)
+
+
 def dense_numbers(df: DataFrame, order: list[Column], name: str = "row_no", label: str = "numbers") -> DataFrame:
     """0, 1, 2 ... in the given order, without gathering rows in one task.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import add_columns, fresh_path, written
+from .shared import add_columns, discard, fresh_path, joined_by_key, scratch, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to this vocabulary (a fixed value).
@@ -197,15 +197,21 @@ def corpus_rollup(docs: DataFrame, vocabulary: str = VOCABULARY, version: str =
     twice, as after a lost acknowledgement, and counts once.
     """
     spark = docs.sparkSession
-    slim = docs.select("doc_id", "source", "lang", F.sha2(F.col("text"), 256).alias("digest"), F.col("text").alias("__text"))
-    counts = written(count_tokens(slim, vocabulary, "__text").drop("__text").withColumn("tokenizer", F.lit(version)), "token-counts")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    firsts = counts.groupBy("digest").agg(F.min(order).alias("first"))
-    joined = counts.join(firsts.withColumnRenamed("digest", "d"), F.col("digest").eqNullSafe(F.col("d"))).withColumn("stays", order == F.col("first"))
-    rollup = Rollup(spark, fresh_path(spark, "token-rollup"))
-    rollup.commit("load", inserts(counts))
-    rollup.commit("load", inserts(counts))
-    rollup.commit("repeats", deletes(joined.filter("not stays")))
-    stay = joined.filter("stays").select("doc_id", *KEYS, "n_tokens")
-    rollup.commit("end-tokens", changes(stay, stay.withColumn("n_tokens", F.col("n_tokens") + 1)))
-    return rollup.totals()
+    digest = F.coalesce(F.sha2(F.col("text"), 256), F.lit("null"))
+    slim = docs.select("doc_id", "source", "lang", digest.alias("digest"), F.col("text").alias("__text"))
+    root = fresh_path(spark, "token-rollup")
+    with scratch(spark) as keep:
+        counts = written(count_tokens(slim, vocabulary, "__text").drop("__text").withColumn("tokenizer", F.lit(version)), "token-counts")
+        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+        firsts = written(counts.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "token-firsts")
+        # A text that very many rows hold is spread over all tasks.
+        joined = written(joined_by_key(counts, firsts, "digest", "copies").withColumn("stays", order == F.col("first")).drop("first", "copies"), "token-stays")
+        rollup = Rollup(spark, root)
+        rollup.commit("load", inserts(counts))
+        rollup.commit("load", inserts(counts))
+        rollup.commit("repeats", deletes(joined.filter("not stays")))
+        stay = joined.filter("stays").select("doc_id", *KEYS, "n_tokens")
+        rollup.commit("end-tokens", changes(stay, stay.withColumn("n_tokens", F.col("n_tokens") + 1)))
+        totals = keep(written(rollup.totals(), "token-totals"))
+    discard(spark, [root])
+    return totals

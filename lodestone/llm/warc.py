@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, prepare, written
+from .shared import discard, fresh_path, prepare, scratch, sliced, unused, written
 
 REVISIT_BYTES = 1000
 RECORDS_A_FILE = 4000
 #: Captures that one merge task holds.
 MERGE_ROWS = 100_000
+#: Captures of one run that a merge turns into keys at a time.
+RUN_ROWS = 1024
 #: Groups of equal payloads that are broadcast (some 60 bytes each); beyond it the join shuffles.
 BROADCAST_GROUPS = 100_000
 VERSION = "WARC/1.1\r\n"
@@ -37,12 +39,14 @@ def plan_records(pages: DataFrame, html_col: str = "html", id_col: str = "page_i
     are too many to broadcast.
     """
     own = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    own_id = F.col(f"`{id_col}`")
     page = pages.withColumn("payload", own).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    large = page.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
-    groups = written(large.agg(F.max(id_col).alias("keeper"), F.count("*").alias("c")).filter("c > 1").drop("c"), "warc-groups")
+    d, b, keeper = names = [unused(page, n) for n in ("__digest", "__bytes", "__keeper")]
+    large = page.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy(F.col("payload_digest").alias(d), F.col("payload_bytes").alias(b))
+    groups = written(large.agg(F.max(own_id).alias(keeper), F.count("*").alias("c")).filter("c > 1").drop("c"), "warc-groups")
     few = groups.count() <= BROADCAST_GROUPS
-    met = page.join(F.broadcast(groups) if few else groups, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
-    return met.withColumn("refers_to", F.when(F.col("keeper") != F.coalesce(F.col(id_col), F.lit(-1)), F.col("keeper"))).drop("d", "b", "keeper")
+    met = page.join(F.broadcast(groups) if few else groups, (F.col("payload_digest") == F.col(d)) & (F.col("payload_bytes") == F.col(b)), "left")
+    return met.withColumn("refers_to", F.when(F.col(keeper) != F.coalesce(own_id, F.lit(-1)), F.col(keeper))).drop(*names)
 
 
 def record_text(url: Column, time: Column, page: Column) -> Column:
@@ -66,9 +70,9 @@ def record_text(url: Column, time: Column, page: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, time: Column, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> None:
-    """Write one record per page into gzipped WARC files of at most ``RECORDS_A_FILE`` records."""
-    planned = plan_records(pages.withColumn("__time", time), html_col, id_col)
-    records = planned.select(record_text(F.col(f"`{url_col}`"), F.col("__time"), F.col(f"`{id_col}`")).alias("value"))
+    """Write one record per page into gzipped WARC files of at most ``RECORDS_A_FILE`` records; other columns are left out."""
+    slim = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), time.alias("time"))
+    records = plan_records(slim, "html", "id").select(record_text(F.col("url"), F.col("time"), F.col("id")).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
@@ -78,14 +82,21 @@ class Reader:
     def __init__(self) -> None:
         self.file, self.open = None, b""
         self.need = -1
+        self.at = self.start = 0
 
-    def feed(self, file: str, piece: bytes) -> Iterator[bytes]:
+    def feed(self, file: str, piece: bytes) -> Iterator[tuple[bytes, int, int]]:
+        """Records that end in the piece: without their version line, with their place and length (with it) in the unpacked file."""
         if file != self.file:
             if self.open.strip(b"\r\n"):
                 raise ValueError(f"{self.file} ends inside a record")
-            self.file, self.open, self.need = file, b"", -1
+            self.file, self.open, self.need, self.at = file, b"", -1, 0
+            if not piece:  # what stands before the first version line
+                return
         elif self.open:
             self.open += VERSION.encode()  # the version line stood inside a payload
+        if not self.open:
+            self.start = self.at
+        self.at += len(VERSION) + len(piece)
         self.open += piece
         if self.need < 0 and (cut := self.open.find(b"\r\n\r\n")) >= 0:
             length = re.search(rb"(?im)^content-length:\s*(\d+)", self.open[:cut])
@@ -94,7 +105,7 @@ class Reader:
             self.need = cut + 4 + int(length[1])
         if 0 <= self.need <= len(self.open):
             record, self.open, self.need = self.open[: self.need], b"", -1
-            yield record
+            yield record, self.start, len(VERSION) + len(record)
 
 
 def parse(record: bytes) -> dict:
@@ -126,23 +137,26 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2] or "/")
 
 
-CAPTURE = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, capture_time string"
-NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+CAPTURE = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, capture_time string, offset bigint, length bigint"
+NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "offset", "length"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The captures of all archives, each archive a locally sorted run (column run)."""
+    """The captures of all archives, each archive a locally sorted run (column run).
+
+    offset and length say where a record stands in its unpacked archive, version line included.
+    """
     prepare(spark)
     pieces = spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_name").alias("run"), F.col("value").cast("binary").alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        for batch in batches:
+        for batch in sliced(batches):
             rows, runs = [], []
             for name, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for record in reader.feed(name, piece):
-                    rows.append(parse(record))
+                for record, offset, length in reader.feed(name, piece):
+                    rows.append(parse(record) | {"offset": offset, "length": length})
                     runs.append(name)
             arrays = [pa.array([r[n] for r in rows], t) for n, t in zip(NAMES, TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(runs, pa.string())], names=[*NAMES, "run"])
@@ -194,8 +208,11 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     """All captures in the global order of url_key, capture_time and page_id.
 
     Ranges of that order are cut across all runs, so that a URL with very many captures is
-    divided by time; each task merges the runs' parts of its range. merge_part and
-    merge_pos give the order. Null keys come first.
+    divided by time; each task merges the runs' parts of its range, which it holds as Arrow
+    columns of about ``MERGE_ROWS`` captures and reads ``RUN_ROWS`` of a run at a time.
+    Nothing is sorted again: where a shuffle hands over the parts of a run out of order,
+    each rising part is a run of its own. merge_part and merge_pos give the order. Null
+    keys come first.
     """
     spark = captures.sparkSession
     prepare(spark)
@@ -207,17 +224,39 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
-        table = pa.Table.from_batches(tables)
-        order = zip(*[table.column(n).to_pylist() for n in ("url_key", "capture_time", "page_id", "run")], strict=True)
-        runs: dict[str, list[tuple]] = {}
-        for i, (u, t, p, name) in enumerate(order):
-            runs.setdefault(name, []).append(((u is not None, u or ""), t, (p is not None, p or 0), i))
-        for r in runs.values():  # a shuffle may hand over the parts of a run out of order
-            if any(x > y for x, y in zip(r, r[1:], strict=False)):
-                r.sort()
-        rows = [x[-1] for x in LoserTree(list(runs.values()))]
-        merged = table.take(pa.array(rows, pa.int64())).append_column("merge_pos", pa.array(range(len(rows)), pa.int64()))
-        yield from merged.to_batches(max_chunksize=4096)
+        table = pa.Table.from_batches(tables).combine_chunks()
+
+        def keys(start: int, stop: int) -> Iterator[tuple]:
+            for at in range(start, stop, RUN_ROWS):
+                part = table.slice(at, min(RUN_ROWS, stop - at))
+                columns = [part.column(n).to_pylist() for n in ("url_key", "capture_time", "page_id")]
+                for i, (u, t, p) in enumerate(zip(*columns, strict=True), at):
+                    yield (u is not None, u or ""), t, (p is not None, p or 0), i
+
+        runs, names = [], table.column("run")
+        start, last, name = 0, None, None
+        for key in keys(0, table.num_rows):
+            i = key[-1]
+            own = names[i].as_py()
+            if last is not None and (own != name or key < last):
+                runs.append(keys(start, i))
+                start = i
+            last, name = key, own
+        runs.append(keys(start, table.num_rows))
+        rows, place = [], 0
+
+        def merged() -> pa.RecordBatch:
+            out = table.take(pa.array(rows, pa.int64())).append_column("merge_pos", pa.array(range(place, place + len(rows)), pa.int64()))
+            return out.combine_chunks().to_batches()[0]
+
+        for x in LoserTree(runs):
+            rows.append(x[-1])
+            if len(rows) == 4096:
+                yield merged()
+                place += len(rows)
+                rows = []
+        if rows:
+            yield merged()
 
     return ranged.mapInArrow(run, CAPTURE + ", run string, merge_part int, merge_pos bigint")
 
@@ -227,7 +266,7 @@ def archive_round_trip(pages: DataFrame, time: Column | None = None, id_col: str
 
     ``time`` is the capture time, by default a second a page id from 2024 on. Returns
     page_id, payload_bytes and payload_digest (SHA-1 of the full payload), record_type,
-    refers_to, url_key, capture_time, run, merge_part and merge_pos, one row per page.
+    refers_to, url_key, capture_time, offset, length, run, merge_part and merge_pos, one row per page.
 
     Null html is an empty payload; a null id is archived as such, is never referred to by
     others unless no id is known, and comes back null; a null url has the key ''; control
@@ -239,8 +278,11 @@ def archive_round_trip(pages: DataFrame, time: Column | None = None, id_col: str
     slim = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     when = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0))) if time is None else time
     path = fresh_path(spark, "warc")
-    write_archives(slim, path, when)
-    return merge_runs(read_archives(spark, path))
+    with scratch(spark) as keep:
+        write_archives(slim, path, when)
+        merged = keep(written(merge_runs(read_archives(spark, path)), "warc-index"))
+    discard(spark, [path])  # the round trip's archives; write_archives leaves them to the caller
+    return merged
 
 
 def oracle() -> str:

@@ -99,7 +99,10 @@ def test_one_row_of_each_group_stays(spark, monkeypatch, few):
 
 
 def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(nd, "PART_MEMBERS", 7)  # values met more often than this are broadcast, too
+    from lodestone.llm import shared
+
+    monkeypatch.setattr(nd, "PART_MEMBERS", 7)
+    monkeypatch.setattr(shared, "HEAVY_ROWS", 7)  # values met more often are broadcast
     rows = corpus(4, 200)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, 100).collect()}
     assert got == brute(rows, 85, 100)

@@ -137,6 +137,42 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_captures_stand_where_the_index_says(spark, tmp_path):
+    import gzip
+
+    rows = [(i, f"http://h{i % 3}.org/{i % 7}", "x" * (i * 37 % 400) + ("WARC/1.1\r\nin a payload" if i % 5 == 0 else ""), "d", "b", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, d string, b string, payload int").repartition(3)
+    warc.write_archives(df, f"file://{tmp_path}/w", F.timestamp_seconds(F.col("page_id")))
+    found = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert len(found) == 60
+    for r in found:
+        with gzip.open(tmp_path / "w" / r.run) as f:
+            record = f.read()[r.offset : r.offset + r.length]
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(rows[r.page_id][2].encode()) and f"<urn:page:{r.page_id}>".encode() in record
+
+
+def test_merge_of_runs_in_pieces(spark, monkeypatch):
+    """Runs handed over in disordered pieces, read few rows at a time, still give the global order."""
+    monkeypatch.setattr(warc, "RUN_ROWS", 3)
+    rng = random.Random(12)
+    rows = [(i, 1, "d", "response", None, rng.choice([None, "a", "b", "c"]), f"2024-01-{rng.randrange(1, 28):02}", 0, 1, f"run{rng.randrange(4)}") for i in range(300)]
+    df = spark.createDataFrame(rows, warc.CAPTURE + ", run string").repartition(5)
+    got = [(r.url_key, r.capture_time, r.page_id) for r in warc.merge_runs(df.sortWithinPartitions("run", "url_key", "capture_time", "page_id")).orderBy("merge_part", "merge_pos").collect()]
+    key = lambda x: (x[0] is not None, x[0] or "", x[1], x[2])
+    assert got == sorted(((r[5], r[6], r[0]) for r in rows), key=key)
+    shuffled = warc.merge_runs(df).orderBy("merge_part", "merge_pos").collect()
+    assert [(r.url_key, r.capture_time, r.page_id) for r in shuffled] == got
+
+
+def test_frequent_texts_are_spread(spark, tmp_path, monkeypatch):
+    from lodestone.llm import shared
+
+    df = spark.createDataFrame([(i, None if i % 3 else "same", "s", "en") for i in range(90)] + [(90, "other", "s", "en")], "doc_id long, text string, source string, lang string")
+    plain = sorted(map(tuple, tr.corpus_rollup(df).collect()))
+    monkeypatch.setattr(shared, "HEAVY_ROWS", 5)
+    assert sorted(map(tuple, tr.corpus_rollup(df).collect())) == plain and plain[0][3] == 3
+
+
 @pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "select", "iframe"])
 def test_embedded_elements_swallow_no_text(tag):
     one = lambda x: html_text.main_text(f"<article><p>one</p>{x}<p>two</p></article><p>out</p>")
