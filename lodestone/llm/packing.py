@@ -101,7 +101,9 @@ def pack(
         seen += sum(n for x, n in histogram.items() if (bounds[i - 1] if i else 0) < x <= bound)
 
     def of_bucket(values: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1) if values else F.lit(None).cast("long")
+        # Asked for explicitly: compiled element_at takes a null place for the last element.
+        one = F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1) if values else F.lit(None).cast("long")
+        return F.when(F.col("bucket").isNotNull(), one)
 
     each = [max(1, batch_tokens // b) for b in bounds]
     place = F.col("__row") - of_bucket(first)

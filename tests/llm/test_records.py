@@ -57,6 +57,32 @@ def test_boundaries_are_the_best():
     assert packing.best_boundaries({}, 4) == []
 
 
+def test_packing_equals_brute_force(spark):
+    """Every row of the result from its definition: pieces, best of all divisions into buckets, places in hash order."""
+    rng = random.Random(4)
+    docs = [(rng.choice([i, i % 20, None]), rng.choice([None, 0, 1, 3, 7, 12, 13, 25, 40, 90])) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, n long").withColumn("text", F.lit("x"))
+    got = sorted((tuple(r) for r in packing.pack(df, F.col("n"), max_len=13, buckets=3, batch_tokens=30, seed=5).collect()), key=repr)
+    pieces = []
+    for i, n in docs:
+        n = n or 0
+        for k in range(max(1, -(-n // 13))):
+            pieces.append((i, k, k * 13, min(13, n - k * 13)))
+    lengths = sorted({p[3] for p in pieces if p[3]})
+    pad = lambda bounds: sum(min(b for b in bounds if b >= p[3]) - p[3] for p in pieces if p[3])
+    bounds = min((c for k in (1, 2, 3) for c in itertools.combinations(lengths, k) if c[-1] == lengths[-1]), key=lambda c: (pad(c), len(c)))
+    hashes = {(r.doc_id, r.k): r.h for r in spark.createDataFrame(pieces, "doc_id long, k long, s long, n long").select("doc_id", "k", F.xxhash64(F.lit(5), "doc_id", "k").alias("h")).collect()}
+    want = [(i, k, s, n, None, None, None, None, None) for i, k, s, n in pieces if not n]
+    for b, bound in enumerate(bounds):
+        inside = sorted((p for p in pieces if p[3] and min(x for x in bounds if x >= p[3]) == bound), key=lambda p: (hashes[p[:2]], p[0] is not None, p[0] or 0, p[1], 0))
+        each = max(1, 30 // bound)
+        want += [(*p, b, bound, at // each, at % each, bound - p[3]) for at, p in enumerate(inside)]
+    # Rows equal in id and piece are interchangeable: compare lengths and places apart where they are.
+    blur = lambda rows: sorted(((r[4:8], r[0], r[1]) for r in rows), key=repr)
+    assert blur(got) == blur(want)
+    assert sorted((r[:6] for r in got), key=repr) == sorted((r[:6] for r in want), key=repr) and sum(r[8] or 0 for r in got) == pad(bounds)
+
+
 def test_packing_keeps_every_token(spark):
     rng = random.Random(3)
     texts = ["w " * rng.randrange(0, 90) for _ in range(150)] + [None, "", " \n", "long " * 1000, "w " * 10, "w " * 10]
@@ -89,7 +115,9 @@ def test_loser_tree():
 TRICKY = "x" * 1100 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nWARC/1.1\r\n"
 
 
-def test_archives_come_back(spark):
+@pytest.mark.parametrize("groups", [100_000, 0])
+def test_archives_come_back(spark, monkeypatch, groups):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
     rows = [(1, "http://b.org/x", TRICKY), (2, None, None), (3, "u v\n", TRICKY), (None, "u", "WARC/1.1\r\nWARC/1.1\r\n"), (5, "http://www.a.com/q?1", "é" * 600), (6, "http://a.com:80/q?1", "é" * 600), (6, "http://a.com", "é" * 600), (7, "z", "s" * 999), (8, "z", "s" * 999), (9, "z", "y" * 400_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()), key=repr)
