@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.sources.shared import exists, shared_dir, version_of
+from lodestone.sources.shared import exists, remove, shared_dir, version_of
 
 #: Rows of a row group: small ones, as a query wants few terms.
 GROUP_BYTES = 4 << 20
@@ -42,14 +42,18 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts count as rows of length 0; repeated ids are rows of their own.
     """
     project = F.col(project_col).cast("string") if project_col else F.lit("all")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), project.alias("project"), tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
+    spark = docs.sparkSession
+    # Texts are cut into words once; what follows (ranges, lists, sizes) reads those.
+    docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), project.alias("project"), tokens(F.col(text_col)).alias("t")).write.mode("overwrite").parquet(f"{path}/tokens")
+    rows = spark.read.parquet(f"{path}/tokens").withColumn("dl", F.size("t"))
     words = rows.select("row", "id", "project", "dl", F.posexplode("t").alias("at", "term")).withColumn("at", F.col("at") + 1)
     # Dealt by ranges of term and row, so that grouping by both needs no second shuffle.
     dealt = words.repartitionByRange("term", "row")
     lists = dealt.groupBy("term", "row").agg(F.first("id").alias("id"), F.first("project").alias("project"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("at")).alias("at"))
     lists.sortWithinPartitions("term", "row").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     rows.groupBy("project").agg(F.count("*").alias("docs"), F.sum("dl").alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
-    return Postings(docs.sparkSession, path)
+    remove(spark, f"{path}/tokens")
+    return Postings(spark, path)
 
 
 def of_version(spark: SparkSession, tables: list[str], id_col: str, text_col: str, project_col: str | None) -> Postings:

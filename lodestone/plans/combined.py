@@ -24,5 +24,5 @@ def hybrid_with_graph(spark, d):
     held = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_custkey").alias("chunk_id"))
     lists = ret._lists(spark, d)
     third = fusion.graph_list("BUILDING blocks", lists, symbols, held, rel._both_ways(spark, d), 30, rel.TOLERANCE)
-    out = fusion.hybrid_search(ret._docs(spark, d), table(spark, d, "embeddings"), ret.Q_AND, ret._vector(spark, d, 0), limit=10, pool=30, graph=third, index=ret._index(spark, d))
+    out = fusion.hybrid_search(ret._docs(spark, d), table(spark, d, "embeddings"), ret.Q_AND, ret._vector(spark, d, 0), limit=10, pool=30, graph=third, index=ret.index(spark, d))
     return out.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -51,13 +51,13 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _index(spark: SparkSession, d: str) -> postings.Postings:
+def index(spark: SparkSession, d: str) -> postings.Postings:
     """The documents' inverted index: built when first asked for, read by all keyword queries."""
     return postings.of_table(spark, f"{d}/documents.parquet", project_col="source")
 
 
 def _search(spark: SparkSession, d: str, query: str, limit: int = 10, **options) -> DataFrame:
-    return fts.keyword_search(_docs(spark, d), query, limit, index=_index(spark, d), **options)
+    return fts.keyword_search(_docs(spark, d), query, limit, index=index(spark, d), **options)
 
 
 def _done(df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def bm25_single(spark, d):
 
 @query(bm25_sql([(["thing"],), (["eron"],)], "f0 > 0 AND f1 > 0", limit=None) + "SELECT id, round(greatest(0, least(1, -score / (1 + abs(score)))), 6) AS norm FROM hit")
 def bm25_norm(spark, d):
-    return fts.bm25(_docs(spark, d), Q_AND, index=_index(spark, d)).select("id", F.round(tx.normalize_bm25(F.col("score")), 6).alias("norm"))
+    return fts.bm25(_docs(spark, d), Q_AND, index=index(spark, d)).select("id", F.round(tx.normalize_bm25(F.col("score")), 6).alias("norm"))
 
 
 @query(bm25_sql([(["que"],)], "f0 > 0", where="coalesce(lang, 'code') IN ('fr', 'es')") + FIN)
@@ -86,7 +86,7 @@ def bm25_source_filter(spark, d):
 
 @query(bm25_sql([(["thing"],)], "f0 > 0", project="source", per=3) + "SELECT id, project, round(score, 6) AS score FROM hit")
 def bm25_project_stats(spark, d):
-    hits = fts.bm25(_docs(spark, d), "thing", project_col="source", index=_index(spark, d)).withColumn("score", -F.col("score"))
+    hits = fts.bm25(_docs(spark, d), "thing", project_col="source", index=index(spark, d)).withColumn("score", -F.col("score"))
     from pyspark.sql.window import Window
 
     r = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("score"), "id"))
@@ -187,7 +187,7 @@ def rrf_three_way(spark, d):
 
 @query(LISTS + _fused_sql(1.0, 1.2, 10))
 def hybrid_search(spark, d):
-    out = fusion.hybrid_search(_docs(spark, d), table(spark, d, "embeddings"), Q_AND, _vector(spark, d, 0), limit=10, pool=30, index=_index(spark, d))
+    out = fusion.hybrid_search(_docs(spark, d), table(spark, d, "embeddings"), Q_AND, _vector(spark, d, 0), limit=10, pool=30, index=index(spark, d))
     return out.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -23,6 +23,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def version_of(spark: SparkSession, path: str) -> str:
     """Name, size and time of every file of a table: another version has another text."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

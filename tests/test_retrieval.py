@@ -153,7 +153,7 @@ def test_index_follows_its_table(spark, tmp_path):
 def test_postings_are_pruned(spark, sf_dir):
     from lodestone.plans import retrieval
 
-    index = retrieval._index(spark, sf_dir)
+    index = retrieval.index(spark, sf_dir)
     plan = fts.bm25(spark.read.parquet(f"{sf_dir}/documents.parquet"), "thing eron", index=index)._jdf.queryExecution().toString()
     assert "PushedFilters: [Or(In(term" in plan or "PushedFilters: [In(term" in plan
     assert "documents.parquet" not in plan
