@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunkers, drift, extract, fts, fusion, graph, models, postings, relations, snippets
+from lodestone.operators import chunkers, drift, extract, fts, fusion, grammar, graph, models, postings, relations, snippets
 from lodestone.operators.tables import flat_map
 from lodestone.sources import discovery, sinks
 from lodestone.sources.store import Store
@@ -30,7 +30,7 @@ Hook = Callable[[DataFrame], DataFrame]
 
 def parser_digest() -> str:
     """Changes with the code that reads files, so an index made by older code can be told."""
-    return hashlib.sha256("".join(inspect.getsource(m) for m in (extract, chunkers, discovery)).encode()).hexdigest()[:16]
+    return hashlib.sha256("".join(inspect.getsource(m) for m in (extract, grammar, chunkers, discovery)).encode()).hexdigest()[:16]
 
 
 class AccessError(PermissionError):

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import yaml
 from pyspark.sql import DataFrame
 
+from . import grammar
 from .tables import flat_map
 
 
@@ -213,14 +214,8 @@ def chunk_markup(text: str, kind: str = "html") -> list[Chunk]:
     return chunk_plain(visible_text(text), kind)
 
 
-DEFINITION = {
-    "php": r"^\s*(?:abstract |final |public |private |protected |static )*(?:function|class|interface|trait)\s",
-    "javascript": r"^(?:export )?(?:default )?(?:async )?(?:function|class)\s|^(?:export )?(?:const|let|var)\s+\w+\s*=\s*(?:async )?\(",
-    "typescript": r"^(?:export )?(?:default )?(?:abstract )?(?:async )?(?:function|class|interface|enum|type)\s|^(?:export )?(?:const|let|var)\s+\w+\s*=\s*(?:async )?\(",
-    "go": r"^(?:func|type)\s",
-    "swift": r"^(?:public |private |open |final |internal )*(?:func|class|struct|enum|protocol|extension)\s",
-    "ruby": r"^(?:def|class|module)\s",
-}
+#: Symbols that make a chunk of their own.
+DEFINITIONS = {"function", "method", "class", "interface", "trait", "enum", "type"}
 
 
 def _blocks(text: str, language: str) -> list[tuple[int, int, bool]] | None:
@@ -236,14 +231,15 @@ def _blocks(text: str, language: str) -> list[tuple[int, int, bool]] | None:
             first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
             out.append((first, node.end_lineno, isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))))
         return out
-    if language not in DEFINITION:
+    if language not in grammar.READERS:
         return None
-    lines = text.split("\n")
-    starts = [i + 1 for i, line in enumerate(lines) if re.search(DEFINITION[language], line) and (language == "php" or not line[:1].isspace())]
-    if not starts:
-        return [(1, n, False)]
-    out = [(1, starts[0] - 1, False)] if starts[0] > 1 else []
-    return out + [(a, b - 1, True) for a, b in zip(starts, [*starts[1:], n + 1], strict=True)]
+    spans: list[tuple[int, int]] = []
+    for first, last in sorted((s[2], s[3]) for s in grammar.read(language, text).symbols if s[1] in DEFINITIONS):
+        if not spans or first > spans[-1][1]:  # what stands inside another definition belongs to it
+            spans.append((first, last))
+    edges = [0, *[last for _, last in spans]], [*[first for first, _ in spans], n + 1]
+    gaps = [(a + 1, b - 1, False) for a, b in zip(*edges, strict=True) if a + 1 < b]
+    return sorted([*gaps, *[(a, b, True) for a, b in spans]])
 
 
 def chunk_code(text: str, language: str, budget: int = CODE_BUDGET) -> list[Chunk]:

@@ -1,7 +1,8 @@
 """Symbols and references of source files: a registry of extractors behind one table function.
 
-Python is read with its own parser; other languages by line patterns, which find
-definitions, calls, inheritance and events but not every construct of a grammar.
+Python is read with its own parser; TypeScript, JavaScript, PHP, Go, Swift and Ruby token by
+token (``grammar``); other languages by line patterns, which find definitions, calls,
+inheritance and imports but not every construct of a grammar.
 """
 
 from __future__ import annotations
@@ -9,21 +10,15 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 
+from . import grammar
+from .grammar import Found
 from .tables import flat_map
 
 
-@dataclass
-class Found:
-    """symbols: (name, kind, line, end_line, scope, signature); refs: (from_name, to_name, kind, line, subtype)."""
-
-    symbols: list[tuple] = field(default_factory=list)
-    refs: list[tuple] = field(default_factory=list)
-
-
 EXTRACTORS: dict[str, Callable[[str], Found]] = {}
 
 
@@ -69,55 +64,9 @@ def python_file(source: str) -> Found:
     return out
 
 
-# Words that look like calls but are not, and the calls that register or fire events.
+# Words that look like calls but are not.
 NOT_CALLS = set("async await if for while switch catch return function func def class new elif unless until case do guard match foreach array list isset empty echo print include require range len cap make append panic typeof import super puts private public protected attr_accessor attr_reader".split())
-EVENTS = {
-    "typescript": ({"on", "once", "addListener", "addEventListener", "addAction", "addFilter"}, {"emit", "dispatchEvent", "trigger", "doAction", "applyFilters"}),
-    "php": ({"add_action", "add_filter"}, {"do_action", "do_action_ref_array", "apply_filters", "apply_filters_ref_array"}),
-    "swift": ({"addObserver"}, {"post"}),
-    "ruby": ({"subscribe"}, {"instrument"}),
-}
 RULES = {
-    "typescript": [
-        (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"),
-        (r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "class"),
-        (r"^\s*(?:export\s+)?interface\s+(\w+)", "interface"),
-        (r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)", "enum"),
-        (r"^\s*(?:export\s+)?type\s+(\w+)\s*[=<]", "type"),
-        (r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function|\([^)]*\)\s*(?::[^=]+)?=>|\w+\s*=>)", "function"),
-        (r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|readonly\s+|async\s+|get\s+|set\s+)*(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{]+)?\{", "method"),
-        (r"^\s*import\b()", "import"),
-    ],
-    "php": [
-        (r"^\s*(?:abstract\s+|final\s+)*class\s+(\w+)", "class"),
-        (r"^\s*interface\s+(\w+)", "interface"),
-        (r"^\s*trait\s+(\w+)", "trait"),
-        (r"^\s*(?:abstract\s+|final\s+|public\s+|private\s+|protected\s+|static\s+)*function\s+&?(\w+)", "function"),
-        (r"^use\s+()[\w\\]+", "import"),
-    ],
-    "go": [
-        (r"^func\s+\(\s*\w*\s*\*?(?P<scope>\w+)[^)]*\)\s*(\w+)", "method"),
-        (r"^func\s+(\w+)", "function"),
-        (r"^type\s+(\w+)\s+struct", "class"),
-        (r"^type\s+(\w+)\s+interface", "interface"),
-        (r"^type\s+(\w+)\s+=?\s*[\w.*\[\]]+", "type_alias"),
-        (r"^(?:const|var)\s+([A-Za-z]\w*)", "variable"),
-        (r"^import\b()", "import"),
-    ],
-    "swift": [
-        (r"^\s*(?:public\s+|private\s+|open\s+|final\s+|internal\s+)*(?:class|struct)\s+(\w+)", "class"),
-        (r"^\s*(?:public\s+|private\s+|internal\s+)*protocol\s+(\w+)", "interface"),
-        (r"^\s*(?:public\s+|private\s+|internal\s+)*enum\s+(\w+)", "enum"),
-        (r"^\s*(?:public\s+|private\s+|open\s+|static\s+|override\s+|internal\s+|mutating\s+)*func\s+(\w+)", "function"),
-        (r"^import\s+()\w+", "import"),
-    ],
-    "ruby": [
-        (r"^\s*class\s+([A-Z]\w*)", "class"),
-        (r"^\s*module\s+([A-Z]\w*)", "class"),
-        (r"^\s*def\s+(?:self\.)?([\w?!]+)", "function"),
-        (r"^\s*([A-Z][A-Z0-9_]+)\s*=", "variable"),
-        (r"^\s*require(?:_relative)?\s+()", "import"),
-    ],
     "rust": [
         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|union)\s+(\w+)", "class"),
         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum"),
@@ -160,7 +109,7 @@ RULES = {
         (r"^\s*enum\s+(?:class\s+|struct\s+)?(\w+)", "enum"),
         (r"^\s*namespace\s+(\w+)\s*\{", "scope"),
         (r"^(?!\s|return\b|else\b|typedef\b)(?:[\w:<>,*&]+\s+)*[*&]*(?P<scope>\w+)::(~?\w+)\s*\([^;]*$", "method"),
-        (r"^\s*(?!return\b|else\b|typedef\b|throw\b|new\b|delete\b)(?:[\w:<>,*&]+[\s*&]+)+(\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{", "function"),
+        (r"^\s*(?!return\b|else\b|typedef\b|throw\b|new\b|delete\b)(?:[\w:<>,]+[\s*&]+)+(\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{", "function"),
         (r"^\s*#\s*include\b()", "import"),
     ],
 }
@@ -171,28 +120,14 @@ BASES = {
     "kotlin": [],
     "c": [],
     "cpp": [(r"\b(?:class|struct)\s+\w+[^:{]*:\s*(?:(?:public|private|protected|virtual)\s+)*([\w:]+)", "extends")],
-    "typescript": [(r"\bextends\s+([\w.]+)", "extends"), (r"\bimplements\s+([\w.,\s]+?)\s*\{", "implements")],
-    "php": [(r"\bextends\s+([\w\\]+)", "extends"), (r"\bimplements\s+([\w\\,\s]+?)\s*(?:\{|$)", "implements")],
-    "go": [(r"^var\s+_\s+(\w+)\s*=\s*\(\*\w+\)\(nil\)", "implements")],
-    "swift": [],
-    "ruby": [(r"<\s*([A-Z][\w:]*)", "extends"), (r"^\s*(?:include|extend|prepend)\s+([A-Z][\w:]*)", "implements")],
 }
 CALL = re.compile(r"(?:new\s+)?([A-Za-z_]\w*[?!]?)\s*\(")
 CONTAINERS = {"class", "interface", "trait", "enum", "scope"}
 #: Languages whose first base after a colon is a class and whose others are interfaces, and what may stand before it.
 COLON_BASES = {
-    "swift": r"(?:class|struct|enum|extension)\s+\w+\s*:\s*([\w,\s]+)",
     "csharp": r"(?:class|struct|record|interface)\s+\w+(?:<[^>]*>)?\s*:\s*([\w,.\s]+)",
     "kotlin": r"(?:class|object|interface)\s+\w+(?:<[^>]*>)?\s*(?:\([^)]*\))?\s*:\s*([\w,.\s()]+)",
 }
-#: Where a # starts a comment.
-HASH_COMMENTS = {"typescript", "php", "go", "swift"}
-
-
-def first_string(text: str) -> str:
-    """The first string literal of an argument list: an event's name."""
-    m = re.match(r"""[^'"`\n]*?(['"`])(.*?)\1""", text)
-    return m[2] if m else ""
 
 
 def _patterned(language: str):
@@ -200,15 +135,11 @@ def _patterned(language: str):
         out = Found()
         lines = source.split("\n")
         rules = [(re.compile(p), k) for p, k in RULES[language]]
-        registers, fires = EVENTS.get(language, (set(), set()))
         indent_of = lambda s: len(s) - len(s.lstrip())
         scopes: list[tuple[int, str]] = []
         owner, owner_indent = "<module>", -1
         for n, raw in enumerate(lines, 1):
-            if language == "ruby":
-                line = re.sub(r"(?<!\S)#.*", "", raw)
-            else:
-                line = re.sub(r"(?:(?<!:)//|(?<!\S)#(?!\[)).*" if language in HASH_COMMENTS else r"(?<!:)//.*", "", raw)
+            line = re.sub(r"(?<!:)//.*", "", raw)
             if not line.strip():
                 continue
             indent = indent_of(line)
@@ -223,7 +154,7 @@ def _patterned(language: str):
                     continue
                 scope = m.groupdict().get("scope") or (scopes[-1][1] if scopes else "")
                 defined = m[m.lastindex or 0] if kind != "import" else ""
-                kind = "method" if kind == "function" and scope and language != "typescript" else kind
+                kind = "method" if kind == "function" and scope else kind
                 if kind != "scope":
                     out.symbols.append((defined, kind, n, _end(lines, n, indent), scope, raw.rstrip()))
                 if kind in CONTAINERS:
@@ -242,16 +173,8 @@ def _patterned(language: str):
                     out.refs.append((defined, name, "implements" if i else "extends", n, ""))
             for m in CALL.finditer(line):
                 name = m[1]
-                if name in NOT_CALLS or name == defined:
-                    continue
-                if name in registers | fires and (event := first_string(line[m.end() :])):
-                    subtype = "action" if "action" in name.lower() else "filter" if "filter" in name.lower() else ""
-                    out.refs.append((owner, event, "registers_on" if name in registers else "fires", n, subtype))
-                else:
+                if name not in NOT_CALLS and name != defined:
                     out.refs.append((owner, name, "calls", n, ""))
-            typed = re.findall(r"([A-Z]\w*)\s+&?\$\w+|\)\s*:\s*\??([A-Z]\w*)", line) if language == "php" and defined else []
-            for target in [a or b for a, b in typed] + doc_types(raw):
-                out.refs.append((owner, target, "type_reference", n, ""))
         return out
 
     return run
@@ -271,28 +194,17 @@ def _end(lines: list[str], n: int, indent: int) -> int:
     return last
 
 
-PRIMITIVES = set("string number boolean bool int integer float double void null undefined any object mixed array callable iterable self static true false never unknown resource".split())
-
-
-def doc_types(line: str) -> list[str]:
-    """Types named in a JSDoc or PHPDoc tag; unions and generics are taken apart, primitives left out."""
-    m = re.search(r"@(?:param|returns?|type|var|throws)\s+(?:\{([^}]*)\}|([\w\\|<>\[\],]+))", line)
-    if not m:
-        return []
-    names = re.findall(r"[A-Za-z_\\]\w*(?:\\\w+)*", m[1] or m[2])
-    return [x for x in dict.fromkeys(n.rsplit("\\", 1)[-1] for n in names) if x.lower() not in PRIMITIVES]
-
-
 for _language in RULES:
     extractor(_language)(_patterned(_language))
-EXTRACTORS["javascript"] = EXTRACTORS["typescript"]
+for _language in grammar.READERS:
+    EXTRACTORS[_language] = partial(grammar.read, _language)
 
 
 def extract(language: str, source: str) -> Found:
     """What a file holds, with a ``<module>`` symbol for its top level; unknown languages hold only that."""
     try:
         found = EXTRACTORS[language](source) if language in EXTRACTORS else Found()
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         found = Found()
     found.symbols.append(("<module>", "module", 1, None, "", ""))
     return found

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunkers, extract
+from lodestone.operators import chunkers, extract, grammar
 from lodestone.operators import relations
 from lodestone.sources import discovery, sinks
 from lodestone.streaming import incremental
@@ -49,7 +49,7 @@ def test_event_extraction():
     assert [(r[1], r[2], r[4]) for r in php.refs] == [("init", "registers_on", "action"), ("title", "fires", "filter")]
     py = extract.extract("python", "def f():\n    post_save.connect(h)\n    post_save.send(x)\n")
     assert [(r[1], r[2]) for r in py.refs] == [("post_save", "registers_on"), ("post_save", "fires")]
-    assert extract.doc_types("* @param {Foo|string} x") == ["Foo"]
+    assert grammar.doc_types("* @param {Foo|string} x") == ["Foo"]
 
 
 @pytest.mark.parametrize("language,source,names", [
