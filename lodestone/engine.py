@@ -21,7 +21,7 @@ from lodestone.operators.tables import flat_map
 from lodestone.sources import discovery, sinks
 from lodestone.sources.store import Store
 
-DOCUMENT_TYPES = ["markdown", "yaml", "json", "html", "xml", "asset", "text"]
+DOCUMENT_TYPES = ["markdown", "pdf", "yaml", "json", "html", "xml", "text", "txt", "rst", "csv", "tsv", "log", "ini", "cfg", "toml", "conf"]
 PPR_TOLERANCE = 1e-6
 MANIFESTS = ["package.json", "composer.json", "pyproject.toml"]
 SESSION_MINUTES = 30
@@ -38,10 +38,18 @@ class AccessError(PermissionError):
 
 
 class Engine:
-    """hooks: functions applied to the chunks before they are embedded and stored."""
+    """hooks: functions applied to the chunks before they are embedded and stored.
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[], models.Embedder] = models.hashed_embedder, hooks: list[Hook] | None = None):
+    The profile says how the embedder's model wants to be used: whether chunks are embedded
+    with the words of their scope before them, and what keyword hits weigh.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, embedder: Callable[[], models.Embedder] = models.hashed_embedder, hooks: list[Hook] | None = None, profile: str = "hashed"):
         self.spark, self.store, self.embedder, self.hooks = spark, Store(spark, root), embedder, list(hooks or [])
+        found = models.resolve_profile(profile)
+        if found is None:
+            raise ValueError(f"unknown profile {profile}")
+        self.profile = found
 
     # Sessions and scopes
 
@@ -161,7 +169,7 @@ class Engine:
         fresh = discovery.discover(self.spark, place.path, only=opened).withColumn("project", F.lit(project))
         named = [r.path for r in now.filter(tx.basename(F.col("path")).isin(MANIFESTS)).select("path").collect()]
         packages = discovery.package_names(now.select("path"), discovery.manifests(discovery.discover(self.spark, place.path, only=named)))
-        source = fresh.filter("route <> 'asset'").select("path", "route", "language", F.col("content").cast("string").alias("text"))
+        source = fresh.filter("route <> 'asset'").select("path", "route", discovery.source_type(F.col("path")).alias("source_type"), "language", F.col("content").cast("string").alias("text"))
         code = source.filter("route = 'code'").select(F.col("path").alias("file"), "language", F.col("text").alias("content"))
         key = lambda *c: F.xxhash64(F.lit(project), *c)
 
@@ -171,12 +179,12 @@ class Engine:
         owner = symbols.groupBy("path", "name").agg(F.min("id").alias("from_id"))
         refs = refs.join(owner.withColumnRenamed("name", "from_name"), ["path", "from_name"], "left").withColumn("to_id", F.lit(None).cast("bigint"))
 
-        def cut(path, route, language, text):
+        def cut(path, source_type, language, text):
             for n, c in enumerate(chunkers.chunk_file(path, text or "", language)):
-                yield (path, n, c.content, c.start_line, c.end_line, c.heading, c.parent, c.key_path, c.kind, route)
+                yield (path, n, c.content, c.start_line, c.end_line, c.heading, c.parent, c.key_path, c.kind, source_type)
 
         columns = "path string, chunk int, content string, start_line int, end_line int, heading string, parent string, key_path string, kind string, source_type string"
-        chunks = flat_map(source, ["path", "route", "language", "text"], columns, cut)
+        chunks = flat_map(source, ["path", "source_type", "language", "text"], columns, cut)
         width, height = discovery.dimensions(F.col("content"))
         assets = fresh.filter(discovery.asset_class(F.col("path")).isNotNull()).select(
             "path", F.lit(-1).alias("chunk"), discovery.asset_text(F.col("path"), F.col("size"), width, height).alias("content"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
@@ -194,7 +202,12 @@ class Engine:
         self.store.write("chunks", without("chunks").unionByName(as_stored("chunks", chunks)), project)
         stored = self.store.read("chunks", project)
         keep = self.store.read("embeddings", project).join(kept_chunks, "id", "left_semi")
-        new = models.embed(stored.join(kept_chunks, "id", "left_anti").select("id", "project", "content"), "content", self.embedder).drop("content")
+        fresh_chunks = stored.join(kept_chunks, "id", "left_anti")
+        texts = fresh_chunks.select("id", "project", "content")
+        if self.profile.scope_prefix:
+            scopes = relations.scope_prefix(fresh_chunks.withColumn("file_id", F.col("path")), self.store.read("symbols", project).withColumn("file_id", F.col("path")))
+            texts = texts.join(scopes, "id").withColumn("content", F.concat("prefix", "content")).drop("prefix")
+        new = models.embed(texts, "content", self.embedder).drop("content")
         self.store.write("embeddings", keep.unionByName(new), project)
         self._resolve(project, without("refs").unionByName(as_stored("refs", refs)))
         files = without("files").drop("package").unionByName(fresh.select([c for c in self.store.read("files", project).columns if c != "package"]))
@@ -231,13 +244,15 @@ class Engine:
 
     # Tools
 
-    def search(self, query: str, limit: int = 10, session: str | None = None, source_types: list[str] | None = None, language: str | None = None, weights: dict[str, float] | str | None = None, advanced: bool = False, expand: bool = False, rerank: bool = False, file_boost: float = 0.0, penalty: float = 0.0, one_per_file: bool = False, symbol_boost: float = 0.0, graph_signal: bool = False, mode: str | None = None) -> DataFrame:
+    def search(self, query: str, limit: int = 10, session: str | None = None, source_types: list[str] | None = None, language: str | None = None, weights: dict[str, float] | str | None = None, advanced: bool = False, expand: bool = False, rerank: bool = False, file_boost: float = 0.0, penalty: float = 0.0, one_per_file: bool = False, symbol_boost: float = 0.0, graph_signal: bool = False, mode: str | None = None, snippet: str = "lines", max_depth: int | None = None, by_meaning: bool = False) -> DataFrame:
         """Hybrid search over the permitted projects: rank, project, path, lines, score, sources, docid, trusted, snippet line.
 
         Keywords are looked up in the inverted index of the chunks in force, with statistics
         of each project. ``weights`` may be text (keyword=1.5,semantic=1.0); ``mode`` (lex,
         vec, hyde or several, comma-separated) overrides a prefix; ``graph_signal`` adds the
-        gated PageRank list, which is off by default.
+        gated PageRank list, which is off by default. ``snippet`` is lines (around the best
+        line, under what encloses it), full (all that encloses it) or none; ``by_meaning``
+        chooses the best line by the cosine of three lines with the query instead of by words.
         """
         chunks = self._seen("chunks", session)
         if language:
@@ -246,6 +261,10 @@ class Engine:
         if kind is not None:
             chunks = chunks.filter(kind)
         vectors = self._seen("embeddings", session).join(chunks.select("id"), "id", "left_semi")
+        if snippet not in ("lines", "full", "none"):
+            raise ValueError(f"snippet is lines, full or none, not {snippet!r}")
+        if weights is None and self.profile.keyword_weight != 1:
+            weights = {"keyword": self.profile.keyword_weight}
         clean, kinds = fts.split_prefix(query)
         if mode:
             kinds = [m.strip().lower() for m in mode.split(",")]
@@ -265,10 +284,20 @@ class Engine:
         if rerank:
             rows = models.lexical_rerank(rows, clean, "content", limit)
             rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank_score"), "rank")))
-        best = snippets.best_lines(rows, clean, id_col="id", text_col="content").select("id", "line_no")
+        rows = graph.cut(rows)  # a limited list, which the steps below read several times
+        if by_meaning:
+            best = snippets.nearest_lines(rows, vector or models.embed_query(clean, self.embedder()), self.embedder, "id", "content")
+        else:
+            best = snippets.best_lines(rows, clean, id_col="id", text_col="content").select("id", "line_no")
         out = rows.join(best, "id", "left")
+        shown = []
+        if snippet != "none":
+            out = snippets.rendered(out, self._seen("symbols", session), ["project", "path"], max_depth=max_depth, full=snippet == "full")
+            shown = ["snippet", "snippet_start", "snippet_end", "ancestors"]
         self._audit("search", session)
-        return out.select("rank", "id", "project", "path", "start_line", "end_line", "score", "sources", tx.docid(F.col("content")).alias("docid"), (F.coalesce("source_type", F.lit("code")) == "code").alias("trusted"), (F.col("start_line") + F.col("line_no")).alias("best_line"), "content").orderBy("rank")
+        trusted = (F.coalesce("source_type", F.lit("code")) == "code").alias("trusted")
+        line = (F.col("start_line") + F.col("line_no")).alias("best_line")
+        return out.select("rank", "id", "project", "path", "start_line", "end_line", "score", "sources", tx.docid(F.col("content")).alias("docid"), trusted, line, "content", *shown).orderBy("rank")
 
     def _graph_list(self, query: str, lists: list[DataFrame], chunks: DataFrame, session: str | None, limit: int) -> DataFrame | None:
         symbols = self._seen("symbols", session)

@@ -29,15 +29,38 @@ class Profile:
     keyword_weight: float = 1.0
     chunk_budget: int = 50_000
     scope_prefix: bool = False
-
-
-PROFILES = {"hashed": Profile("hashed", 64)}
+    model: str = ""
+
+
+# Name, model, dimensions, longest input, whether the scope prefix helps, weight of keyword hits.
+KNOWN = [
+    ("bge-small", "BAAI/bge-small-en-v1.5", 384, 512, False, 1.0),
+    ("bge-base", "BAAI/bge-base-en-v1.5", 768, 512, True, 1.0),
+    ("gte-base", "thenlper/gte-base", 768, 512, False, 1.0),
+    ("arctic-xs", "Snowflake/snowflake-arctic-embed-xs", 384, 512, False, 1.0),
+    ("nomic-v1.5", "nomic-ai/nomic-embed-text-v1.5", 768, 8192, True, 1.0),
+    ("jina-code", "jinaai/jina-embeddings-v2-base-code", 768, 8192, True, 1.0),
+    ("coderank", "nomic-ai/CodeRankEmbed", 768, 8192, True, 1.0),
+    ("nomic-http", "nomic-embed", 768, 8192, True, 0.0),
+    ("qwen3-http", "qwen3-embed", 1024, 8192, True, 1.0),
+    ("nomic-code-http", "nomic-embed-code", 3584, 8192, True, 0.0),
+    ("coderank-http", "code-rank-embed", 768, 8192, True, 0.0),
+]
+PRESETS = {"default": "bge-small"}
+PROFILES = {"hashed": Profile("hashed", 64)} | {n: Profile(n, d, t, w, scope_prefix=p, model=m) for n, m, d, t, p, w in KNOWN}
 
 
 def register_profile(profile: Profile) -> None:
     PROFILES[profile.name] = profile
 
 
+def resolve_profile(model: str | None = None, preset: str | None = None) -> Profile | None:
+    """A profile by its name or its model's, else by a preset, else none; an unknown model has none."""
+    if model:
+        return PROFILES.get(model) or next((p for p in PROFILES.values() if p.model == model), None)
+    return PROFILES.get(PRESETS.get(preset or "", ""))
+
+
 def hashed_embedder(dimensions: int = 64) -> Embedder:
     """Signed feature hashing of words: deterministic, without a model."""
 

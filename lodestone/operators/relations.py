@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import text as tx
 from lodestone.functions.text import glob_to_like
 
 REGISTERS, FIRES = "registers_on", "fires"
@@ -46,12 +47,25 @@ def symbols_in_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.array_sort(F.collect_list("sid")).alias("symbol_ids"))
 
 
-def overlapping_scope(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """chunk id with the first class and method whose lines overlap the chunk's."""
-    s = symbols.select(F.col("id").alias("sid"), F.col("file_id").alias("sf"), F.col("name"), F.col("kind"), F.col("line"), F.col("end_line").alias("stop"))
-    met = chunks.join(s, (F.col("file_id") == F.col("sf")) & (F.col("line") <= F.col("end_line")) & (F.col("stop") >= F.col("start_line")))
-    at = F.struct("line", "sid")
-    return met.groupBy("id").agg(F.min_by(F.when(F.col("kind") == "class", F.col("name")), F.when(F.col("kind") == "class", at)).alias("class"), F.min_by(F.when(F.col("kind") == "method", F.col("name")), F.when(F.col("kind") == "method", at)).alias("method"))
+def scope_prefix(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """chunk id and the words that tell a model where the chunk stands: ``X class, m method in file: ``.
+
+    chunks: id, file_id, path, start_line, end_line; symbols: file_id, name, kind, scope,
+    line, end_line (null: one line). The first class and the first function or method whose
+    lines overlap the chunk's are named, the method's own class if no class overlaps; a chunk
+    that only other symbols overlap gets the file's name, a chunk without any an empty prefix.
+    """
+    s = symbols.filter("kind <> 'module'").select(F.col("file_id").alias("sf"), "name", "kind", "scope", "line", F.coalesce("end_line", "line").alias("stop"))
+    own = chunks.select("id", "file_id", "path", "start_line", "end_line")
+    met = own.join(s, (F.col("file_id") == F.col("sf")) & (F.col("line") <= F.col("end_line")) & (F.col("stop") >= F.col("start_line")), "left")
+    at = F.struct("line", (F.col("line") - F.col("stop")).alias("span"), "name")
+    is_class, is_method = F.col("kind") == "class", F.col("kind").isin("method", "function")
+    first = lambda what, which: F.min_by(F.when(which, F.col(what)), F.when(which, at))
+    found = met.groupBy("id").agg(F.first("path").alias("path"), F.count("sf").alias("n"), first("name", is_class).alias("of"), first("name", is_method).alias("method"), first("scope", is_method).alias("scope"))
+    owner = F.coalesce("of", F.when(F.col("scope") != "", F.col("scope")))
+    words = F.concat_ws(", ", F.concat(owner, F.lit(" class")), F.concat(F.col("method"), F.lit(" method")))
+    file = F.concat(tx.basename(F.col("path")), F.lit(": "))
+    return found.select("id", F.when(F.col("n") == 0, "").when(words == "", file).otherwise(F.concat(words, F.lit(" in "), file)).alias("prefix"))
 
 
 def symbol_chunks(chunks: DataFrame) -> DataFrame:
@@ -218,6 +232,12 @@ def mean_metrics(per_query: DataFrame, categories: DataFrame) -> DataFrame:
     return named.rollup("category").agg(F.count("*").alias("queries"), F.grouping("category").alias("__all"), *means).withColumn("category", F.when(F.col("__all") == 0, F.col("category"))).drop("__all")
 
 
+def blended_metrics(per_query: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row: categories, and each measure's mean over the categories' means, in which every category weighs alike."""
+    means = mean_metrics(per_query, categories).filter("category is not null")
+    return means.agg(F.count("*").alias("categories"), *[F.avg(m).alias(m) for m in MEASURES])
+
+
 def symbol_projects(symbols: DataFrame) -> DataFrame:
     """name, definitions and the sorted projects that define it."""
     return symbols.filter("name <> ''").groupBy("name").agg(F.count("*").alias("definitions"), F.array_sort(F.collect_set("project")).alias("projects"))

@@ -414,3 +414,26 @@ def build_edges(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("file"), F.concat(F.lit("e"), "event_type").alias("from_name"), F.concat(F.lit("e"), (F.floor("value") % 3).cast("string")).alias("to_name"), F.lit("calls").alias("kind"))
     files = e.select("file").distinct().select("file", F.explode(F.array(F.lit("e0"), F.lit("e1"))).alias("name"), F.lit("").alias("scope"))
     return graph.build_edges(e, files)
+
+
+SCOPES = """
+WITH s AS (SELECT l_orderkey AS f, l_linenumber AS line, l_linenumber + CAST(l_quantity AS INT) % 3 AS stop, 'p' || l_partkey AS name,
+  CASE l_returnflag WHEN 'A' THEN 'class' WHEN 'N' THEN 'method' ELSE 'import' END AS kind, CASE WHEN l_linestatus = 'O' THEN 's' || l_suppkey ELSE '' END AS scope FROM lineitem),
+c AS (SELECT o_orderkey AS id, 1 + o_custkey % 4 AS a FROM orders),
+m AS (SELECT id, count(f) AS n, arg_min(name, (line, line - stop, name)) FILTER (kind = 'class') AS of, arg_min(name, (line, line - stop, name)) FILTER (kind = 'method') AS method,
+  arg_min(scope, (line, line - stop, name)) FILTER (kind = 'method') AS scope FROM c LEFT JOIN s ON f = id AND line <= a + 1 AND stop >= a GROUP BY id),
+w AS (SELECT id, n, concat_ws(', ', coalesce(of, nullif(scope, '')) || ' class', method || ' method') AS words FROM m)
+SELECT id, CASE WHEN n = 0 THEN '' WHEN words = '' THEN id || '.py: ' ELSE words || ' in ' || id || '.py: ' END AS prefix FROM w"""
+
+
+@query(SCOPES)
+def scope_prefixes(spark, d):
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    kind = F.when(F.col("l_returnflag") == "A", "class").when(F.col("l_returnflag") == "N", "method").otherwise("import")
+    symbols = items.select(
+        F.col("l_orderkey").alias("file_id"), F.concat(F.lit("p"), "l_partkey").alias("name"), kind.alias("kind"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("s"), "l_suppkey")).otherwise("").alias("scope"),
+        F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("end_line"),
+    )
+    start = 1 + F.col("o_custkey") % 4
+    chunks = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("file_id"), F.concat(F.lit("src/"), "o_orderkey", F.lit(".py")).alias("path"), start.alias("start_line"), (start + 1).alias("end_line"))
+    return relations.scope_prefix(chunks, symbols)

@@ -295,6 +295,12 @@ def metrics_by_category(spark, d):
     return relations.mean_metrics(_metrics(spark, d), categories).select("category", "queries", *[F.round(m, 6).alias(m) for m in relations.MEASURES])
 
 
+@query(METRICS + f", m AS (SELECT label, {', '.join(f'avg({m}) AS {m}' for m in relations.MEASURES)} FROM ({PER_QUERY}) m JOIN embeddings ON vec_id = query_id GROUP BY label) SELECT count(*) AS categories, {', '.join(f'round(avg({m}), 6) AS {m}' for m in relations.MEASURES)} FROM m")
+def metrics_blended(spark, d):
+    categories = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
+    return relations.blended_metrics(_metrics(spark, d), categories).select("categories", *[F.round(m, 6).alias(m) for m in relations.MEASURES])
+
+
 @query("SELECT label, count(*) AS n, round(avg(x), 6) AS mean_norm FROM (SELECT label, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) AS x FROM embeddings) GROUP BY label")
 def mean_norm_by_label(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(unit_norm(F.col("embedding"))), 6).alias("mean_norm"))

@@ -26,7 +26,7 @@ LANGUAGES = {
     "python": ["py"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs"], "php": ["php"], "go": ["go"], "swift": ["swift"], "ruby": ["rb"],
     "rust": ["rs"], "java": ["java"], "csharp": ["cs"], "kotlin": ["kt"], "c": ["c", "h"], "cpp": ["cpp", "cc", "hpp"],
 }
-ROUTES = {"markdown": ["pdf", "md", "mdx"], "yaml": ["yaml", "yml"], "json": ["json"], "html": ["html", "htm"], "xml": ["xml", "xsl", "xslt", "svg"], "text": ["txt", "rst", "csv", "tsv", "ini", "cfg", "toml", "conf"]}
+ROUTES = {"markdown": ["pdf", "md", "mdx"], "yaml": ["yaml", "yml"], "json": ["json"], "html": ["html", "htm"], "xml": ["xml", "xsl", "xslt", "svg"], "text": ["txt", "rst", "csv", "tsv", "log", "ini", "cfg", "toml", "conf"]}
 ASSETS = {
     "image": ["png", "jpg", "jpeg", "gif", "bmp", "webp", "ico", "tiff", "heif", "heic", "avif", "svg"],
     "video": ["mp4", "mkv", "webm", "avi", "mov", "flv"],
@@ -89,6 +89,12 @@ def route(path: Column) -> Column:
     return F.coalesce(F.when(language(path).isNotNull(), F.lit("code")), _by_extension(ext, ROUTES), F.when(_by_extension(ext, ASSETS).isNotNull(), F.lit("asset")))
 
 
+def source_type(path: Column) -> Column:
+    """What a search may be restricted to: the route, but the extension of plain text files, and pdf."""
+    ext = tx.extension(path)
+    return F.when((route(path) == "text") | (ext == "pdf"), ext).otherwise(route(path))
+
+
 def asset_class(path: Column) -> Column:
     return _by_extension(tx.extension(path), ASSETS)
 

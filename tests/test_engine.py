@@ -119,6 +119,50 @@ def test_search_options(engine):
     assert [r.id for r in e.search("helper", 10, graph_signal=True).collect()] == [r.id for r in e.search("helper", 10).collect()]  # sparse: the gate is shut
 
 
+def test_snippets_profiles_and_document_types(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "m.py").write_text("class Shop:\n    def open(self):\n        lamp = 1\n        return lamp\n\n    def close(self):\n        return 2\n")
+    (tmp_path / "p" / "n.txt").write_text("a note about the lamp\n")
+    seen = []
+
+    def embedder():
+        from lodestone.operators.models import hashed_embedder
+
+        return hashed_embedder()
+
+    e = Engine(spark, f"file://{tmp_path}/store", embedder, [lambda c: seen.append(1) or c], profile="BAAI/bge-base-en-v1.5")
+    assert e.profile.name == "bge-base" and e.profile.scope_prefix
+    with pytest.raises(ValueError):
+        Engine(spark, f"file://{tmp_path}/store", profile="none such")
+    e.register_project("p", f"file://{tmp_path}/p")
+    e.reindex("p")
+    row = {r.path: r for r in e.search("lamp", 5, by_meaning=True).collect()}["m.py"]
+    assert [a.name for a in row.ancestors] == ["Shop", "open"] and row.snippet.startswith("1 | class Shop:") and row.best_line in (2, 3, 4)
+    row = {r.path: r for r in e.search("lamp", 5, max_depth=1, snippet="full").collect()}["m.py"]
+    assert row.snippet == "2 |     def open(self):\n3 |         lamp = 1\n4 |         return lamp" and [a.name for a in row.ancestors] == ["open"]
+    assert [r.path for r in e.doc_search("lamp", 5, formats=["txt"], snippet="none").collect()] == ["n.txt"]
+    stored = {r.id: r.embedding for r in e.store.read("embeddings").collect()}
+    for c in e.store.read("chunks").collect():
+        prefix = "Shop class, open method in m.py: " if c.path == "m.py" else ""
+        assert stored[c.id] == pytest.approx(embedder()([prefix + c.content])[0].tolist())
+
+
+def test_settings_by_precedence(tmp_path, monkeypatch):
+    from lodestone.sources import config
+
+    file = tmp_path / "c.toml"
+    file.write_text("nice = 3\nstore = 'x'\n")
+    read = config.load(str(file))
+    assert config.setting("store", None, read) == "x" and config.setting("store", "y", read) == "y"
+    assert config.nice_value(None, read) == 3 and config.nice_value(0, read) is None and config.nice_value(None, {}) == 10
+    monkeypatch.setenv("LODESTONE_NICE", "5")
+    assert config.nice_value(None, read) == 5 and config.nice_value(7, read) == 7
+    monkeypatch.setenv("LODESTONE_NICE", "many")
+    assert config.nice_value(None, read) == 3
+    file.write_text("= broken")
+    assert config.load(str(file)) == {} and config.load(str(tmp_path / "none")) == {}
+
+
 def test_graph_signal_behind_its_gates(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/store")
     lines = ["def base():\n    return 1\n", "def central():\n    return base()\n"] + [f"def f{i}():\n    base()\n    return central()\n" for i in range(110)]

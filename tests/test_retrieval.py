@@ -65,7 +65,36 @@ def test_short_circuit(spark):
 def test_snippets(spark):
     docs = spark.createDataFrame([(1, "a\nfox here\nfox and hound\nz"), (2, "")], "doc_id long, text string")
     assert {r.id: r.line_no for r in snippets.best_lines(docs, "fox hound").collect()} == {1: 2, 2: 0}
-    assert snippets.render(["a", "b", "c"], 1, 0, ["class X", "def y"], 1) == "def y\n  ...\nb"
+    near = [snippets.Enclosing(2, 40, "class X:"), snippets.Enclosing(10, 30, "    def y(self):")]
+    assert snippets.render(["a", "b", "c"], 1, 20, 0, near) == (" 2 | class X:\n         ...  (7 lines)\n10 |     def y(self):\n             ...  (10 lines)\n21 | b\n             ...  (9 lines)", 21, 21)
+    assert snippets.render(["a", "b", "c"], 1, 20, 0, near, max_depth=1)[0] == "10 |     def y(self):\n         ...  (10 lines)\n21 | b\n         ...  (9 lines)"
+    assert snippets.render(["a", "b", "c"], 1, 9, 0, near, 1, full=True) == ("10 | b\n11 | c", 10, 30)
+    assert snippets.render(["a", "b", "c"], 1, 9) == (" 9 | a\n10 | b\n11 | c", 9, 11)
+
+
+def test_nearest_lines_equal_brute_force(spark):
+    import numpy as np
+
+    from lodestone.operators.models import hashed_embedder
+
+    assert snippets.windows(list("abcd")) == ["a\nb\nc", "a\nb\nc", "b\nc\nd", "b\nc\nd"] and snippets.windows(["a"]) == ["a"]
+    texts = {1: "one two\nthree fox\nfox hound\nhound\nfive\nsix", 2: "", 3: None, 4: "hound"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    embed = hashed_embedder()
+    q = embed(["fox hound"])[0]
+    want = {}
+    for i, t in texts.items():
+        if t is not None:
+            lines = t.split("\n")
+            scores = []
+            for n in range(len(lines)):
+                a = max(0, n - 1)
+                b = min(len(lines), a + 3)
+                a = max(0, b - 3) if b - a < 3 else a
+                v = embed(["\n".join(lines[a:b])])[0]
+                scores.append(float(v @ q) / (float(np.linalg.norm(v) * np.linalg.norm(q)) + 1e-9))
+            want[i] = int(np.argmax(np.round(scores, 9)))
+    assert {r.id: r.line_no for r in snippets.nearest_lines(docs, q.tolist(), hashed_embedder).collect()} == want
 
 
 def test_symbol_fallback_only_without_exact_match(spark):
