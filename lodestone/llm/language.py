@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import add_columns, prepare, scratch, sliced, unused, written
+from .shared import add_columns, discard, prepare, scratch, sliced, unused, written
 
 DIMENSIONS = 1024
 SEED = 20240229
@@ -24,9 +24,11 @@ SEED = 20240229
 HELD_TRIGRAMS = 32768
 #: Prototypes that a task holds at once (DIMENSIONS numbers each); more are met in blocks.
 BLOCK_LANGUAGES = 2048
-#: A language is learned if it has at least this part of the documents that teach, so there are at most so many.
-LEARNED = 65536
+#: If set, only languages with at least one in so many of the documents that teach are learned; by default all are.
+LEARNED: int | None = None
 UNKNOWN = "und"
+#: Less than any cosine.
+NO_COSINE = -2.0
 _MASK = np.uint64((1 << 21) - 1)
 
 
@@ -92,10 +94,10 @@ class Space:
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Iterator[dict[str, list[int]]]:
     """The bundle of all documents of each language, in blocks of BLOCK_LANGUAGES in alphabetical order.
 
-    Null texts and languages teach nothing, nor do languages with less than a LEARNED-th of
-    the documents that teach (stray values). Each task adds up its own documents, Spark adds
-    up the tasks' sums dimension by dimension; only one block of languages x dimensions
-    numbers is on the driver at a time.
+    Every language is learned, however many there are and however rare; null texts and
+    languages teach nothing, nor do texts without a letter. Each task adds up its own
+    documents, Spark adds up the tasks' sums dimension by dimension; the bundles are written
+    in alphabetical order, so that only one block of them is on the driver at a time.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -125,42 +127,45 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         yield from flush()
 
     sums = written(slim.mapInArrow(run, "lang string, dim int, v bigint").groupBy("lang", "dim").agg(F.sum("v").alias("v")), "language-sums")
-    counts = sums.filter("dim = -1")
-    total = counts.agg(F.sum("v")).first()[0] or 0
-    langs = sorted(r.lang for r in counts.filter(F.col("v") * LEARNED >= total).collect())  # at most LEARNED
-    for i in range(0, len(langs), BLOCK_LANGUAGES):
-        block = spark.createDataFrame([(x,) for x in langs[i : i + BLOCK_LANGUAGES]], "lang string")
-        vectors = sums.filter("dim >= 0").join(F.broadcast(block), "lang").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("p"))
-        yield {r.lang: r.v for r in vectors.select("lang", "p.v").collect() if any(r.v)}
-
-
-def predict(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str = "text", known: tuple[str, str] | None = None) -> DataFrame:
-    """Add lang_pred and score (cosine with that language's prototype, 0 to 1) to every document.
-
-    A null text, a text without a letter, or a call without prototypes gives ``und`` and
-    score 0. Equal cosines go to the language first in alphabetical order. Texts are read
-    whole. ``known`` names the columns of an earlier block's answer and cosine, which stay
-    unless this block has a larger cosine. Repeated rows get equal answers, an empty table
-    an empty result; other columns pass and those named like the operator's own are replaced.
+    entries = F.sort_array(F.collect_list(F.struct("dim", "v")))
+    bundles = sums.groupBy("lang").agg(entries.alias("p")).select("lang", F.col("p.v")[0].alias("docs"), F.slice("p.v", 2, dimensions).alias("p"))
+    bundles = written(bundles.repartitionByRange("lang").sortWithinPartitions("lang"), "language-bundles")
+    if LEARNED is not None:
+        total = bundles.agg(F.sum("docs")).first()[0] or 0
+        bundles = bundles.filter(F.col("docs") * LEARNED >= total)
+    rest = bundles
+    while langs := [r.lang for r in rest.select("lang").orderBy("lang").limit(BLOCK_LANGUAGES).collect()]:
+        block = bundles.filter(F.col("lang").between(langs[0], langs[-1]))
+        if found := {r.lang: r.p for r in block.select("lang", "p").collect() if any(r.p)}:
+            yield found
+        rest = bundles.filter(F.col("lang") > langs[-1])
+
+
+def _nearest(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str, known: tuple[str, str] | None = None) -> DataFrame:
+    """Add lang_pred and score, the plain cosine, NO_COSINE where there is none.
+
+    ``known`` names the columns of an earlier block's answer and cosine, which stay unless
+    this block has a larger cosine. Cosines are told apart by twelve decimals, so that
+    languages with one prototype tie wherever these stand in a block, or in which block.
     """
     names = sorted(prototypes)
+    dimensions = len(prototypes[names[0]]) if names else DIMENSIONS
+    m = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), dimensions)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
 
     def make():
-        first = prototypes[names[0]] if names else [0] * DIMENSIONS
-        space = Space(len(first))
-        m = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), len(first))
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        space = Space(dimensions)
 
         def work(texts, *before):
             langs, scores = [], []
             for i, t in enumerate(texts):
                 keys = space.trigrams(t)
-                lang, score = (before[0][i], before[1][i]) if before else (UNKNOWN, -1.0)
+                lang, score = (before[0][i], before[1][i]) if before else (UNKNOWN, NO_COSINE)
                 if len(keys) and names:
                     v = space.bundle(keys, damped=True)
-                    cosines = m @ (v / (np.linalg.norm(v) or 1.0))
+                    cosines = np.round(m @ (v / (np.linalg.norm(v) or 1.0)), 12)
                     k = int(cosines.argmax())
-                    if lang == UNKNOWN or cosines[k] > score:
+                    if cosines[k] > score:
                         lang, score = names[k], float(cosines[k])
                 langs.append(lang)
                 scores.append(score)
@@ -169,7 +174,22 @@ def predict(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str = "
         return work
 
     fields = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())]
-    return add_columns(docs, [text_col, *(known or ())], fields, make).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")))
+    return add_columns(docs, [text_col, *(known or ())], fields, make)
+
+
+def _from_0_to_1(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")))
+
+
+def predict(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str = "text") -> DataFrame:
+    """Add lang_pred and score (cosine with that language's prototype, 0 to 1) to every document.
+
+    A null text, a text without a letter, or a call without prototypes gives ``und`` and
+    score 0. Equal cosines go to the language first in alphabetical order. Texts are read
+    whole. Repeated rows get equal answers, an empty table an empty result; other columns
+    pass and those named like the operator's own are replaced.
+    """
+    return _from_0_to_1(_nearest(docs, prototypes, text_col))
 
 
 def held_out(id_col: Column) -> Column:
@@ -184,11 +204,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     i, text = F.col(f"`{id_col}`"), unused(docs, "__t")
     slim = docs.select(i.alias(id_col), F.col(f"`{text_col}`").alias(text), held_out(i).alias("held_out"))
-    out = None
+    out, known, last = slim, None, None
     with scratch(docs.sparkSession) as keep:
         for block in learn_prototypes(docs.filter(~held_out(i)), text_col, lang_col):
-            if out is None:
-                out = predict(slim, block, text)
-            else:  # an earlier block's answers are written, so that no stage runs more than one block
-                out = predict(keep(written(out, "language-block")), block, text, ("lang_pred", "score"))
-    return (predict(slim, {}, text) if out is None else out).drop(text)
+            if known:  # an earlier block's answers are written, so that no stage runs more than one block
+                before, last = last, written(out, "language-block")
+                if before:
+                    discard(docs.sparkSession, [before.table_path])
+                out = last
+            out, known = _nearest(out, block, text, known), ("lang_pred", "score")
+        if last:
+            keep(last)
+    return _from_0_to_1(out if known else _nearest(slim, {}, text)).drop(text)

@@ -348,6 +348,40 @@ def test_stray_languages_are_not_learned(spark, monkeypatch):
     assert [sorted(b) for b in lang.learn_prototypes(docs)] == [["en"]]
 
 
+def test_a_language_of_one_document_in_many_is_learned(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "if(id = 6, 'zyx wvu', 'plain words') AS text", "if(id = 6, 'rare', 'en') AS lang")
+    assert docs.filter(~lang.held_out(docs.doc_id)).count() > 65536
+    got = lang.identify(docs).filter("doc_id < 10").collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(i, "rare" if i == 6 else "en") for i in range(10)}
+
+
+@pytest.mark.parametrize("held", [2048, 1, 2])
+def test_many_languages_equal_one_comparison(spark, monkeypatch, held):
+    """A learned language named und, equal prototypes, and cosines below 0 are judged alike in any blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(lang, "BLOCK_LANGUAGES", held)
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(30)) + "x", f"l{i % 37:02}") for i in range(80)]
+    rows += [(90, "words here", "und"), (91, "words here", "zz"), (92, "words here words here", "zzz")]
+    rows += [(200 + i, "".join(rng.choice("стуф") for _ in range(3)), None) for i in range(20)] + [(300, "words here", None), (301, None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = {r.doc_id for r in docs.filter(~lang.held_out(docs.doc_id)).collect()}
+    space, sums = lang.Space(), {}
+    for i, t, name in rows:
+        if i in taught and name and t:
+            sums[name] = sums.get(name, 0) + space.bundle(space.trigrams(t))
+    assert len(sums) > 30
+    for r in lang.identify(docs).collect():
+        t = next(t for i, t, _ in rows if i == r.doc_id)
+        if t is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = space.bundle(space.trigrams(t), damped=True)
+        cos = {k: round(float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), 10) for k, p in sums.items()}
+        assert r.lang_pred == max(sorted(cos), key=cos.get) and abs(r.score - max(0, max(cos.values()))) < 1e-9
+
+
 def test_prototypes_equal_brute_force(spark):
     """Bundles and cosines against the definition, trigram by trigram."""
     import numpy as np
