@@ -29,6 +29,8 @@ LEARNED: int | None = None
 UNKNOWN = "und"
 #: Less than any cosine.
 NO_COSINE = -2.0
+#: Cosines no further apart are equal: far above what rounding does, far below what a letter does.
+SAME_COSINE = 1e-12
 _MASK = np.uint64((1 << 21) - 1)
 
 
@@ -145,7 +147,7 @@ def _nearest(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str, k
     """Add lang_pred and score, the plain cosine, NO_COSINE where there is none.
 
     ``known`` names the columns of an earlier block's answer and cosine, which stay unless
-    this block has a larger cosine. Cosines are told apart by twelve decimals, so that
+    this block has a larger cosine. Cosines that differ by rounding only are equal, so that
     languages with one prototype tie wherever these stand in a block, or in which block.
     """
     names = sorted(prototypes)
@@ -157,18 +159,16 @@ def _nearest(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str, k
         space = Space(dimensions)
 
         def work(texts, *before):
-            langs, scores = [], []
-            for i, t in enumerate(texts):
-                keys = space.trigrams(t)
-                lang, score = (before[0][i], before[1][i]) if before else (UNKNOWN, NO_COSINE)
-                if len(keys) and names:
-                    v = space.bundle(keys, damped=True)
-                    cosines = np.round(m @ (v / (np.linalg.norm(v) or 1.0)), 12)
-                    k = int(cosines.argmax())
-                    if cosines[k] > score:
-                        lang, score = names[k], float(cosines[k])
-                langs.append(lang)
-                scores.append(score)
+            langs, scores = map(list, before) if before else ([UNKNOWN] * len(texts), [NO_COSINE] * len(texts))
+            keys = {i: k for i, t in enumerate(texts) if names and len(k := space.trigrams(t))}
+            bundles = [space.bundle(k, damped=True) for k in keys.values()]
+            units = np.array([v / (np.linalg.norm(v) or 1.0) for v in bundles]).reshape(len(bundles), dimensions)
+            cosines = units @ m.T
+            for i, v, row in zip(keys, units, cosines, strict=True):
+                k = int((row >= row.max() - SAME_COSINE).argmax())
+                score = float(m[k] @ v)  # on its own: equal texts get equal scores, wherever they stand in a batch
+                if score > scores[i] + SAME_COSINE:
+                    langs[i], scores[i] = names[k], score
             return [langs, scores]
 
         return work
