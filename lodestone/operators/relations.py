@@ -212,7 +212,24 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Da
     """Per query: reciprocal rank, NDCG@k (binary), hit@1/3/5/k. ranked: query_id, id, rank; relevant: query_id, id."""
     rel = relevant.select("query_id", "id").distinct()
     hits = ranked.filter(F.col("rank") <= k).join(rel.withColumn("good", F.lit(1)), ["query_id", "id"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    totals = rel.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    return _measures(hits, rel.groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
+
+
+def label_metrics(ranked: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+    """The same where a row is relevant to the queries of its label: queries meet a count by label, never all rows of it.
+
+    ranked: query_id, id, rank; labels: id, label, of the queries as well. Labels of null are relevant to nothing.
+    """
+    known = labels.select("id", "label").filter("label is not null").distinct()
+    asked = ranked.filter(F.col("rank") <= k)
+    own = asked.select("query_id").distinct().join(known.withColumnRenamed("id", "query_id"), "query_id")
+    totals = own.join(known.groupBy("label").agg(F.count("*").alias("n")), "label").groupBy("query_id").agg(F.sum("n").alias("n_relevant"))
+    met = asked.join(known, "id").join(own, ["query_id", "label"], "left_semi").select("query_id", "id").distinct()
+    hits = asked.join(met.withColumn("good", F.lit(1)), ["query_id", "id"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    return _measures(hits, totals, k)
+
+
+def _measures(hits: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     per = hits.groupBy("query_id").agg(F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"), F.sum(F.col("good") / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     hit = lambda n: F.coalesce((F.col("first") <= n).cast("int"), F.lit(0))

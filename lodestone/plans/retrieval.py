@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import unit_norm
-from lodestone.operators import fanout, fts, fusion, postings, relations, snippets
+from lodestone.operators import adjacency, fanout, fts, fusion, graph, postings, relations, snippets
 
 from .registry import query, table
 
@@ -280,8 +280,8 @@ PER_QUERY = """SELECT query_id, coalesce(1 / f, 0) AS rr, dcg / list_sum(list_tr
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    relevant = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
-    return relations.retrieval_metrics(fusion.knn_many(e, _query_vectors(spark, d), 10), relevant)
+    with adjacency.held(fusion.knn_many(e, _query_vectors(spark, d), 10).select("query_id", "id", "rank")) as near:
+        return graph.cut(relations.label_metrics(near, e.select(F.col("vec_id").alias("id"), "label")))  # a row a query
 
 
 @query(METRICS + f"SELECT * REPLACE (round(rr, 6) AS rr, round(ndcg, 6) AS ndcg) FROM ({PER_QUERY})")

@@ -133,6 +133,30 @@ def test_knn_many_against_numpy_in_any_blocks(spark):
     assert fusion.knn_many(v, queries.limit(0), 7).count() == 0 and fusion.knn_many(v.limit(0), queries, 7).count() == 0
 
 
+def test_knn_many_scores_few_vectors_at_once(spark, monkeypatch):
+    """One batch of 3,000 vectors and 40 queries: no array of more than SCORE_ROWS scores a query."""
+    import numpy as np
+
+    v = np.random.default_rng(6).normal(size=(3000, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    queries = rows.filter("vec_id < 40").selectExpr("vec_id AS query_id", "embedding AS q")
+    monkeypatch.setattr(fusion, "SCORE_ROWS", 100)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.round(unit[:40] @ unit.T, 12)
+    want = {(q, int(i), r + 1) for q in range(40) for r, i in enumerate(np.lexsort((np.arange(3000), -scores[q]))[:7])}
+    assert {(r.query_id, r.id, r.rank) for r in fusion.knn_many(rows, queries, 7).collect()} == want
+
+
+def test_metrics_by_label_equal_those_by_pairs(spark):
+    """A label's rows are counted, not paired with its queries; null labels are relevant to nothing."""
+    labels = spark.createDataFrame([(i, None if i % 11 == 0 else i % 3) for i in range(60)], "id long, label int")
+    ranked = spark.createDataFrame([(q, (q * 7 + r * r) % 60, r) for q in range(0, 60, 5) for r in range(1, 13)], "query_id long, id long, rank int").dropDuplicates(["query_id", "id"])
+    pairs = labels.selectExpr("id AS query_id", "label").filter("query_id % 5 = 0").join(labels, "label").select("query_id", "id")
+    got, want = relations.label_metrics(ranked, labels), relations.retrieval_metrics(ranked, pairs)
+    show = lambda df: sorted(tuple(round(float(x), 9) for x in r) for r in df.collect())
+    assert show(got) == show(want) and got.count() == 10
+
+
 def test_fan_out_takes_turns_and_demotes(spark):
     from lodestone.operators import fanout
 
