@@ -20,8 +20,8 @@ RRF_K = 60
 WEIGHTS = {"keyword": 1.0, "semantic": 1.2, "graph": 0.8}
 STRONG, GAP = 0.85, 0.15
 OVERFETCH = 3
-#: Query vectors that a task holds at once.
-QUERY_BLOCK = 512
+#: Query vectors that a task holds at once, and vectors that it scores with them at once (4 MB of scores).
+QUERY_BLOCK, SCORE_ROWS = 512, 1024
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -55,14 +55,16 @@ def knn_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     def nearest(names: list, unit: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: list[list[tuple]] = [[] for _ in names]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, m = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.float64)
+            for batch in (b.slice(i, SCORE_ROWS) for b in batches for i in range(0, b.num_rows, SCORE_ROWS)):
+                # A slice of vectors and the block's scores of it are in memory, however large the batch.
+                ids, lists = batch.column(0).to_pylist(), batch.column(1)
+                if len(set(lists.value_lengths().to_pylist())) > 1:
+                    raise ValueError("vectors of different lengths")
+                m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
                 m /= np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
                 scores = np.round(unit @ m.T, 12)
                 at = max(0, len(ids) - k)
-                least = np.partition(scores, at, axis=1)[:, at]
+                least = np.maximum(np.partition(scores, at, axis=1)[:, at], [x[k - 1][0] * -1 if len(x) == k else -np.inf for x in best])
                 found: dict[int, list[tuple]] = {}
                 for q, i in zip(*map(np.ndarray.tolist, np.nonzero(scores >= least[:, None])), strict=True):
                     found.setdefault(q, []).append((-float(scores[q, i]), ids[i]))
