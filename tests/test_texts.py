@@ -198,3 +198,21 @@ def test_a_failing_reranker_fails_as_a_whole(spark):
     assert [r.id for r in models.model_rerank(good, "q", "text", make, 3).collect()] == [29, 28, 27]
     bad = good.unionByName(spark.createDataFrame([(99, 99, "bad")], "id int, rank int, text string"))
     assert [(r.id, r.rerank_score) for r in models.model_rerank(bad, "q", "text", make, 3).collect()] == [(1, 0.0), (2, 0.0), (3, 0.0)]
+
+
+def test_chunks_are_handed_on_in_small_batches(spark):
+    """A batch of 1,000 rows, each with 20 results: 64 results at once, not all 20,000."""
+    import pyarrow as pa
+
+    from lodestone.operators import tables
+
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(1000))})])))
+
+    made = tables.flat_map(Table(), ["id"], "id long, n int, text string", lambda i: [(i, n, None if n == 3 else f"{i}.{n}") for n in range(20)])
+    assert max(b.num_rows for b in made) <= 64
+    assert [r for b in made for r in b.to_pylist()] == [{"id": i, "n": n, "text": None if n == 3 else f"{i}.{n}"} for i in range(1000) for n in range(20)]
