@@ -211,3 +211,19 @@ def test_postings_are_pruned(spark, sf_dir):
     assert "PushedFilters: [Or(In(term" in plan or "PushedFilters: [In(term" in plan
     assert "documents.parquet" not in plan
     assert "StringStartsWith(term" in fts.bm25(index.postings, "attio*", advanced=True, index=index)._jdf.queryExecution().toString()
+
+
+def test_posting_lists_are_made_row_by_row(monkeypatch):
+    """No shuffle of words: each row's lists come from its own words, whatever rows are grouped at once."""
+    import pyarrow as pa
+
+    from lodestone.operators import postings
+
+    rows = [["a", "b", "a"], [], None, ["b"], ["c", "a", "c", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([7, 7, 8, None, 9]), pa.array(["x", None, "x", "y", "y"]), pa.array(rows, pa.list_(pa.string()))], names=["row", "id", "project", "t"])
+    for most in (1, 3, 100):
+        monkeypatch.setattr(postings, "WORDS", most)
+        got = [r for b in postings._lists(iter([batch])) for r in b.to_pylist()]
+        want = {(w, i, tuple(p + 1 for p, x in enumerate(t or []) if x == w)) for i, t in enumerate(rows) for w in [*(t or []), None]}
+        assert len(got) == len(want) and {(r["term"], r["row"], tuple(r["at"])) for r in got} == want
+        assert all(r["dl"] == len(rows[r["row"]] or []) and r["id"] == [7, 7, 8, None, 9][r["row"]] for r in got)
